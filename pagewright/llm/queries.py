@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.llm import site_lines
+from pyspark.sql import functions as F
+
+from pagewright.llm import neighbours, site_lines, splitting
 from pagewright.sources.tables import table
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -34,5 +36,34 @@ def p1_texts(spark, root):
     return site_lines.without_repeated_lines(table(spark, root, "extracted_pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts}
-ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS}
+def p2_found(spark, root):
+    return neighbours.neighbour_pairs(table(spark, root, "vec_chunks"), table(spark, root, "knn_probes"))
+
+
+def p2_neighbours(spark, root):
+    """Every row whose id is divisible by 50 against all rows."""
+    vectors = table(spark, root, "vec_chunks")
+    return neighbours.nearest(vectors, vectors.where("rowid_opt % 50 = 0").select("rowid_opt", F.lit(8).alias("k")))
+
+
+def _texts(spark, root):
+    pages = table(spark, root, "extracted_pages").select(F.lit("page").alias("item"), F.col("page_id").alias("item_id"), "text")
+    chunks = table(spark, root, "chunks").select(F.lit("chunk").alias("item"), F.col("chunk_ord").alias("item_id"), "text")
+    return pages.unionByName(chunks)
+
+
+def p3_found(spark, root):
+    return splitting.split_oversized(_texts(spark, root)).where("piece_no = 0").select("item", "item_id")
+
+
+def p3_pieces(spark, root):
+    return splitting.pieces(_texts(spark, root))
+
+
+_WORD = _WS.replace("[", "[^", 1)
+_P3_FOUND = f"""SELECT item, item_id FROM (
+  SELECT 'page' AS item, page_id AS item_id, text FROM extracted_pages UNION ALL SELECT 'chunk', chunk_ord, text FROM chunks)
+WHERE length(text) > 4000 OR len(regexp_extract_all(text, '{_WORD}')) > 325"""
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces}
+ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS, "p3_found": _P3_FOUND}
