@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import neighbours, site_lines, splitting
+from pagewright.llm import mixing, neighbours, packing, site_lines, splitting, tokens
 from pagewright.sources.tables import table
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -65,5 +65,30 @@ _P3_FOUND = f"""SELECT item, item_id FROM (
   SELECT 'page' AS item, page_id AS item_id, text FROM extracted_pages UNION ALL SELECT 'chunk', chunk_ord, text FROM chunks)
 WHERE length(text) > 4000 OR len(regexp_extract_all(text, '{_WORD}')) > 325"""
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces}
+def _sizes(spark, root):
+    return tokens.with_tokens(table(spark, root, "documents"), ["doc_id"]).withColumnRenamed("doc_id", "item_id")
+
+
+def p8_packed(spark, root):
+    return packing.pack(_sizes(spark, root), table(spark, root, "containers"))
+
+
+def p8_fill(spark, root):
+    return packing.fill_report(p8_packed(spark, root))
+
+
+def _mix(spark, root):
+    docs = tokens.with_tokens(table(spark, root, "documents"), ["doc_id", "source"])
+    return mixing.mix(docs, table(spark, root, "mix_targets"))
+
+
+def p9_mix(spark, root):
+    return _mix(spark, root)
+
+
+def p9_shares(spark, root):
+    return mixing.mix_report(_mix(spark, root), table(spark, root, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS, "p3_found": _P3_FOUND}
