@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def solve_dual(cells: DataFrame, goals: dict[str, tuple[float, float, int]], sca
     return x
 
 
+def _round_cells(cells: pd.DataFrame) -> pd.DataFrame:
+    """Whole copies for each cell, from the largest size to the smallest, what a cell gets too little or too much being
+    carried on in tokens: in the end a source misses its goal by half its smallest record, caps permitting."""
+    cells = cells.sort_values("tokens", ascending=False)
+    carry, out = 0.0, []
+    for tokens, docs, rate, cap in zip(cells["tokens"], cells["docs"], cells["rate"], cells["cap"]):
+        wanted = docs * rate * tokens + carry
+        copies = int(min(max(np.floor(wanted / tokens + 0.5), 0), docs * cap))
+        carry = wanted - copies * tokens
+        out.append(copies)
+    return cells.assign(cell_copies=out)[["source", "tokens", "docs", "rate", "cell_copies"]]
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
     """(doc_id, source, tokens, rate, copies) of every record that is used, copies being at least 1.
 
@@ -78,8 +92,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None)
     source needs more than its cap; a larger total is refused. Copies of one text are records of their own.
 
     Rates minimise the relative entropy to the even rate under one token constraint a source; solved on cells of equal
-    source and size, so an iteration reads a histogram and not the records. Then cells are rounded in order of size with
-    the rest carried on in tokens, and a cell's copies go evenly over its records, the first by a hash taking one more;
+    source and size, so an iteration reads a histogram and not the records. Then cells are rounded, the rest being
+    carried on in tokens, and a cell's copies go evenly over its records, the first by a hash taking one more;
     ranks within a cell are counted in SALTS salted groups, so a cell that holds a third of all records is no hot group."""
     from pagewright.sources.tables import cut
 
@@ -102,16 +116,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None)
     x = solve_dual(cells, goals, scale)
     dual = own.sparkSession.createDataFrame([(s, x[s], goals[s][1], goals[s][2]) for s in sorted(have)], "source string, x double, base double, cap int")
     rates = cells.join(F.broadcast(dual), "source").withColumn("rate", F.least(F.col("base") * F.exp(F.least(F.col("x") * F.col("tokens") / scale, F.lit(500.0))), F.col("cap").cast("double")))
-    # Carried rounding: after each cell the copies so far hold the tokens that the rates so far ask for, to half a record.
-    so_far = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.col("docs") * F.col("rate") * F.col("tokens")
-    rounded = (
-        rates.withColumn("to", F.sum(asked).over(so_far)).withColumn("from", F.coalesce(F.sum(asked).over(before), F.lit(0.0)))
-        .withColumn("cell_copies", (F.round(F.col("to") / F.col("tokens")) - F.round(F.col("from") / F.col("tokens"))).cast("long"))
-        .withColumn("cell_copies", F.greatest(F.lit(0), F.least(F.col("cell_copies"), F.col("docs") * F.col("cap"))))
-        .select("source", "tokens", "docs", "rate", "cell_copies")
-    )
+    # A group here is a source's histogram: one row a size in tokens, however many records there are.
+    rounded = rates.select("source", "tokens", "docs", "rate", "cap").groupBy("source").applyInPandas(_round_cells, "source string, tokens long, docs long, rate double, cell_copies long")
     key = F.xxhash64("doc_id", F.lit(11))
     salted = own.withColumn("key", key).withColumn("salt", F.floor((F.col("key") / 2.0**63 + 1) * (SALTS / 2)).cast("int"))
     counts = salted.groupBy("source", "tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
