@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import mixing, neighbours, packing, site_lines, splitting, tokens
+from pagewright.llm import mixing, neighbours, packing, personal, site_lines, splitting, tokens
 from pagewright.sources.tables import table
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -90,5 +90,17 @@ def p9_shares(spark, root):
     return mixing.mix_report(_mix(spark, root), table(spark, root, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _personal(spark, root):
+    return personal.find_personal(table(spark, root, "documents"), table(spark, root, "given_names"))
+
+
+def p10_found(spark, root):
+    return _personal(spark, root).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_texts(spark, root):
+    return personal.redact(table(spark, root, "documents"), _personal(spark, root))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS, "p3_found": _P3_FOUND}
