@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -28,3 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: it survives lost executors and is computed once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of at most a few numbers each that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, written once and counted: marked for broadcast up to most_rows, left to a shuffle join beyond."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
