@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.bktree import pairs_across, pairs_within
-from pagewright.sources.tables import cut
+from pagewright.sources.tables import cut, sized
 
 #: Words of a shingle, and the fewest words of a text that takes part.
 SHINGLE = 5
@@ -165,16 +165,18 @@ def _texts(items: DataFrame) -> DataFrame:
 
 def link_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, members). links: item, rep_a, rep_b, each two different texts of one item kind that are similar, by their
-    representatives, rep_a < rep_b. members: item, id, rep, k1, k2 for every text that takes part, rep being the smallest
+    representatives, rep_a < rep_b. members: item, id, rep for every text that takes part, rep being the smallest
     id with the same set of runs.
 
     items: item, item_id, text; item names the kind (page, chunk) and only texts of one kind are compared. Texts with
     fewer than MIN_WORDS words, null texts, ids and kinds take no part. A repeated id counts once."""
     texts = _texts(items)
     sketches = cut(_sketches(texts))
-    copies = sketches.groupBy("item", "k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep").drop("last")
-    own = sketches.join(copies, ["item", "k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = own.select("item", "id", "rep", "k1", "k2")
+    names = sketches.select("item", "id", "k1", "k2")
+    groups = names.groupBy("item", "k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep").drop("last")
+    copies = sized(names.join(groups, ["item", "k1", "k2"]).where("id <> rep").select("item", "id", "rep").distinct())
+    own = sketches.join(copies, ["item", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    members = own.select("item", "id", "rep")
     # From here on texts go by uid, unique over kinds. A copy's sketches are its representative's.
     reps = own.where("id = rep").select(F.xxhash64("item", "id").alias("uid"), F.xxhash64("item").alias("kind"), "f0", "f1", "bands")
     rows = reps.select(F.explode("bands").alias("band"), "kind", "uid").select(F.col("band").bitwiseXOR(F.col("kind")).alias("bucket"), "uid")
@@ -189,7 +191,7 @@ def link_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Both sides of a block pair meet by the same key; a block with itself has one side only.
     spread = shards.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
     near = cut(spread.mapInArrow(_search_shards, "a long, b long").distinct())
-    asked = near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct()
+    asked = sized(near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct())
     wanted = texts.withColumn("uid", F.xxhash64("item", "id")).join(asked, "uid", "left_semi")
     sets = _run_sets(wanted)
     checked = near.join(sets.select(F.col("uid").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("runs").alias("y")), "b").where(_similar("x", "y")).select("a", "b").distinct()
