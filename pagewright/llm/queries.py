@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import mixing, near_duplicates, neighbours, packing, personal, site_lines, splitting, tokens
+from pagewright.llm import main_content, mixing, near_duplicates, neighbours, packing, personal, site_lines, splitting, tokens
 from pagewright.sources.tables import table
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -110,5 +110,13 @@ def p5_groups(spark, root):
     return near_duplicates.duplicate_groups(_texts(spark, root))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+def p7_found(spark, root):
+    return main_content.labelled_runs(table(spark, root, "fetched_pages")).where("main").select("page_id", "run_no")
+
+
+def p7_bodies(spark, root):
+    return main_content.main_bodies(table(spark, root, "fetched_pages"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_bodies": p7_bodies, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS, "p3_found": _P3_FOUND}
