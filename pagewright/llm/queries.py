@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import main_content, mixing, near_duplicates, neighbours, packing, personal, site_lines, splitting, textstats, tokens
+from pagewright.llm import main_content, mixing, near_duplicates, neighbours, packing, personal, residue, site_lines, splitting, textstats, tokens
 from pagewright.sources.tables import table
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -126,5 +126,14 @@ def p4_scores(spark, root):
     return textstats.outlier_scores(textstats.text_statistics(table(spark, root, "extracted_pages"), table(spark, root, "common_words")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_bodies": p7_bodies, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
+def p6_found(spark, root):
+    return residue.residue_pages(table(spark, root, "fetched_pages"), table(spark, root, "common_words")).select("page_id").distinct()
+
+
+def p6_kept(spark, root):
+    pages = table(spark, root, "extracted_pages").select("page_id", "url", "title", "text")
+    return residue.without_residue(pages, table(spark, root, "fetched_pages"), table(spark, root, "common_words"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_bodies": p7_bodies, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_texts": p10_texts}
 ORACLE = {"p1_found": _P1_FOUND, "p1_texts": _P1_TEXTS, "p3_found": _P3_FOUND}
