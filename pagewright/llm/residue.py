@@ -59,6 +59,8 @@ _NOTICE = re.compile(
     re.I,
 )
 # ---- end of fixed values ------------------------------------------------------------------------------------------
+#: Sentences of words only, each from a capital to a stop.
+_SPOKEN = re.compile(r"(?:[^\W\d_a-zß-ÿ][^\W\d_]*(?:,? [^\W\d_]+){2,40}[.!?]\s*)+")
 _HINTS = ("{", "[", "%", "@@", "__", "XX", "<", "TODO", "FIXME", "TBD", "undefined", "null", "NaN", "(none)")
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.S | re.I)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ\"'„¿¡(\[{<$%@])")
@@ -116,7 +118,7 @@ def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
             filler += words
         elif common and words:
             letters = [w.lower() for w in _LETTERS.findall(text)]
-            if len(letters) >= 0.9 * words and sum(w in common for w in letters) < 0.05 * len(letters):
+            if _SPOKEN.fullmatch(text) and sum(w in common for w in letters) < 0.05 * len(letters):
                 strange += letters
         # A page with enough prose has content whatever messages it holds, so it isn't searched for more of them.
         if short and prose < MAX_PROSE_WORDS:
