@@ -2,5 +2,378 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import urls
+from pagewright.functions.text import embedding_text, host_of, slug, word_count
+from pagewright.operators import analyze, chunk, crawl, evaluate, extract, report, retrieve, robots, tfidf, vectors
+from pagewright.plans import pipeline
+from pagewright.sources.tables import table
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- TF-IDF ---------------------------------------------------------------------------------------------------------
+_TOKENS = """
+WITH stop AS (SELECT DISTINCT lower(word) AS term FROM common_words WHERE lang = 'en'),
+texts AS (SELECT chunk_ord, concat_ws(chr(10), nullif(concat_ws(' — ', CASE WHEN trim(page_title) <> '' THEN page_title END, CASE WHEN trim(heading_path) <> '' THEN heading_path END), ''), CASE WHEN trim(text) <> '' THEN text END) AS text FROM chunks),
+counts AS (SELECT chunk_ord, term, count(*) AS tf FROM (SELECT chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM texts) WHERE length(term) > 1 AND term NOT IN (SELECT term FROM stop) GROUP BY ALL),
+idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1)) + 1 AS idf FROM counts GROUP BY term),
+corpus AS (SELECT chunk_ord, term, (1 + ln(tf)) * idf AS weight, sqrt(sum(power((1 + ln(tf)) * idf, 2)) OVER (PARTITION BY chunk_ord)) AS norm FROM counts JOIN idf USING (term))
+"""
+
+
+def _stop(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "common_words").where("lang = 'en'")
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "chunks").select("chunk_ord", embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text"))
+
+
+def _corpus(spark: SparkSession, root: str):
+    texts = _texts(spark, root)
+    counts = tfidf.term_counts(texts, "chunk_ord", _stop(spark, root))
+    weights = tfidf.idf(counts, texts.count())
+    return counts, weights, tfidf.postings(counts, weights, "chunk_ord")
+
+
+@query(_TOKENS + "SELECT chunk_ord, term, tf FROM counts")
+def term_counts(spark, root):
+    return tfidf.term_counts(_texts(spark, root), "chunk_ord", _stop(spark, root))
+
+
+@query(_TOKENS + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+def idf_table(spark, root):
+    return _corpus(spark, root)[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(_TOKENS + "SELECT chunk_ord, round(min(norm), 6) AS norm, count(*) AS terms FROM corpus GROUP BY chunk_ord")
+def tfidf_norms(spark, root):
+    return _corpus(spark, root)[2].groupBy("chunk_ord").agg(F.round(F.min("norm"), 6).alias("norm"), F.count(F.lit(1)).alias("terms"))
+
+
+@query(_TOKENS + "SELECT chunk_ord, rank, term, weight FROM (SELECT chunk_ord, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY chunk_ord ORDER BY round(weight, 6) DESC, term) AS rank FROM corpus) WHERE rank <= 5")
+def top_terms(spark, root):
+    scores = _corpus(spark, root)[2].select("chunk_ord", "term", F.round("weight", 6).alias("score"))
+    return retrieve.top_k(scores, "chunk_ord", "term", 5).select("chunk_ord", F.col("rank").cast("long").alias("rank"), "term", F.col("score").alias("weight"))
+
+
+@query(_TOKENS.split(",\ncounts")[0] + "SELECT chunk_ord, text FROM texts")
+def embedding_texts(spark, root):
+    return _texts(spark, root)
+
+
+_SECTIONS = "(VALUES " + ", ".join(f"({n}, '{i}', '{t}', '{q}')" for n, i, t, q in pipeline.SECTIONS) + ") AS s(section, section_id, title, query)"
+_SCORES = _TOKENS + f""",
+qcounts AS (SELECT section, term, count(*) AS tf FROM (SELECT section, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {_SECTIONS}) WHERE length(term) > 1 AND term NOT IN (SELECT term FROM stop) GROUP BY ALL),
+q AS (SELECT section, term, (1 + ln(tf)) * idf AS weight, sqrt(sum(power((1 + ln(tf)) * idf, 2)) OVER (PARTITION BY section)) AS norm FROM qcounts JOIN idf USING (term)),
+scores AS (SELECT section, chunk_ord, round(sum(q.weight * c.weight) / (min(q.norm) * min(c.norm)), 6) AS score FROM q JOIN corpus c USING (term) GROUP BY section, chunk_ord),
+best AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, chunk_ord) AS rank FROM scores WHERE score > 0),
+capped AS (SELECT section, chunk_ord, score, row_number() OVER (PARTITION BY section ORDER BY rank) AS rank FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY section, page_url ORDER BY rank) AS n FROM best b JOIN chunks USING (chunk_ord) WHERE rank <= 12) WHERE n <= 3),
+ranked AS (SELECT * FROM capped WHERE rank <= 6)
+"""
+
+
+def _ranked(spark, root) -> DataFrame:
+    sections = pipeline.sections_table(spark).select("section", F.col("query").alias("text"))
+    return pipeline.rank(table(spark, root, "chunks"), sections, _stop(spark, root))
+
+
+@query(_SCORES + "SELECT section, chunk_ord, score, rank FROM best WHERE rank <= 5")
+def retrieve_topk(spark, root):
+    sections = pipeline.sections_table(spark).select("section", F.col("query").alias("text"))
+    got = pipeline.rank(table(spark, root, "chunks"), sections, _stop(spark, root), pipeline.Settings(top_k=5, max_per_page=None))
+    return got.select("section", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_SCORES + "SELECT section, chunk_ord, score, rank FROM ranked")
+def retrieve_page_capped(spark, root):
+    return _ranked(spark, root).select("section", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- evaluation: titles of every 50th page as questions, the page as the truth ----------------------------------------
+_CASES = _TOKENS + """,
+cases AS (SELECT page_id AS case_id, title AS query, url AS expected_url, substr(split_part(text, chr(10), 1), 4, 40) AS expected_snippet FROM extracted_pages WHERE page_id % 50 = 0 AND title IS NOT NULL),
+qcounts AS (SELECT case_id, term, count(*) AS tf FROM (SELECT case_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM cases) WHERE length(term) > 1 AND term NOT IN (SELECT term FROM stop) GROUP BY ALL),
+q AS (SELECT case_id, term, (1 + ln(tf)) * idf AS weight, sqrt(sum(power((1 + ln(tf)) * idf, 2)) OVER (PARTITION BY case_id)) AS norm FROM qcounts JOIN idf USING (term)),
+scores AS (SELECT case_id, chunk_ord, round(sum(q.weight * c.weight) / (min(q.norm) * min(c.norm)), 6) AS score FROM q JOIN corpus c USING (term) GROUP BY case_id, chunk_ord),
+best AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_ord) AS rank FROM scores WHERE score > 0),
+results AS (SELECT c.case_id, min(CASE WHEN contains(k.page_url, c.expected_url) THEN rank END) AS first_rank,
+  coalesce(bool_or(c.expected_snippet <> '' AND contains(lower(k.text), lower(c.expected_snippet))), false) AS snippet_at_5
+  FROM cases c LEFT JOIN (SELECT * FROM best WHERE rank <= 5) b USING (case_id) LEFT JOIN chunks k USING (chunk_ord) GROUP BY c.case_id),
+graded AS (SELECT case_id, first_rank, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= 5, false) AS hit_at_5, snippet_at_5 FROM results)
+"""
+
+
+def _case_results(spark, root) -> DataFrame:
+    pages = table(spark, root, "extracted_pages").where("page_id % 50 = 0 AND title IS NOT NULL")
+    cases = pages.select(F.col("page_id").alias("case_id"), F.col("title").alias("text"), F.col("url").alias("expected_url"), F.expr("substring(split_part(text, '\n', 1), 4, 40)").alias("expected_snippet"))
+    chunks = table(spark, root, "chunks")
+    got = pipeline.rank(chunks, cases, _stop(spark, root), pipeline.Settings(top_k=5, max_per_page=None), query="case_id")
+    ranked = got.select("case_id", "chunk_ord", F.col("rank").cast("long").alias("rank")).join(chunks.select("chunk_ord", "page_url", "text"), "chunk_ord")
+    return evaluate.case_results(cases.drop("text"), ranked)
+
+
+@query(_CASES + "SELECT * REPLACE (coalesce(first_rank, 0) AS first_rank) FROM graded")
+def eval_cases(spark, root):
+    """first_rank is 0 for a case without a hit."""
+    return _case_results(spark, root).na.fill(0, ["first_rank"])
+
+
+@query(_CASES + """SELECT count(*) AS cases, round(avg(hit_at_3::DOUBLE), 6) AS hit_at_3, round(avg(hit_at_5::DOUBLE), 6) AS hit_at_5, round(avg(snippet_at_5::DOUBLE), 6) AS snippet_at_5,
+round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM graded""")
+def eval_summary(spark, root):
+    return evaluate.summary(_case_results(spark, root))
+
+
+# ---- dense vectors ----------------------------------------------------------------------------------------------------
+_KNN = """
+WITH n AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS label, v.label AS other, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM n WHERE score > 0)
+"""
+
+
+def _knn(spark, root) -> DataFrame:
+    found = table(spark, root, "embeddings")
+    return vectors.knn(found, found.where("vec_id % 50 = 0"), 5)
+
+
+@query(_KNN + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
+def knn_exact(spark, root):
+    return _knn(spark, root).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN + "SELECT label, count(*) AS neighbours, round(avg((label = other)::INT), 6) AS agreement FROM r WHERE rank <= 5 GROUP BY label")
+def knn_label_agreement(spark, root):
+    return vectors.label_agreement(_knn(spark, root), table(spark, root, "embeddings"))
+
+
+# ---- sentences, points, citations ---------------------------------------------------------------------------------------
+_SENTENCES = r"""
+parts AS (SELECT chunk_ord, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM chunks WHERE text IS NOT NULL),
+sentences AS (SELECT chunk_ord, i - 1 AS pos, trim(s[i]) AS sentence FROM parts, unnest(generate_series(1, len(s))) AS t(i)),
+scored AS (SELECT *, CAST(CASE WHEN regexp_matches(sentence, '[0-9]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(sentence, '[A-Z][a-z]{2,}') THEN 2 ELSE 0 END
+  + least(len(regexp_extract_all(sentence, '\S+')) // 25, 2) AS INTEGER) AS score FROM sentences WHERE length(sentence) > 30),
+best_s AS (SELECT chunk_ord, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_ord ORDER BY score DESC, pos) AS n FROM scored) WHERE n = 1)
+"""
+
+
+@query("WITH " + _SENTENCES.strip() + " SELECT chunk_ord, CAST(pos AS INTEGER) AS pos, sentence, score FROM scored")
+def sentence_scores(spark, root):
+    return analyze.scored_sentences(table(spark, root, "chunks"), "chunk_ord")
+
+
+@query("WITH " + _SENTENCES.strip() + " SELECT * FROM best_s")
+def best_sentence(spark, root):
+    return analyze.best_sentences(table(spark, root, "chunks"), "chunk_ord")
+
+
+_POINTS = _SCORES + "," + _SENTENCES + """, points AS (SELECT section, rank, chunk_ord, sentence FROM (
+  SELECT r.section, r.rank, chunk_ord, sentence, row_number() OVER (PARTITION BY chunk_ord ORDER BY section) AS n FROM ranked r JOIN best_s USING (chunk_ord)) WHERE n = 1)
+"""
+
+
+def _points(spark, root) -> DataFrame:
+    return analyze.cited_points(_ranked(spark, root), table(spark, root, "chunks"), "section", "chunk_ord")
+
+
+@query(_POINTS + "SELECT section, rank, chunk_ord, sentence FROM points")
+def cited_points(spark, root):
+    return _points(spark, root).select("section", F.col("rank").cast("long").alias("rank"), "chunk_ord", "sentence")
+
+
+@query(_POINTS + f"""SELECT section_id, '## ' || title || chr(10) || chr(10) || coalesce(body, 'No findings.') AS markdown FROM {_SECTIONS} LEFT JOIN (
+  SELECT section, string_agg('- ' || sentence || ' [' || chunk_ord || '](' || coalesce(page_url, '') || ')', chr(10) ORDER BY rank) AS body FROM points JOIN chunks USING (chunk_ord) GROUP BY section) USING (section)""")
+def report_markdown(spark, root):
+    return report.markdown(_points(spark, root), table(spark, root, "chunks"), pipeline.sections_table(spark), "chunk_ord")
+
+
+@query(_SCORES + """SELECT chunk_ord, '[' || chunk_ord || '] ' || coalesce(CASE WHEN trim(heading_path) <> '' THEN heading_path END, CASE WHEN trim(page_title) <> '' THEN page_title END, page_url, '') || ' (' || printf('%.2f', score) || ') ' || coalesce(text, '') AS line
+FROM (SELECT chunk_ord, max(score) AS score FROM ranked GROUP BY chunk_ord) JOIN chunks USING (chunk_ord)""")
+def context_lines(spark, root):
+    return analyze.context_lines(_ranked(spark, root), table(spark, root, "chunks"), "chunk_ord")
+
+
+@query("""WITH stop AS (SELECT DISTINCT lower(word) AS term FROM common_words WHERE lang = 'en'),
+t AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, meta_description, substr(text, 1, 800))), '[a-z0-9]+')) AS term FROM extracted_pages)
+SELECT term, count(*) AS n FROM t WHERE length(term) > 1 AND term NOT IN (SELECT term FROM stop) GROUP BY term ORDER BY n DESC, term LIMIT 6""")
+def report_terms(spark, root):
+    return analyze.report_terms(table(spark, root, "extracted_pages"), _stop(spark, root))
+
+
+def _replies(spark, root) -> DataFrame:
+    """A reply for each page, from its chunks: fenced for even ids, between words for others, citing a chunk of the page,
+    one that doesn't exist, and under a section that nobody asked for."""
+    chunks = table(spark, root, "chunks").where("text IS NOT NULL").groupBy("page_id").agg(F.min("chunk_ord").alias("c"), F.min_by("page_title", "chunk_ord").alias("t"))
+    point = lambda text, *cites: F.struct(text.alias("text"), F.array(*cites).alias("citations"))
+    ref = F.col("c").cast("string")
+    sections = F.array(
+        F.struct(F.lit("overview").alias("id"), F.array(point(F.lit("first"), ref, F.lit("none")), point(F.lit("second"), F.lit("none"))).alias("points")),
+        F.struct(F.lit("gossip").alias("id"), F.array(point(F.lit("third"), ref)).alias("points")),
+    )
+    body = F.to_json(F.struct(F.coalesce("t", F.lit("")).alias("executive_summary"), sections.alias("sections")))
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    return chunks.select(F.col("page_id").alias("reply_id"), F.when(F.col("page_id") % 2 == 0, fenced).otherwise(F.concat(F.lit("Here it is: "), body, F.lit(" - done."))).alias("reply"))
+
+
+@query("""SELECT page_id AS reply_id, 'overview' AS section_id, CAST(0 AS INTEGER) AS point_no, 'first' AS text, [CAST(min(chunk_ord) AS VARCHAR)] AS citations
+FROM chunks WHERE text IS NOT NULL GROUP BY page_id HAVING trim(coalesce(arg_min(coalesce(page_title, ''), chunk_ord), '')) <> ''""")
+def citation_guard(spark, root):
+    retrieved = table(spark, root, "chunks").select(F.col("page_id").alias("reply_id"), F.col("chunk_ord").cast("string").alias("cited"))
+    return analyze.guarded_points(_replies(spark, root), retrieved, pipeline.sections_table(spark))
+
+
+# ---- pages, sections, chunks ---------------------------------------------------------------------------------------------
+@query("SELECT page_id, url, status FROM fetched_pages WHERE error IS NULL AND status BETWEEN 200 AND 299 AND length(html) > 0")
+def ok_pages(spark, root):
+    return table(spark, root, "fetched_pages").where(extract.ok()).select("page_id", "url", "status")
+
+
+_WS = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
+
+
+@query(f"SELECT * FROM (SELECT page_id, CAST(coalesce(len(regexp_extract_all(text, '{_WS}')), 0) AS INTEGER) AS words FROM extracted_pages) WHERE words < 25")
+def thin_pages(spark, root):
+    pages = table(spark, root, "extracted_pages")
+    return pages.select("page_id", word_count(F.col("text")).alias("words")).where(F.col("words") < extract.MIN_PAGE_WORDS)
+
+
+@query(r"""WITH l AS (SELECT page_id, i - 1 AS line_no, trim(x[i]) AS line FROM (SELECT page_id, string_split(text, chr(10)) AS x FROM extracted_pages), unnest(generate_series(1, len(x))) AS t(i)),
+m AS (SELECT *, length(regexp_extract(line, '^(#{2,5})\s+\S', 1)) AS level, trim(regexp_replace(line, '^#{2,5}\s+', '')) AS title FROM l WHERE line <> ''),
+s AS (SELECT *, CAST(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER w AS INTEGER) AS section_no,
+  last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER w AS h2,
+  last_value(CASE WHEN level = 3 THEN title WHEN level = 2 THEN '' END IGNORE NULLS) OVER w AS h3,
+  last_value(CASE WHEN level = 4 THEN title WHEN level IN (2, 3) THEN '' END IGNORE NULLS) OVER w AS h4,
+  last_value(CASE WHEN level = 5 THEN title WHEN level IN (2, 3, 4) THEN '' END IGNORE NULLS) OVER w AS h5
+  FROM m WINDOW w AS (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT page_id, CAST(line_no AS INTEGER) AS line_no, section_no, concat_ws(' > ', nullif(h2, ''), nullif(h3, ''), nullif(h4, ''), nullif(h5, '')) AS heading_path, line FROM s WHERE level = 0""")
+def section_lines(spark, root):
+    return chunk.section_lines(table(spark, root, "extracted_pages"))
+
+
+def _chunked(spark, root) -> DataFrame:
+    pages = extract.kept_pages(table(spark, root, "extracted_pages").withColumn("word_count", word_count(F.col("text"))))
+    runs = table(spark, root, "fetched_pages").select("page_id", "run_id")
+    return chunk.chunk_pages(chunk.numbered_pages(pages.join(runs, "page_id"), "run_id", ["page_id"]))
+
+
+@query()
+def chunked_pages(spark, root):
+    return _chunked(spark, root)
+
+
+@query()
+def chunk_stats(spark, root):
+    """Chunks and mean words of a chunk of each run's pages, as made here."""
+    made = _chunked(spark, root).join(table(spark, root, "fetched_pages").select("page_id", "run_id"), "page_id")
+    return made.groupBy("run_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum("word_count") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("mean_words"))
+
+
+@query("""SELECT p.page_id, url, coalesce(CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(string_split(url, '/')[-1]) <> '' THEN string_split(url, '/')[-1] END, url) AS title, coalesce(word_count, 0) AS word_count, coalesce(n, 0) AS chunk_count,
+coalesce(CASE WHEN trim(meta_description) <> '' THEN meta_description END, CASE WHEN length(text) > 140 THEN regexp_replace(substr(replace(text, chr(10), ' '), 1, 140), '\\s+\\S*$', '') || '…' ELSE replace(text, chr(10), ' ') END) AS summary_line
+FROM extracted_pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM chunks GROUP BY page_id) c ON p.page_id = c.page_id""".replace("\\\\", "\\"))
+def page_summaries(spark, root):
+    return report.page_summaries(table(spark, root, "extracted_pages"), table(spark, root, "chunks")).na.fill(0, ["word_count"])
+
+
+@query()
+def extracted(spark, root):
+    return extract.extract(table(spark, root, "fetched_pages"))
+
+
+@query("""SELECT run_id, round(avg(kept_ratio), 6) AS mean_kept_ratio, sum(word_count) AS words FROM extracted_pages JOIN fetched_pages USING (page_id) GROUP BY run_id""")
+def run_ratios(spark, root):
+    pages = table(spark, root, "extracted_pages").join(table(spark, root, "fetched_pages").select("page_id", "run_id"), "page_id")
+    return pages.groupBy("run_id").agg(F.round(F.avg("kept_ratio"), 6).alias("mean_kept_ratio"), F.sum("word_count").alias("words"))
+
+
+# ---- URLs, links, crawls ----------------------------------------------------------------------------------------------------
+@query(r"""SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS authority,
+coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', ''), '') AS host,
+lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) || '://' || lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1))
+ || coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(trim(url), '^[^?#]*(\?[^#]*)?', 1) AS normalized FROM fetched_pages""")
+def url_parts(spark, root):
+    u = F.col("url")
+    return table(spark, root, "fetched_pages").select("page_id", urls.scheme_of(u).alias("scheme"), urls.authority_of(u).alias("authority"), urls.path_of(u).alias("path"), host_of(u).alias("host"), urls.normalized(u).alias("normalized"))
+
+
+@query(r"""SELECT page_id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM extracted_pages WHERE regexp_matches(title, '[A-Za-z0-9]')""")
+def title_slugs(spark, root):
+    return table(spark, root, "extracted_pages").where(F.col("title").rlike("[A-Za-z0-9]")).select("page_id", slug(F.col("title")).alias("slug"))
+
+
+_LINKS = r"""
+WITH r AS (SELECT page_id, url, i - 1 AS position, refs[i] AS ref, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS site
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS refs FROM fetched_pages WHERE error IS NULL AND status BETWEEN 200 AND 299 AND length(html) > 0), unnest(generate_series(1, len(refs))) AS t(i)),
+f AS (SELECT page_id, min(position) AS position, site || ref AS link FROM r WHERE starts_with(ref, '/') AND NOT regexp_matches(lower(ref), '\.(css|gif|gz|ico|jpeg|jpg|js|json|mp3|mp4|pdf|png|rss|svg|tar|webp|xml|zip)$') GROUP BY page_id, site || ref)
+"""
+
+
+@query(_LINKS + "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) - 1 AS INTEGER) AS position, link FROM f")
+def page_links(spark, root):
+    return extract.same_site(extract.links(table(spark, root, "fetched_pages"))).select("page_id", "position", "link")
+
+
+@query("SELECT run_id, sum((error IS NULL AND status BETWEEN 200 AND 299)::INT) AS pages_fetched, sum((NOT (error IS NULL AND status BETWEEN 200 AND 299))::INT) AS pages_failed, max(depth) AS deepest FROM fetched_pages GROUP BY run_id")
+def run_counters(spark, root):
+    return crawl.run_counters(table(spark, root, "fetched_pages"))
+
+
+def _graph(spark, root):
+    """A link graph from the stored depths: a page of depth d is linked from the last page of depth d - 1 before it in its
+    run, one of the least depth from the start."""
+    pages = table(spark, root, "fetched_pages").where("depth IS NOT NULL").select("run_id", "page_id", "url", "depth")
+    before = Window.partitionBy("run_id").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = pages
+    for d in range(4):
+        out = out.withColumn(f"last{d}", F.last(F.when(F.col("depth") == d, F.col("url")), True).over(before))
+    parent = F.when(F.col("depth") == 1, F.col("last0")).when(F.col("depth") == 2, F.col("last1")).when(F.col("depth") == 3, F.col("last2"))
+    starts = table(spark, root, "crawl_stats").select("run_id", F.col("start_url").alias("url"))
+    edges = out.join(starts.withColumnRenamed("url", "start"), "run_id").select(F.coalesce(parent, F.col("start")).alias("url"), F.col("page_id").alias("position"), F.col("url").alias("link"))
+    return starts, edges
+
+
+@query()
+def crawl_bfs(spark, root):
+    starts, edges = _graph(spark, root)
+    return crawl.crawl(starts, edges, max_pages=25, max_depth=3)[0]
+
+
+@query()
+def crawl_counts(spark, root):
+    starts, edges = _graph(spark, root)
+    blocked = table(spark, root, "fetched_pages").select("url").where(F.contains("url", F.lit("/support/")))
+    return crawl.crawl(starts, edges, blocked, max_pages=15, max_depth=3)[1]
+
+
+@query("""SELECT DISTINCT url, NOT (starts_with(p, '/support/') OR (starts_with(p, '/pricing/') AND NOT starts_with(p, '/pricing/a'))) AS allowed FROM (
+SELECT url, coalesce(nullif(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS p FROM fetched_pages WHERE url IS NOT NULL)""")
+def robots_allowed(spark, root):
+    pages = table(spark, root, "fetched_pages").where("url IS NOT NULL")
+    text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /support/ # help\nAllow: /pricing/a\nDisallow: /pricing/\nDisallow:"
+    files = pages.select(urls.authority_of(F.col("url")).alias("host")).distinct().withColumn("robots", F.lit(text))
+    return robots.allowed(pages.select("url"), robots.rules(files, "pagewright/1.0"))
+
+
+@query()
+def pipeline_report(spark, root):
+    """Fetched pages to the report's sections."""
+    return pipeline.run(table(spark, root, "fetched_pages"), _stop(spark, root)).report
