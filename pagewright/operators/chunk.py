@@ -34,13 +34,13 @@ def section_lines(pages: DataFrame) -> DataFrame:
 def _sections(text: str) -> list[tuple[str, list[str]]]:
     stack: dict[int, str] = {}
     out: list[tuple[str, list[str]]] = [("", [])]
-    for line in map(str.strip, text.split("\n")):
-        m = _HEADING.fullmatch(line)
+    for line in text.split("\n"):
+        m = _HEADING.fullmatch(line.strip())
         if m:
             stack = {k: v for k, v in stack.items() if k < len(m[1])}
             stack[len(m[1])] = m[2].strip()
             out.append((" > ".join(stack[k] for k in sorted(stack)), []))
-        elif line:
+        elif line.strip():
             out[-1][1].append(line)
     return out if out[0][1] else out[1:]
 
