@@ -53,10 +53,18 @@ MESSAGE = re.compile(
     r"perhaps .* knows where .* went|replace this file with your own",
     re.I | re.S,
 )
-_NOTICE = re.compile(
-    r"^(?:by |posted |written +by |published |last updated|reading time|share this|follow us|subscribe|like what you read|did this help|back to the |download the free |© ?\d|all rights|terms of |privacy|get our |« ?previous|this site stores|by staying on|opening hours|\*{3} )|uses cookies|our use of cookies|partners keep data|choose which ones|"
-    r"rights reserved|no liability|written consent|trading name|of their owner|editorial desk|include tax|images are examples|instead of throwing",
-    re.I,
+_NOTICE_STARTS = (
+    "by ", "posted ", "written by ", "written  by ", "published ", "last updated", "reading time", "reading  time", "share this", "follow us", "subscribe", "like what you read", "did this help", "back to the ", "download the free ", "© ", "all rights",
+    "terms of ", "privacy", "get our ", "« previous", "«  previous", "previous |", "this site stores", "by staying on", "opening hours", "*** ",
+)
+_NOTICE_PARTS = (
+    "uses cookies", "our use of cookies", "partners keep data", "choose which ones", "rights reserved", "no liability", "written consent", "trading name", "of their owner", "editorial desk", "include tax", "images are examples", "instead of throwing",
+)
+#: One of these is in every text that MESSAGE finds; they are looked for first because that is much faster.
+_MESSAGE_HINTS = (
+    "404", "found", "gefunden", "trouv", "encontr", "exist", "no results", "matches", "denied", "denegado", "verweigert", "gesperrt", "refus", "interdit", "permission", "expired", "abgelaufen", "caduc", "expir", "browser", "navigateur", "navegador",
+    "human", "robot", "unusual traffic", "sicherheitspr", "maintenance", "wartung", "gewartet", "mantenimiento", "shortly", "coming soon", "come back", "construc", "aufbau", "bientôt", "próximamente", "demnächst", "in kürze", "went wrong",
+    "exception", "null reference", "query failed", "headers", "error", "trace", "rendered", "web server", "unavailable", "bad gateway", "too many", "time-out", "timeout", "script", "cookies", "knows where", "replace this file",
 )
 # ---- end of fixed values ------------------------------------------------------------------------------------------
 #: Sentences of words only, each from a capital to a stop.
@@ -94,11 +102,22 @@ def _prose_words(text: str) -> int:
     return len(words) if spoken >= 0.55 * len(words) and (text.rstrip()[-1:] in ".!?…:" or len(words) > 20) else 0
 
 
+def _is_notice(text: str) -> bool:
+    """Whether a short block is a line about the page or the site."""
+    low = text.lower()
+    return text.count(" ") < 40 and (low.startswith(_NOTICE_STARTS) or any(p in low for p in _NOTICE_PARTS))
+
+
+def _message(text: str) -> re.Match | None:
+    low = text.lower()
+    return MESSAGE.search(text) if any(h in low for h in _MESSAGE_HINTS) else None
+
+
 def _is_filler(text: str) -> bool:
     if text.count(" ") < 12 and FILLER.search(text):
         return True
-    letters = _LETTERS.findall(text)
-    return len(letters) >= 4 and sum(w in LATIN for w in map(str.lower, letters)) >= 0.6 * len(letters)
+    letters = text.lower().split()
+    return len(letters) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in letters) >= 0.6 * len(letters)
 
 
 def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
@@ -122,11 +141,11 @@ def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
                 strange += letters
         # A page with enough prose has content whatever messages it holds, so it isn't searched for more of them.
         if short and prose < MAX_PROSE_WORDS:
-            m = MESSAGE.search(text)
+            m = _message(text)
             if m and not (len(m[0]) > 3 and not text.startswith("{") and any(m[0] in q for q in _QUOTED.findall(text))):
                 messages += 1
                 continue
-        if not short or text.count(" ") >= 40 or not _NOTICE.search(text):
+        if not _is_notice(text):
             prose += words
         if code or not any(h in text for h in _HINTS):
             continue
