@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import embedding_text
 from pagewright.operators import analyze, chunk, extract, report, retrieve, tfidf
+from pagewright.sources.tables import cut
 
 #: Sections of a report: ordinal, id, title and the question that retrieves for it.
 SECTIONS = [
@@ -53,8 +54,8 @@ def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings:
     """(query, key, page, score, rank): chunks (key, page, page_title, heading_path, text) for queries (query, text) by
     TF-IDF cosine, with the cap on a page."""
     texts = chunks.select(key, embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text"))
-    counts = tfidf.term_counts(texts, key, stop_words)
-    weights = tfidf.idf(counts, texts.count())
+    counts = cut(tfidf.term_counts(texts, key, stop_words))  # texts are split into terms once
+    weights = cut(tfidf.idf(counts, texts.count()))
     corpus = tfidf.postings(counts, weights, key)
     asked = tfidf.postings(tfidf.term_counts(queries.select(query, "text"), query, stop_words), weights, query)
     scores = tfidf.cosine(asked, corpus, query, key).join(chunks.select(key, page), key)
@@ -64,10 +65,11 @@ def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings:
 def run(pages: DataFrame, stop_words: DataFrame, settings: Settings = Settings()) -> Stages:
     """Fetched pages (page_id, run_id, url, status, error, html) to a report."""
     spark = pages.sparkSession
-    extracted = extract.kept_pages(extract.extract(pages), settings.min_page_words)
+    extracted = cut(extract.kept_pages(extract.extract(pages), settings.min_page_words))  # pages are parsed once
     runs = pages.select("page_id", "run_id")
     numbered = chunk.numbered_pages(extracted.join(runs, "page_id"), "run_id", ["page_id"])
     chunks = chunk.chunk_pages(numbered, settings.target_words, settings.overlap_words).withColumn("chunk_ord", F.xxhash64("page_id", "id"))
+    chunks = cut(chunks)
     sections = sections_table(spark)
     ranked = rank(chunks, sections.select("section", F.col("query").alias("text")), stop_words, settings)
     points = analyze.cited_points(ranked, chunks, "section", "chunk_ord")

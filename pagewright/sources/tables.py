@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One stored table; Parquet, so that column pruning and filters reach the scan."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """One stored table; Parquet, so that column pruning and filters reach the scan.
+
+    A table of fewer parts than the session has cores is spread over them, as all that follows would run on a few cores
+    otherwise; a large table has more parts and is read as it is stored."""
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
