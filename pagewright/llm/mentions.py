@@ -35,7 +35,7 @@ _SPELLED = re.compile(
 _NUMBER = re.compile(r"\d[\d().\-/  ‑– ]{4,}\d(?![\w]|[.,/]\d)")
 _SIGN = re.compile(r"(?:\+\s?|\()$")
 _DIGITS = re.compile(r"\d[ \-]?\d[ \-]?\d[ \-]?\d[A-Z0-9]*(?:[ \-](?=[A-Z0-9]*\d)[A-Z0-9]{1,9}|[ \-][A-Z](?![\w]))*(?![a-zà-ÿ])")
-_BEFORE = re.compile(r"(?:(?<![\w\-])[A-Z]{1,5} )?(?:(?<![\w\-])[A-Z0-9]{1,9}\-)?[A-Z0-9]*$")
+_BEFORE = re.compile(r"(?:(?<![\w\-])[A-Z]{1,5} )?(?:(?<!\w)[A-Z0-9]{1,9}-){0,3}[A-Z0-9]*$")
 _TOWN = rf"(?:\d{{4,5}} )?{_WORD}(?: {_WORD})?(?: \d{{4,5}})?"
 _UNIT = re.compile(r"(?<!\w)(?:Flat|Unit|Apt\.?|Apartment|Suite|Room|Floor|Studio|FLAT|UNIT|APT\.?|SUITE) [A-Z0-9]{1,4},? $")
 _HOUSE = re.compile(rf"\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?(?=[{_U}])")

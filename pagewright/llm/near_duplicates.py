@@ -190,7 +190,7 @@ def link_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = both.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), "id", "f0", "f1")
     # Both sides of a block pair meet by the same key; a block with itself has one side only.
     spread = shards.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    near = cut(spread.mapInArrow(_search_shards, "a long, b long").distinct())
+    near = cut(spread.mapInArrow(_search_shards, "a long, b long").where("a <> b").distinct())
     asked = sized(near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct())
     wanted = texts.withColumn("uid", F.xxhash64("item", "id")).join(asked, "uid", "left_semi")
     sets = _run_sets(wanted)

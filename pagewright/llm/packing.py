@@ -78,7 +78,7 @@ def pack(sizes: DataFrame, containers: DataFrame, window_items: int = WINDOW_ITE
     boxes = [(name, int(capacity)) for name, capacity in boxes]
     each = own.withColumn("window_no", F.pmod(F.xxhash64("item_id", F.monotonically_increasing_id()), F.lit(windows)))
 
-    def fill(key, items: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         ids, sizes = items["item_id"].to_numpy(), items["tokens"].to_numpy()
         out = []
         for container, capacity in boxes:

@@ -14,8 +14,8 @@ MAX_CHARS = 4000
 OVERLAP_WORDS = 30
 PIECES = "item string, item_id long, piece_no int, start_pos int, end_pos int, words int, text string"
 
-#: Where a level ends a part: before a heading, after a line, after a sentence, after a word.
-_LEVELS = [re.compile(r"\n(?=#{1,6}\s)"), re.compile(r"\n+"), re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+"), re.compile(r"\s+")]
+#: Where a level ends a part: before a heading, after a line that is no heading, after a sentence, after a word.
+_LEVELS = [re.compile(r"\n(?=#{1,6}\s)"), re.compile(r"^(?!#{1,6}\s).*\n+", re.M), re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+"), re.compile(r"\s+")]
 
 
 class _Text:
