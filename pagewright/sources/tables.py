@@ -44,3 +44,12 @@ def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, written once and counted: marked for broadcast up to most_rows, left to a shuffle join beyond."""
     df = cut(df)
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """About the first `most` of the rows by a hash of their key, never more; rows: how many there are, or a bound of it.
+
+    The hash is cut off first where there are many rows, so that the sort meets some 1.5 x most rows however large df is."""
+    if rows > 2 * most:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 1.5 * most / rows))
+    return df.orderBy(F.xxhash64(key), key).limit(most)
