@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import host_of
 from pagewright.llm.htmlruns import Run, runs_of, shown
 from pagewright.llm.lstm import Blocks, Model
+from pagewright.sources.tables import hash_sample
 
 #: The labeller is trained on at most so many pages, the first by a hash of their id; every page is labelled by it.
 SAMPLE_PAGES = 2400
@@ -211,7 +212,8 @@ def fetched(pages: DataFrame) -> DataFrame:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
-    sample = fetched(pages).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).toArrow()
+    rows = pages.where("status = 200").count()  # an upper bound that needs no html
+    sample = hash_sample(fetched(pages), "page_id", sample_pages, rows).toArrow()
     return train([runs_of(h) for h in sample["html"].to_pylist()], [h or "" for h in sample["host"].to_pylist()])
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.sources.tables import hash_sample
+
 DIM = 96
 #: The router is fitted on at most so many vectors, the first by a hash of their id; every vector is indexed.
 SAMPLE_ROWS = 8192
@@ -157,7 +159,7 @@ def learn(vectors: DataFrame, rows: int, dim: int = DIM, sample_rows: int = SAMP
     parts = int(np.clip(rows // ROWS_PER_PART, 1, MAX_PARTS))
     if parts == 1:
         return fit_router(np.zeros((0, dim)), 1)
-    sample = vectors.orderBy(F.xxhash64("rowid"), "rowid").limit(sample_rows).toArrow()
+    sample = hash_sample(vectors, "rowid", sample_rows, rows).toArrow()
     return fit_router(np.unique(_unit(sample["vec"], dim), axis=0), parts)
 
 
