@@ -72,3 +72,24 @@ def guarded_points(replies: DataFrame, retrieved: DataFrame, sections: DataFrame
     cites = known.select("reply_id", "section_id", "point_no", F.col("p.text").alias("text"), F.posexplode("p.citations").alias("at", "cited"))
     good = cites.join(retrieved.select("reply_id", "cited").distinct(), ["reply_id", "cited"], "left_semi")
     return good.groupBy("reply_id", "section_id", "point_no", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cited"))), lambda x: x["cited"]).alias("citations"))
+
+
+def executive_summary(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(summary), one row: how many pages and words there are, the most frequent terms, and the first titles by page_id."""
+    size = pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term")))  # a handful of terms
+    named = terms.agg(F.array_join(F.transform(order, lambda x: x["term"]), ", ").alias("terms"))
+    first = pages.where("trim(title) <> ''").select("page_id", "title").orderBy("page_id").limit(5)
+    titles = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "title"))), lambda x: x["title"]), "; ").alias("titles"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    joined = one(size).join(one(named), "one").join(one(titles), "one")
+    return joined.select(F.concat(F.lit("The site has "), F.col("pages"), F.lit(" pages with "), F.col("words"), F.lit(" words. It often speaks of "), F.col("terms"), F.lit(". First pages: "), F.col("titles"), F.lit(".")).alias("summary"))
+
+
+def prompts(context: DataFrame, sections: DataFrame, key: str) -> DataFrame:
+    """(prompt), one row for a language model: the sections asked for, the answer's form, and the retrieved chunks by id."""
+    lines = context.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), "\n").alias("context"))  # what was retrieved: sections x k lines
+    asked = sections.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "section_id", "title"))), lambda x: F.concat(x["section_id"], F.lit(": "), x["title"])), "\n").alias("asked"))
+    joined = lines.withColumn("one", F.lit(1)).join(asked.withColumn("one", F.lit(1)), "one")
+    form = '{"executive_summary": "...", "sections": [{"id": "...", "points": [{"text": "...", "citations": ["..."]}]}]}'
+    return joined.select(F.concat(F.lit("Write a report with these sections:\n"), F.col("asked"), F.lit(f"\n\nAnswer with one JSON object: {form}\nCite chunks by their ids in brackets, and nothing else.\n\n"), F.col("context")).alias("prompt"))

@@ -59,3 +59,21 @@ def label_agreement(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     v = vectors.select("vec_id", F.col("label").alias("other"))
     own = neighbours.join(q, "query_id").join(v, "vec_id")
     return own.groupBy("label").agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.avg((F.col("label") == F.col("other")).cast("double")), 6).alias("agreement"))
+
+
+def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3, tables: int = 8, width: float = 0.8) -> DataFrame:
+    """As knn, among pairs that random projections put into one bucket and whose cosine is at least `least`: approximate,
+    and spread by bucket where comparing everything is too much."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(df: DataFrame) -> DataFrame:
+        own = df.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.exists("embedding", lambda x: x != 0))
+        return Normalizer(inputCol="v", outputCol="unit").transform(own.select("vec_id", array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0)))).alias("v"))).select("vec_id", "unit")
+
+    base = unit(vectors)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=3).fit(base)
+    near = model.approxSimilarityJoin(unit(queries), base, float(np.sqrt(2 - 2 * least)), distCol="d")
+    pairs = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")).where("query_id <> vec_id AND score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -165,6 +165,12 @@ def knn_label_agreement(spark, root):
     return vectors.label_agreement(_knn(spark, root), table(spark, root, "embeddings"))
 
 
+@query()
+def knn_hashed(spark, root):
+    found = table(spark, root, "embeddings")
+    return vectors.knn_hashed(found, found.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "score", "rank")
+
+
 # ---- sentences, points, citations ---------------------------------------------------------------------------------------
 _SENTENCES = r"""
 parts AS (SELECT chunk_ord, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM chunks WHERE text IS NOT NULL),
@@ -218,6 +224,22 @@ def report_terms(spark, root):
     return analyze.report_terms(table(spark, root, "extracted_pages"), _stop(spark, root))
 
 
+@query("""WITH stop AS (SELECT DISTINCT lower(word) AS term FROM common_words WHERE lang = 'en'),
+t AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, meta_description, substr(text, 1, 800))), '[a-z0-9]+')) AS term FROM extracted_pages),
+c AS (SELECT term, count(*) AS n FROM t WHERE length(term) > 1 AND term NOT IN (SELECT term FROM stop) GROUP BY term ORDER BY n DESC, term LIMIT 6)
+SELECT 'The site has ' || (SELECT count(*) FROM extracted_pages) || ' pages with ' || (SELECT coalesce(sum(word_count), 0) FROM extracted_pages) || ' words. It often speaks of ' || (SELECT string_agg(term, ', ' ORDER BY n DESC, term) FROM c)
+ || '. First pages: ' || (SELECT string_agg(title, '; ' ORDER BY page_id) FROM (SELECT page_id, title FROM extracted_pages WHERE trim(title) <> '' ORDER BY page_id LIMIT 5)) || '.' AS summary""")
+def executive_summary(spark, root):
+    pages = table(spark, root, "extracted_pages")
+    return analyze.executive_summary(pages, analyze.report_terms(pages, _stop(spark, root)))
+
+
+@query()
+def prompt(spark, root):
+    context = analyze.context_lines(_ranked(spark, root), table(spark, root, "chunks"), "chunk_ord")
+    return analyze.prompts(context, pipeline.sections_table(spark), "chunk_ord")
+
+
 def _replies(spark, root) -> DataFrame:
     """A reply for each page, from its chunks: fenced for even ids, between words for others, citing a chunk of the page,
     one that doesn't exist, and under a section that nobody asked for."""

@@ -49,3 +49,13 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     q = ingest.extract_to(pages, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r["page_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+
+
+def test_cli(spark, tmp_path):
+    from pagewright import cli
+
+    fetched(spark).write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("the",)], "word string").write.parquet(str(tmp_path / "stop"))
+    assert cli.main([str(tmp_path / "pages"), str(tmp_path / "stop"), str(tmp_path / "out")]) == 0
+    assert cli.main([str(tmp_path / "none"), str(tmp_path / "stop"), str(tmp_path / "out2")]) == 1
+    assert (tmp_path / "out" / "points").is_dir()

@@ -92,3 +92,13 @@ def test_evaluation(spark):
     assert (s["cases"], s["hit_at_3"], s["mrr"]) == (3, round(1 / 3, 6), 0.25)
     assert evaluate.summary(evaluate.case_results(cases.limit(0), ranked)).first()["mrr"] is None
     assert evaluate.case_results(cases, ranked.withColumn("extra", F.lit(1))).count() == 3
+
+
+def test_knn_hashed_finds_most_of_it(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16))
+    m = centres[rng.integers(0, 8, 300)] + rng.normal(size=(300, 16)) * 0.4
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, [0.0] * 16), (901, None)], "vec_id long, embedding array<double>")
+    want = {(r["query_id"], r["vec_id"]) for r in vectors.knn(df, df.where("vec_id < 30"), 5).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.knn_hashed(df, df.where("vec_id < 30"), 5).collect()}
+    assert len(want & got) >= 0.9 * len(want)
