@@ -67,9 +67,10 @@ def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
+    # Written before vectors are made of it, or a filter could be moved behind the functions that need it.
     def unit(df: DataFrame) -> DataFrame:
-        own = df.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.exists("embedding", lambda x: x != 0))
-        return Normalizer(inputCol="v", outputCol="unit").transform(own.select("vec_id", array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0)))).alias("v"))).select("vec_id", "unit")
+        own = cut(df.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.exists("embedding", lambda x: x != 0)))
+        return Normalizer(inputCol="v", outputCol="unit").transform(own.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))).select("vec_id", "unit")
 
     base = unit(vectors)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=3).fit(base)
