@@ -86,6 +86,11 @@ def runs_of(html: str) -> list[Run]:
     return out
 
 
+def texts_of(html: str) -> list[str]:
+    """The texts of the runs of a page, without the tags around them."""
+    return [piece for piece in _SPLIT.split(body_of(html))[::2] if piece and not piece.isspace()]
+
+
 def shown(text: str) -> str:
     """A run as a reader sees it: entities resolved, white space as single blanks."""
     return " ".join((unescape(text) if "&" in text else text).split())

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import host_of
-from pagewright.llm.htmlruns import Run, runs_of, shown
+from pagewright.llm.htmlruns import Run, runs_of, shown, texts_of
 from pagewright.llm.lstm import Blocks, Model
-from pagewright.sources.tables import hash_sample
+from pagewright.sources.tables import BROADCAST_ROWS, cut, hash_sample
 
 #: The labeller is trained on at most so many pages, the first by a hash of their id; every page is labelled by it.
 SAMPLE_PAGES = 2400
+#: A run is the site's own when its form stands on so many pages of its host, or is repeated on so many hosts, of all pages.
+SITE_PAGES, SITE_HOSTS = 12, 4
+SALTS = 16
 TRAIN_STEPS = 420
 TRAIN_DOCS = 32
 WORD_BUCKETS, TAG_BUCKETS = 4096, 512
@@ -25,6 +29,7 @@ _CONTAINERS = frozenset("div section article main aside nav header footer ul ol
 _FURNITURE_TAGS = frozenset("nav header footer aside".split())
 _END = re.compile(r"[.!?…:][\"'”’)]*$")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_DIGITS = re.compile(r"\d+")
 
 # ---- fixed values: openings of lines about a page rather than of its text, for the training labels ----------------
 _ABOUT = re.compile(
@@ -93,7 +98,7 @@ class _Known(dict):
             words = [_words[w] for w in _WORD.findall(text.lower())]
             n = text.count(" ") + 1
             end = _END.search(text) is not None
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(str.isdigit, text)) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0
+            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(str.isdigit, text)) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -110,33 +115,71 @@ class _Paths(dict):
         return value
 
 
-_known, _paths = _Known(), _Paths()
-NUMBERS = 14
+def _form(text: str) -> str:
+    """A run as shown, for comparison: lower case, digit runs as one 0."""
+    return _DIGITS.sub("0", text.lower())
 
 
-def features(pages: list[list[Run]]) -> tuple[Blocks, list[list[str]]]:
-    """Blocks of the pages and the runs as shown."""
-    words, word_counts, tags, tag_counts, numbers, lengths, all_texts = [], [], [], [], [], [], []
-    for runs in pages:
+class _Forms(dict):
+    """A run as written -> its compared form; short runs are kept as in _Known."""
+
+    def look(self, raw: str) -> str:
+        form = self.get(raw)
+        if form is None:
+            form = _form(shown(raw))
+            if len(raw) <= 100:
+                if len(self) >= 100_000:
+                    self.clear()
+                self[raw] = form
+        return form
+
+
+_known, _paths, _forms = _Known(), _Paths(), _Forms()
+NUMBERS = 16
+
+
+def _brand(host: str | None) -> str:
+    """The name in a host that its lines are compared without; empty where it is too short to tell."""
+    name = re.split(r"[-.]", host or "")[0]
+    return _DIGITS.sub("0", name.lower()) if len(name) > 3 else ""
+
+
+def _key(form: str, brand: str) -> int:
+    """64 bits of a run's compared form, the site's name masked."""
+    h = xxhash.xxh64_intdigest(form.replace(brand, "@") if brand else form)
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: Of each page: key of a run's form -> (pages of the host that have it, whether it is repeated on SITE_HOSTS hosts).
+Shared = dict[int, tuple[int, bool]]
+
+
+def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared]) -> tuple[Blocks, list[list[str]], list[list[tuple[int, bool]]]]:
+    """Blocks of the pages, the runs as shown, and what each run shares with other pages."""
+    words, word_counts, tags, tag_counts, numbers, lengths, all_texts, all_shared = [], [], [], [], [], [], [], []
+    for runs, host, own_shared in zip(pages, hosts, shared):
         seen = [_known.look(r.text) for r in runs]
         counted = [s[3] for s in seen]
         mass, total, n = _masses(runs, counted), sum(counted), len(runs)
         lengths.append(n)
         all_texts.append([s[0] for s in seen])
+        brand = _brand(host)
+        with_others = [own_shared.get(_key(s[4], brand), (1, False)) if own_shared else (1, False) for s in seen]
+        all_shared.append(with_others)
         page = (min(total, 400) / 400, min(n, 150) / 150)
-        for i, (run, (_, found, own, _)) in enumerate(zip(runs, seen)):
+        for i, (run, (_, found, own, _, _)) in enumerate(zip(runs, seen)):
             words += found
             word_counts.append(len(found))
             ids, flags = _paths[run.path]
             tags += ids
             tag_counts.append(len(ids))
             a, b = _inner(run)
-            numbers.append((*own, *flags, i / n, mass[a] / total if total else 0.5, mass[b] / total if total else 0.5, *page))
+            numbers.append((*own, *flags, i / n, mass[a] / total if total else 0.5, mass[b] / total if total else 0.5, *page, min(with_others[i][0], SITE_PAGES) / SITE_PAGES, with_others[i][1]))
     blocks = Blocks(
         np.array(words, dtype=np.int64), np.array(word_counts, dtype=np.int64), np.array(tags, dtype=np.int64), np.array(tag_counts, dtype=np.int64),
         np.array(numbers, dtype=np.float32).reshape(-1, NUMBERS), np.array(lengths, dtype=np.int64),
     )
-    return blocks, all_texts
+    return blocks, all_texts, all_shared
 
 
 def _region(runs: list[Run], counts: list[int]) -> set[int] | None:
@@ -153,31 +196,22 @@ def _region(runs: list[Run], counts: list[int]) -> set[int] | None:
     return None if best is None else {i for i, r in enumerate(runs) if best in r.nodes}
 
 
-def training_labels(pages: list[list[Run]], texts: list[list[str]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def training_labels(pages: list[list[Run]], texts: list[list[str]], shared: list[list[tuple[int, bool]]]) -> tuple[np.ndarray, np.ndarray]:
     """(target, weight) by rules that hold for most pages: in the main region, not in a navigation element, not in a list
-    of links or below a title of one, not one of the lines that many pages or hosts of the sample share, not a line about
-    the page."""
-    forms, seen, pages_of = [], defaultdict(set), Counter()
-    for own, host in zip(texts, hosts):
-        brand = re.split(r"[-.]", host or "")[0]
-        mask = re.compile(re.escape(brand), re.I) if len(brand) > 3 else None
-        form = [re.sub(r"\d+", "0", (mask.sub("@", t) if mask else t).lower()) for t in own]
-        forms.append(form)
-        for f in set(form):
-            seen[f].add(host)
-            pages_of[f] += 1
+    of links or below a title of one, not one of the lines that many pages of the host or many hosts share, counted over
+    all pages, not a line about the page."""
     target, weight = [], []
-    for runs, own, form in zip(pages, texts, forms):
+    for runs, own, with_others in zip(pages, texts, shared):
         plain = defaultdict(int)  # words that stand directly below each node, links apart
         for run, text in zip(runs, own):
             if run.nodes and "a" not in run.path:
                 plain[run.nodes[-1]] += text.count(" ") + 1
         clear = []
-        for run, text, f in zip(runs, own, form):
+        for run, text, (on_pages, on_hosts) in zip(runs, own, with_others):
             n = text.count(" ") + 1
             heading = any(x[:1] == "h" and x[1:2].isdigit() for x in run.path[-2:])
             about = bool(n <= 40 and _ABOUT.search(text)) or heading and bool(_MORE.search(text))
-            common = not heading and (len(seen[f]) >= 4 or pages_of[f] >= 6) and not (n <= 3 and "p" in run.path)
+            common = not heading and (on_pages >= SITE_PAGES or on_hosts) and not (n <= 3 and "p" in run.path)
             link = run.path[-1:] == ("a",) and n <= 9 and not _END.search(text) and not (len(run.nodes) > 1 and plain[run.nodes[-2]])
             clear.append(about or common or link or any(_name(x) in _FURNITURE_TAGS for x in run.path))
         counts = [0 if bad else n for bad, n in zip(clear, _in_sentences(own))]
@@ -189,10 +223,10 @@ def training_labels(pages: list[list[Run]], texts: list[list[str]], hosts: list[
     return np.array(target, dtype=np.float32), np.array(weight, dtype=np.float32)
 
 
-def train(pages: list[list[Run]], hosts: list[str], steps: int = TRAIN_STEPS, seed: int = 11) -> Model:
+def train(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared], steps: int = TRAIN_STEPS, seed: int = 11) -> Model:
     """A labeller from a bounded sample of pages: so many steps of so many pages, however small the sample is."""
-    blocks, texts = features(pages)
-    target, weight = training_labels(pages, texts, hosts)
+    blocks, texts, with_others = features(pages, hosts, shared)
+    target, weight = training_labels(pages, texts, with_others)
     model, state, rng = Model.new(WORD_BUCKETS, TAG_BUCKETS, blocks.numbers.shape[1]), {}, np.random.default_rng(seed)
     usable = np.flatnonzero(blocks.lengths > 0)
     if not len(usable):
@@ -211,10 +245,62 @@ def fetched(pages: DataFrame) -> DataFrame:
     return pages.where("status = 200 AND html <> '' AND page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
+def page_forms(pages: DataFrame) -> DataFrame:
+    """(page_id, host, forms) of the fetched pages that have a host: the keys of the forms of their runs, each once."""
+
+    def forms(batches):
+        for batch in batches:
+            keys = []
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                brand = _brand(host)
+                keys.append(list({_key(_forms.look(t), brand) for t in texts_of(html)}))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(keys, pa.list_(pa.int64()))], ["page_id", "host", "forms"])
+
+    rows = fetched(pages).where("host IS NOT NULL").mapInArrow(forms, "page_id long, host string, forms array<long>")
+    return rows.groupBy("page_id", F.xxhash64("host").alias("host")).agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"))
+
+
+def _looked_up(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the counts of their keys: broadcast up to a bound, salted beyond, as one line can stand on most pages."""
+    counts = cut(counts)
+    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts), keys, "left")
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
+def shared_forms(pages: DataFrame) -> DataFrame:
+    """(page_id, host, forms, pages, wide), written once: per page, the forms of its runs that stand on other pages of its
+    host too, or are repeated on SITE_HOSTS hosts (wide), and on how many pages of the host. Counted over all fetched pages;
+    a page_id counts once a host. Pages without a host or such forms have no row; host is its hash."""
+    own = cut(page_forms(pages))
+    each = own.select("page_id", "host", F.explode("forms").alias("form"))
+    on_host = cut(each.groupBy("host", "form").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2"))
+    on_hosts = on_host.groupBy("form").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= SITE_HOSTS).select("form", F.lit(True).alias("wide"))
+    found = _looked_up(_looked_up(each, on_host, ["host", "form"]), on_hosts, ["form"]).where("pages IS NOT NULL OR wide")
+    one = F.struct("form", F.coalesce("pages", F.lit(1)).cast("int").alias("pages"), F.coalesce("wide", F.lit(False)).alias("wide"))
+    return cut(found.groupBy("page_id", "host").agg(F.collect_list(one).alias("s")).select("page_id", "host", F.col("s.form").alias("forms"), F.col("s.pages").alias("pages"), F.col("s.wide").alias("wide")))
+
+
+def _with_shared(pages: DataFrame, shared: DataFrame) -> DataFrame:
+    """pages (page_id, host, html) with the columns of shared_forms, null where there is nothing shared."""
+    return pages.withColumn("hashed", F.xxhash64("host")).join(shared.withColumnRenamed("host", "hashed"), ["page_id", "hashed"], "left").select("page_id", "host", "html", "forms", "pages", "wide")
+
+
+def _inputs(b) -> tuple[list[list[Run]], list[str | None], list[Shared]]:
+    """What features takes, from Arrow rows of _with_shared."""
+    forms, on_pages, wide = ([x for chunk in getattr(b.column(c), "chunks", [b.column(c)]) for x in chunk.flatten().to_numpy(zero_copy_only=False).tolist()] for c in ("forms", "pages", "wide"))
+    shared, at = [], 0
+    for n in pc.fill_null(pc.list_value_length(b.column("forms")), 0).to_pylist():
+        shared.append(dict(zip(forms[at : at + n], zip(on_pages[at : at + n], wide[at : at + n]))))
+        at += n
+    return [runs_of(h) for h in b.column("html").to_pylist()], b.column("host").to_pylist(), shared
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, shared: DataFrame | None = None) -> Model:
     rows = pages.where("status = 200").count()  # an upper bound that needs no html
-    sample = hash_sample(fetched(pages), "page_id", sample_pages, rows).toArrow()
-    return train([runs_of(h) for h in sample["html"].to_pylist()], [h or "" for h in sample["host"].to_pylist()])
+    sample = hash_sample(fetched(pages), "page_id", sample_pages, rows)
+    return train(*_inputs(_with_shared(sample, shared_forms(pages) if shared is None else shared).orderBy(F.xxhash64("page_id"), "page_id").toArrow()))
 
 
 def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -222,14 +308,14 @@ def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     pages: page_id, url, status, html. Other statuses, null and empty html and null ids have no runs; html without a body
     tag is read from its start; unclosed and unknown tags do no harm. A repeated page_id is labelled for each row."""
-    model = model or fit(pages)
+    shared = shared_forms(pages)
+    model = model or fit(pages, shared=shared)
 
     def label(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                runs = [runs_of(h) for h in b.column("html").to_pylist()]
-                blocks, texts = features(runs)
+                blocks, texts, _ = features(*_inputs(b))
                 main = model.label(blocks) >= 0.5
                 ids = np.repeat(b.column("page_id").to_numpy(), blocks.lengths)
                 no = np.arange(len(ids)) - np.repeat(np.cumsum(blocks.lengths) - blocks.lengths, blocks.lengths)
@@ -237,19 +323,20 @@ def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 count = [t.count(" ") + 1 if t else 0 for t in flat]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(count, pa.int32()), pa.array(flat, pa.string()), pa.array(main)], ["page_id", "run_no", "words", "text", "main"])
 
-    return fetched(pages).select("page_id", "html").mapInArrow(label, "page_id long, run_no int, words int, text string, main boolean")
+    return _with_shared(fetched(pages), shared).mapInArrow(label, "page_id long, run_no int, words int, text string, main boolean")
 
 
 def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, text, word_count, kept_ratio): the runs of the main body as lines, and their share of all shown words,
     rounded to 3 places; a page without runs has an empty text and ratio 0. One row a fetched row."""
-    model = model or fit(pages)
+    shared = shared_forms(pages)
+    model = model or fit(pages, shared=shared)
 
     def body(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                blocks, texts = features([runs_of(h) for h in b.column("html").to_pylist()])
+                blocks, texts, _ = features(*_inputs(b))
                 main = model.label(blocks) >= 0.5
                 out, start = [], 0
                 for own in texts:
@@ -261,4 +348,4 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
                     [b.column("page_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], ["page_id", "text", "word_count", "kept_ratio"]
                 )
 
-    return fetched(pages).select("page_id", "html").mapInArrow(body, "page_id long, text string, word_count int, kept_ratio double")
+    return _with_shared(fetched(pages), shared).mapInArrow(body, "page_id long, text string, word_count int, kept_ratio double")

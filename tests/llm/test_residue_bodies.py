@@ -86,3 +86,19 @@ def test_main_bodies(spark):
     bodies = {r["page_id"]: r for r in main_content.main_bodies(df, model).collect()}
     assert "pump" in bodies[3]["text"] and 0 < bodies[3]["kept_ratio"] < 1 and bodies[903]["kept_ratio"] == 0
     assert main_content.labelled_runs(df.limit(0)).count() == 0
+
+
+def test_site_lines_are_counted_over_all_pages_not_the_sample(spark):
+    rows, n = [], 0
+    for host in range(12):
+        for i in range(14):
+            own = " ".join(f"The {w} of part {chr(97 + host)}{chr(97 + i)} is ready for the {w} in the yard." for w in ("pump", "valve", "hose"))
+            site = f"Our old hall number {chr(97 + host) * 3} opens its door to every member of the guild."
+            rows.append((n, f"https://guild{chr(97 + host)}.example/p{i}", 200, f"<html><body><main><h1>Part {i}</h1><p>{own}</p><p>{site}</p></main></body></html>"))
+            n += 1
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, status int, html string")
+    shared = main_content.shared_forms(df)
+    assert {max(r["pages"]) for r in shared.collect()} == {14}  # the row that is there twice counts once
+    model = main_content.fit(df, sample_pages=24)
+    got = main_content.labelled_runs(df, model).collect()
+    assert sum(r["main"] == (r["run_no"] < 2) for r in got) >= 0.98 * 3 * (n + 1)
