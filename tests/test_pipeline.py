@@ -1,7 +1,9 @@
 import json
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.plans import pipeline
 from pagewright.sources import evalset, reports
@@ -51,6 +53,29 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     assert sorted(r["page_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
 
 
+def test_stream_keeps_old_pages_after_a_late_one(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    source, day = fetched(spark, 6), datetime(2024, 1, 1)
+    parts = [
+        source.where("page_id = 5").withColumn("stored_at", F.lit(day + timedelta(days=300))),
+        source.where("page_id IN (0, 1)"),
+        source.where("page_id IN (1, 2)").withColumn("stored_at", F.lit(None).cast("timestamp")),
+        source.where("page_id = 3").withColumn("status", F.lit(404)),
+        source.where("page_id IN (3, 5)"),
+        source.where("page_id = 4").withColumn("page_id", F.lit(None).cast("long")),
+        source.where("page_id = 4").withColumn("page_id", F.lit(None).cast("long")),
+    ]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are taken by their time
+    for _ in range(2):
+        q = ingest.extract_to(ingest.page_stream(spark, str(tmp_path / "in"), source.schema, 1), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.awaitTermination(120)
+        assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"https://s.example/{i}" for i in range(6)]
+        source.where("page_id = 2").write.mode("append").parquet(str(tmp_path / "in"))
+
+
 def test_cli(spark, tmp_path):
     from pagewright import cli
 
