@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import cut
+from pagewright.sources.tables import cut, sized
 
 #: Queries of one block: each block of queries meets every batch of vectors once.
 QUERY_BLOCK = 512
+#: Vectors of one bucket of the hashed search, about, and the most rows of one block of a bucket, about.
+HASH_ROWS, HASH_BLOCK = 2000, 8192
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -61,20 +63,60 @@ def label_agreement(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     return own.groupBy("label").agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.avg((F.col("label") == F.col("other")).cast("double")), 6).alias("agreement"))
 
 
-def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3, tables: int = 8, width: float = 0.8) -> DataFrame:
-    """As knn, among pairs that random projections put into one bucket and whose cosine is at least `least`: approximate,
-    and spread by bucket where comparing everything is too much."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    # Written before vectors are made of it, or a filter could be moved behind the functions that need it.
-    def unit(df: DataFrame) -> DataFrame:
-        own = cut(df.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.exists("embedding", lambda x: x != 0)))
-        return Normalizer(inputCol="v", outputCol="unit").transform(own.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))).select("vec_id", "unit")
-
-    base = unit(vectors)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=3).fit(base)
-    near = model.approxSimilarityJoin(unit(queries), base, float(np.sqrt(2 - 2 * least)), distCol="d")
-    pairs = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")).where("query_id <> vec_id AND score > 0")
+def sure_cosine(bits: int, tables: int, recall: float) -> float:
+    """The cosine from which two vectors share a bucket of one of the tables with at least this probability: signs of
+    random projections differ with probability angle / pi."""
+    same = (1 - (1 - recall) ** (1 / tables)) ** (1 / bits)
+    return float(np.cos(np.pi * (1 - same)))
+
+
+def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, recall: float = 0.99, block: int = HASH_BLOCK, dim: int | None = None) -> DataFrame:
+    """As knn, with candidates from buckets of random projections where these are enough, and the exact search elsewhere.
+
+    A bucket is the signs of `bits` projections, so many that buckets hold about HASH_ROWS vectors and all tables together
+    compare a quarter of the pairs at most where vectors spread. A query is settled by its buckets when its k best
+    there all have the sure_cosine of that many bits: a nearer vector was then met with probability `recall` at least. All
+    other queries, those of fewer than k hits among them, get knn: on vectors without near neighbours that is nearly every
+    query. Buckets are cut into blocks of about `block` vectors and queries, so hot ones are spread.
+    dim: the size of vectors that count, else the most frequent one."""
+    some = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    if dim is None:
+        most = some.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+        dim = most["dim"] if most else 0
+
+    def usable(df: DataFrame) -> DataFrame:
+        own = df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.size("embedding") == dim).where(F.exists("embedding", lambda x: x != 0))
+        return cut(own.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
+
+    base, asked = usable(vectors), usable(queries)
+    bits = max(int(np.ceil(np.log2(4 * tables))), int(np.ceil(np.log2(max(base.count(), 1) / HASH_ROWS))))
+    planes = np.random.default_rng(3).normal(size=(dim, tables * bits))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        def run(batches):
+            weights = 1 << np.arange(bits, dtype=np.int64)
+            for b in batches:
+                signs = (np.stack(b["embedding"].to_list()) @ planes > 0).reshape(-1, tables, bits) if len(b) else np.zeros((0, tables, bits), bool)
+                keys = (signs @ weights) * tables + np.arange(tables)
+                yield b.assign(keys=list(keys))
+
+        return df.mapInPandas(run, "vec_id long, embedding array<double>, keys array<long>").select("vec_id", "embedding", F.explode("keys").alias("key"))
+
+    v, q = hashed(base), hashed(asked)
+    blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = sized(blocks(v, "v_blocks").join(blocks(q, "q_blocks"), "key"))
+    part = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    v = v.join(sizes, "key").withColumn("a", part("v_blocks")).withColumn("b", every("q_blocks")).select("key", "a", "b", "vec_id", "embedding")
+    q = q.join(sizes, "key").withColumn("b", part("q_blocks")).withColumn("a", every("v_blocks")).select("key", "a", "b", "vec_id", "embedding")
+
+    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        parts = [next(_best_of(own.iloc[at : at + QUERY_BLOCK], k)([others])) for at in range(0, len(own), QUERY_BLOCK)] if len(others) else []
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    met = q.groupBy("key", "a", "b").cogroup(v.groupBy("key", "a", "b")).applyInPandas(best, "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = cut(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    settled = near.where((F.col("rank") == k) & (F.col("score") >= sure_cosine(bits, tables, recall))).select("query_id")
+    rest = asked.join(settled.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    return near.join(settled, "query_id", "left_semi").unionByName(knn(base, rest, k).select("query_id", "vec_id", "score", "rank"))

@@ -102,3 +102,24 @@ def test_knn_hashed_finds_most_of_it(spark):
     want = {(r["query_id"], r["vec_id"]) for r in vectors.knn(df, df.where("vec_id < 30"), 5).collect()}
     got = {(r["query_id"], r["vec_id"]) for r in vectors.knn_hashed(df, df.where("vec_id < 30"), 5).collect()}
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_knn_hashed_on_vectors_without_near_neighbours(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = df.where("vec_id % 50 = 0")
+    want = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.knn(df, asked, 5).collect()}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.knn_hashed(df, asked, 5).collect()}
+    assert min(want.values()) < 0.3 and len(want.keys() & got.keys()) >= 0.9 * len(want) and len(got) == len(want)
+
+
+def test_knn_hashed_settles_near_copies_by_their_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = np.repeat(rng.normal(size=(60, 64)), 6, axis=0) + rng.normal(size=(360, 64)) * 0.05
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, [1.0])], "vec_id long, embedding array<double>")
+    want = {(r["query_id"], r["vec_id"]) for r in vectors.knn(df, df.where("vec_id < 60"), 5).collect()}
+    left = []
+    exact = vectors.knn
+    monkeypatch.setattr(vectors, "knn", lambda v, q, k: left.append(q.count()) or exact(v, q, k))
+    for block in (8192, 4):  # with 4, buckets are cut into many blocks
+        assert {(r["query_id"], r["vec_id"]) for r in vectors.knn_hashed(df, df.where("vec_id < 60"), 5, block=block).collect()} == want
+    assert left == [0, 0]
