@@ -360,30 +360,36 @@ def run_counters(spark, root):
 
 
 def _graph(spark, root):
-    """A link graph from the stored depths: a page of depth d is linked from the last page of depth d - 1 before it in its
-    run, one of the least depth from the start."""
-    pages = table(spark, root, "fetched_pages").where("depth IS NOT NULL").select("run_id", "page_id", "url", "depth")
-    before = Window.partitionBy("run_id").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = pages
-    for d in range(4):
-        out = out.withColumn(f"last{d}", F.last(F.when(F.col("depth") == d, F.col("url")), True).over(before))
-    parent = F.when(F.col("depth") == 1, F.col("last0")).when(F.col("depth") == 2, F.col("last1")).when(F.col("depth") == 3, F.col("last2"))
-    starts = table(spark, root, "crawl_stats").select("run_id", F.col("start_url").alias("url"))
-    edges = out.join(starts.withColumnRenamed("url", "start"), "run_id").select(F.coalesce(parent, F.col("start")).alias("url"), F.col("page_id").alias("position"), F.col("url").alias("link"))
-    return starts, edges
+    pages = table(spark, root, "fetched_pages")
+    return crawl.stored_graph(pages, table(spark, root, "crawl_stats").select("run_id", F.col("start_url").alias("url")))
+
+
+_WALK = """
+WITH RECURSIVE p AS (SELECT run_id, page_id, url, depth FROM fetched_pages WHERE depth IS NOT NULL AND page_id IS NOT NULL AND url IS NOT NULL),
+s AS (SELECT DISTINCT run_id, start_url AS url FROM crawl_stats),
+b AS (SELECT run_id, page_id, url, (SELECT max(q.page_id) FROM p q WHERE q.run_id = c.run_id AND q.depth = c.depth AND q.page_id < c.page_id) AS same,
+  coalesce((SELECT max(q.page_id) FROM p q WHERE q.run_id = c.run_id AND q.depth = c.depth - 1 AND q.page_id < c.page_id), (SELECT min(q.page_id) FROM p q WHERE q.run_id = c.run_id AND q.depth = c.depth - 1)) AS parent FROM p c),
+e AS (SELECT coalesce(q.url, s.url) AS url, b.page_id AS position, b.url AS link FROM b JOIN s USING (run_id) LEFT JOIN p q ON q.page_id = b.parent
+  UNION ALL SELECT z.url, b.page_id, b.url FROM b JOIN s USING (run_id) JOIN b a ON a.page_id = b.parent JOIN p z ON z.page_id = a.same
+  UNION ALL SELECT b.url, coalesce(b.parent, -1), coalesce(q.url, s.url) FROM b JOIN s USING (run_id) LEFT JOIN p q ON q.page_id = b.parent),
+w AS (SELECT run_id, url, 0 AS depth, CAST([] AS BIGINT[]) AS path, [url] AS way FROM s
+  UNION ALL SELECT w.run_id, e.link, w.depth + 1, list_append(w.path, e.position), list_append(w.way, e.link) FROM w JOIN e ON e.url = w.url WHERE w.depth < (SELECT max(depth) FROM p) AND NOT list_contains(w.way, e.link)),
+f AS (SELECT run_id, url, depth, path FROM w QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY depth, path) = 1),
+o AS (SELECT run_id, url, depth, row_number() OVER (PARTITION BY run_id, depth ORDER BY path) - 1 AS ord FROM f)
+"""
 
 
-@query()
+@query(_WALK + "SELECT run_id, url, depth, ord FROM o QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY depth, ord) <= 25")
 def crawl_bfs(spark, root):
-    starts, edges = _graph(spark, root)
-    return crawl.crawl(starts, edges, max_pages=25, max_depth=3)[0]
+    starts, edges, deepest = _graph(spark, root)
+    return crawl.crawl(starts, edges, max_pages=25, max_depth=deepest)[0]
 
 
 @query()
 def crawl_counts(spark, root):
-    starts, edges = _graph(spark, root)
+    starts, edges, deepest = _graph(spark, root)
     blocked = table(spark, root, "fetched_pages").select("url").where(F.contains("url", F.lit("/support/")))
-    return crawl.crawl(starts, edges, blocked, max_pages=15, max_depth=3)[1]
+    return crawl.crawl(starts, edges, blocked, max_pages=15, max_depth=deepest)[1]
 
 
 @query("""SELECT DISTINCT url, NOT (starts_with(p, '/support/') OR (starts_with(p, '/pricing/') AND NOT starts_with(p, '/pricing/a'))) AS allowed FROM (

@@ -44,6 +44,23 @@ def test_levels_equal_a_queue(spark, seed):
             assert (counts[run]["skipped_robots"], counts[run]["skipped_budget"]) == (no, budget)
 
 
+def test_graph_of_stored_depths_reaches_every_depth(spark):
+    rng = random.Random(3)
+    depths = [1, 2, 3, 4, 5] + [rng.randint(1, 5) for _ in range(60)]
+    pages = spark.createDataFrame([("r", i, f"u{i}", d) for i, d in enumerate(depths)] + [("q", 100, "u100", 2), ("q", 101, "u101", 1)], "run_id string, page_id long, url string, depth int")
+    starts = spark.createDataFrame([("r", "s"), ("q", "t")], "run_id string, url string")
+    for bits in (14, 2):  # with 2, most parents are in an earlier range of ids
+        own, links, deepest = crawl.stored_graph(pages, starts, bits)
+        got = {(r["url"], r["link"]) for r in links.collect()}
+        for i, d in enumerate(depths):
+            before = [f"u{j}" for j in range(i) if depths[j] == d - 1][-2:] or ["s"]
+            assert {u for u, v in got if v == f"u{i}" and (u[1:] == "" or depths[int(u[1:])] == d - 1)} == set(before)
+            assert (f"u{i}", before[-1]) in got
+        visited = crawl.crawl(own, links, max_pages=1000, max_depth=deepest)[0].collect()
+        assert {r["url"]: r["depth"] for r in visited} == {"s": 0, "t": 0, "u101": 1, "u100": 2} | {f"u{i}": d for i, d in enumerate(depths)}
+        assert len(visited) == len(depths) + 4
+
+
 def test_robots(spark):
     files = spark.createDataFrame(
         [("a.example", "User-agent: *\nDisallow: /private\n\nUser-agent: Bot\nUser-agent: other\nAllow: /private/ok\nDisallow: /private # no\nDisallow: /x?y"), ("b.example", None), ("c.example", "User-agent: *\nDisallow: /")],
