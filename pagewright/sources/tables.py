@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table of few files is spread over the cores only up to this size; what is larger is read as it is stored.
+SPREAD_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One stored table; Parquet, so that column pruning and filters reach the scan.
 
-    A table of fewer parts than the session has cores is spread over them, as all that follows would run on a few cores
-    otherwise; a large table has more parts and is read as it is stored."""
+    A table of at most SPREAD_BYTES in fewer files than half the cores is spread over them, as all that follows would run
+    on a few cores otherwise. That shuffle is bounded in bytes, however many cores there are."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SPREAD_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) * 2 <= cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, one machine)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder on local masters (tests, one
+    machine), removed at exit; an error on a cluster, whose executors would not share it."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or tempfile.mkdtemp(prefix="pagewright-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pagewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
-    return folder
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,14 +48,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of at most a few numbers each that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 500_000
+def written(df: DataFrame) -> DataFrame:
+    """As cut, but as a table in that folder: for wide rows of which later steps read some columns only."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes that may be broadcast, counting every row with some overhead.
+BROADCAST_BYTES = 32 << 20
+_WIDTH = {"bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
+
+
+def fits(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of df, which are counted and whose strings are measured, may be broadcast. Columns are numbers or strings."""
+    texts = [c for c, kind in df.dtypes if kind not in _WIDTH]
+    fixed = 32 + sum(_WIDTH.get(kind, 8) for _, kind in df.dtypes)
+    rows, chars = df.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in texts), F.lit(0))).first()
+    return rows * fixed + chars <= most_bytes
 
 
-def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, written once and counted: marked for broadcast up to most_rows, left to a shuffle join beyond."""
+def sized(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written once and measured: marked for broadcast where it fits, left to a shuffle join beyond."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if fits(df, most_bytes) else df
 
 
 def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
