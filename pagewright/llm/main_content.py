@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import host_of
 from pagewright.llm.htmlruns import Run, runs_of, shown, texts_of
 from pagewright.llm.lstm import Blocks, Model
-from pagewright.sources.tables import BROADCAST_ROWS, cut, hash_sample
+from pagewright.sources.tables import cut, fits, hash_sample
 
 #: The labeller is trained on at most so many pages, the first by a hash of their id; every page is labelled by it.
 SAMPLE_PAGES = 2400
@@ -263,7 +263,7 @@ def page_forms(pages: DataFrame) -> DataFrame:
 def _looked_up(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the counts of their keys: broadcast up to a bound, salted beyond, as one line can stand on most pages."""
     counts = cut(counts)
-    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(counts):
         return rows.join(F.broadcast(counts), keys, "left")
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")

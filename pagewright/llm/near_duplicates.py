@@ -1,4 +1,4 @@
-"""Near-duplicate records: shards of alike sketches, a BK-tree of fingerprints per shard, and an exact comparison."""
+"""Near-duplicate records: shards of texts with equal minimum hashes, BK-trees of short codes in each, and an exact comparison."""
 
 from __future__ import annotations
 
@@ -12,28 +12,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.bktree import pairs_across, pairs_within
-from pagewright.sources.tables import cut, sized
+from pagewright.llm.bktree import hamming, pairs_across, pairs_within
+from pagewright.sources.tables import cut, sized, written
 
 #: Words of a shingle, and the fewest words of a text that takes part.
 SHINGLE = 5
 MIN_WORDS = 40
 SIMILARITY = 0.6
-#: Two texts of similarity s share a shard with probability 1 - (1 - s^ROWS)^BANDS: 0.996 at 0.6, over 0.9999 from 0.7.
-BANDS, ROWS = 40, 4
-#: Fingerprints of 128 bits differ in (1 - s) / 2 of them, 25.6 at 0.6 with a deviation of 4.5; unrelated ones in 64.
-RADIUS = 44
+#: A shard is one of BANDS tables and ROWS equal minimum hashes. In it each text has a code of CODE_BITS bits, one of each
+#: of so many other minimum hashes: two texts of similarity s differ in (1 - s) / 2 of them, unrelated ones in half.
+BANDS, ROWS, CODE_BITS = 48, 2, 16
+#: Codes up to this distance are candidates. A pair is met in a table with probability s^ROWS * P(Binomial(CODE_BITS,
+#: (1 - s) / 2) <= RADIUS): 0.13 at 0.6, where one of the tables meets it with 0.99, and 0.34 at 0.75.
+RADIUS = 2
 #: Larger shards are cut into blocks of about so many texts, and every two blocks are compared by a task of their own.
 SHARD_TEXTS = 2000
+#: Shards are counted one by one only in those of so many cells that hold many more rows than the mean cell.
+CELLS = 1 << 16
 #: Groups of exact copies up to this size come out as all their pairs, larger ones as pairs with their representative.
 ALL_PAIRS_OF_COPIES = 200
+#: Components must have settled after so many rounds; they need about the logarithm of the largest component.
+MAX_ROUNDS = 60
 
 _WORDS = re.compile(r"[a-z0-9]+")
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_HASHES = BANDS * ROWS
+_MUL = _rng.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
-_BAND_NO = np.arange(BANDS, dtype=np.uint64)[:, None] * _FOLD
+_BAND_NO = np.arange(BANDS, dtype=np.uint64) * _FOLD
+#: Of each table's code: the minimum hashes that give its bits, none of them its own, and which bit of each.
+_OF = np.stack([_rng.permutation(np.setdiff1d(np.arange(_HASHES), np.arange(b * ROWS, (b + 1) * ROWS)))[:CODE_BITS] for b in range(BANDS)])
+_BIT = _rng.integers(0, 64, (BANDS, CODE_BITS), dtype=np.uint64)
+_PLACE = np.uint64(1) << np.arange(CODE_BITS, dtype=np.uint64)
+_CODE = np.uint64((1 << CODE_BITS) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,85 +68,120 @@ def shingles(text: str, hashes: dict[str, int]) -> np.ndarray | None:
     return np.unique(_mix(run))
 
 
-def sketch(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the bands, two halves of the fingerprint) from BANDS x ROWS minimum hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """One number a table: the hash of the shard in the upper bits, the code in the CODE_BITS lowest."""
+    least = np.full(_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(runs), 2048):
-        part = runs[at : at + 2048, None] * _MUL + _ADD
-        least = np.minimum(least, part.min(axis=0))
+        least = np.minimum(least, (runs[at : at + 2048, None] * _MUL + _ADD).min(axis=0))
     least = _mix(least)
-    bands = least.reshape(BANDS, ROWS)
-    key = _BAND_NO[:, 0].copy()
+    rows, key = least.reshape(BANDS, ROWS), _BAND_NO.copy()
     for i in range(ROWS):
-        key = _mix(key ^ bands[:, i]) * _FOLD
-    bits = np.packbits((least[:128] & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
-    return key, bits
+        key = _mix(key ^ rows[:, i]) * _FOLD
+    code = ((least[_OF] >> _BIT & np.uint64(1)) * _PLACE).sum(axis=1, dtype=np.uint64)
+    return key & ~_CODE | code
 
 
-_SKETCHES = "item string, id long, k1 long, k2 long, f0 long, f1 long, bands array<long>"
+_SKETCHES = "item string, id long, uid long, bands array<long>, runs binary"
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
+    """item, id and uid of every text that takes part; bands and runs (32 bits of each run's hash) where a task meets a
+    uid first. uid is a hash of the kind and the set of runs, so copies have one uid, and a group of them, however
+    large, goes on as one text a task at most."""
+
     def measure(batches):
+        hashes: dict[str, int] = {}
+        seen: set[int] = set()
+        kinds: dict[str, int] = {}
         for b in batches:
-            hashes: dict[str, int] = {}
-            items, ids, k, f, keys = [], [], [], [], []
+            items, ids, uids, bands, runs_of, first = [], [], [], [], [], []
+            if len(hashes) > 1_000_000:
+                hashes.clear()
             for item, id_, text in zip(b.column("item").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist()):
                 runs = shingles(text, hashes)
                 if runs is None:
                     continue
-                key, bits = sketch(runs)
-                raw = runs.tobytes()
+                kind = kinds.get(item)
+                if kind is None:
+                    kind = kinds[item] = xxhash.xxh64_intdigest(item)
+                uid = _signed(xxhash.xxh64_intdigest(runs.tobytes(), kind))
+                new = uid not in seen
                 items.append(item)
                 ids.append(id_)
-                k.append((xxhash.xxh64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw, 1) - 2**63))
-                f.append(bits.view(np.int64))
-                keys.append(key.view(np.int64))
-            k = np.array(k, dtype=np.int64).reshape(-1, 2)
-            f = np.array(f, dtype=np.int64).reshape(-1, 2)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), lists], ["item", "id", "k1", "k2", "f0", "f1", "bands"])
+                uids.append(uid)
+                first.append(new)
+                if new:
+                    seen.add(uid)
+                    bands.append((sketch(runs) ^ (np.uint64(kind) & ~_CODE)).view(np.int64))
+                    runs_of.append(np.unique(runs.astype(np.uint32)).astype("<u4").tobytes())
+            new = np.array(first, dtype=bool)
+            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            ends = np.concatenate([[0], np.cumsum(new)]) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(~new))
+            own = iter(runs_of)
+            sets = pa.array([next(own) if n else None for n in first], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), lists, sets], ["item", "id", "uid", "bands", "runs"])
 
     return texts.mapInArrow(measure, _SKETCHES)
 
 
 def _search_shards(batches):
-    """Pairs within RADIUS of each shard; the rows come sorted by shard, block pair and side."""
-
-    def solve(left: list[np.ndarray], right: list[np.ndarray]):
-        own = np.concatenate(left) if left else np.zeros((0, 3), np.int64)
-        other = np.concatenate(right) if right else None
-        if other is None:
-            if len(own) < 2:
-                return None
-            a, b = pairs_within(own[:, 1:].view(np.uint64), RADIUS)
-            x, y = own[a, 0], own[b, 0]
-        else:
-            if not len(own):
-                return None
-            a, b = pairs_across(own[:, 1:].view(np.uint64), other[:, 1:].view(np.uint64), RADIUS)
-            x, y = own[a, 0], other[b, 0]
-        return np.minimum(x, y), np.maximum(x, y)
-
-    now, sides = None, ([], [])
-    for b in batches:
-        shard = np.stack([b.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
-        side = b.column("side").to_numpy()
-        data = np.ascontiguousarray(np.stack([b.column(c).to_numpy() for c in ("id", "f0", "f1")], axis=1))
-        starts = np.flatnonzero(np.any(shard[1:] != shard[:-1], axis=1) | (side[1:] != side[:-1])) + 1 if len(shard) else np.zeros(0, int)
+    """Pairs within RADIUS of each shard and pair of blocks; the rows come sorted by shard, block pair and side, code and uid."""
+
+    def solve(rows: np.ndarray, side: np.ndarray):
+        codes = (rows[:, 0].view(np.uint64) & _CODE).astype(np.uint16)
+        uid, right = rows[:, 1], side == 1
+        if right.any():
+            left = ~right
+            a, b = pairs_across(codes[left], codes[right], RADIUS)
+            return uid[left][a], uid[right][b]
+        a, b = pairs_within(codes, RADIUS)
+        return uid[a], uid[b]
+
+    rest_rows, rest_at = [], []  # of the shard that the last batch ended in
+
+    def close(rows: np.ndarray, at: np.ndarray):
+        """Pairs of whole shards, one after the other."""
+        bucket = rows[:, 0] >> CODE_BITS
+        pair = at >> 1
+        again = np.r_[False, (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]) & (at[1:] == at[:-1])]
+        rows, at, bucket, pair = rows[~again], at[~again], bucket[~again], pair[~again]  # copies that several tasks sent
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])])
+        sizes = np.diff(np.r_[starts, len(rows)])
         out = []
-        for a, z in zip(np.r_[0, starts], np.r_[starts, len(shard)]) if len(shard) else ():
-            key = tuple(shard[a])
-            if key != now:
-                if now is not None and (r := solve(*sides)) is not None:
-                    out.append(r)
-                now, sides = key, ([], [])
-            sides[int(side[a])].append(data[a:z])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], ["a", "b"])
-    if now is not None and (r := solve(*sides)) is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(r[0]), pa.array(r[1])], ["a", "b"])
+        two = starts[(sizes == 2) & (pair[starts] == 0)]  # a tree of one edge, all such trees at once
+        codes = (rows[:, 0].view(np.uint64) & _CODE).astype(np.uint16)
+        near = two[hamming(codes[two], codes[two + 1]) <= RADIUS]
+        out.append((rows[near, 1], rows[near + 1, 1]))
+        for a, n in zip(starts[(sizes > 2) | (pair[starts] > 0)].tolist(), sizes[(sizes > 2) | (pair[starts] > 0)].tolist()):
+            out.append(solve(rows[a : a + n], at[a : a + n] & 1))
+        x, y = np.concatenate([p for p, _ in out]), np.concatenate([p for _, p in out])
+        keep = x != y
+        x, y = x[keep], y[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.stack([b.column(c).to_numpy() for c in ("packed", "uid")], axis=1)
+        at = b.column("at").to_numpy().astype(np.int64)
+        shard = np.stack([rows[:, 0] >> CODE_BITS, at >> 1], axis=1)
+        change = np.flatnonzero(np.any(shard[1:] != shard[:-1], axis=1))
+        last = change[-1] + 1 if len(change) else 0
+        if rest_rows and (rest_rows[0][0, 0] >> CODE_BITS != shard[0, 0] or rest_at[0][0] >> 1 != shard[0, 1]):
+            yield close(np.concatenate(rest_rows), np.concatenate(rest_at))
+            rest_rows, rest_at = [], []
+        if last:
+            yield close(np.concatenate([*rest_rows, rows[:last]]), np.concatenate([*rest_at, at[:last]]))
+            rest_rows, rest_at = [], []
+        rest_rows.append(rows[last:])
+        rest_at.append(at[last:])
+    if rest_rows:
+        yield close(np.concatenate(rest_rows), np.concatenate(rest_at))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -144,91 +191,82 @@ def _similar(x: pd.Series, y: pd.Series) -> pd.Series:
         a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
         common = len(np.intersect1d(a, b, assume_unique=True))
         out.append(common >= SIMILARITY * (len(a) + len(b) - common))
-    return pd.Series(out)
-
-
-def _run_sets(texts: DataFrame) -> DataFrame:
-    """(uid, runs) with 32 bits of each run's hash."""
-
-    def measure(batches):
-        for b in batches:
-            hashes: dict[str, int] = {}
-            sets = [np.unique(shingles(t, hashes).astype(np.uint32)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(sets, pa.binary())], ["uid", "runs"])
-
-    return texts.select("uid", "text").mapInArrow(measure, "uid long, runs binary")
+    return pd.Series(out, dtype=bool)
 
 
 def _texts(items: DataFrame) -> DataFrame:
     return items.select(F.col("item").cast("string").alias("item"), F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("item IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
 
 
-def link_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, members). links: item, rep_a, rep_b, each two different texts of one item kind that are similar, by their
-    representatives, rep_a < rep_b. members: item, id, rep for every text that takes part, rep being the smallest
-    id with the same set of runs.
+def _blocks_of_large(rows: DataFrame, shard_texts: int) -> DataFrame:
+    """(shard, blocks) of the shards that hold more than about shard_texts rows. Shards are first counted together in CELLS
+    cells, which map tasks add up before the shuffle, and one by one only where a cell holds that much above the mean."""
+    cells = rows.groupBy(F.pmod(F.hash("shard"), F.lit(CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cells.collect()  # at most CELLS small rows
+    mean = sum(r["n"] for r in counts) / CELLS
+    crowded = [r["cell"] for r in counts if r["n"] > mean + shard_texts]
+    marked = F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in crowded], "cell int"))  # CELLS rows at most
+    some = rows.withColumn("cell", F.pmod(F.hash("shard"), F.lit(CELLS))).join(marked, "cell", "left_semi")
+    return sized(some.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_texts).cast("int").alias("blocks")).where("blocks > 1"))
+
+
+def link_texts(items: DataFrame, shard_texts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members). links: a, b, each two different texts of one item kind that are similar, by their uid. members:
+    item, id, uid for every text that takes part; texts with the same set of runs have one uid.
 
     items: item, item_id, text; item names the kind (page, chunk) and only texts of one kind are compared. Texts with
-    fewer than MIN_WORDS words, null texts, ids and kinds take no part. A repeated id counts once."""
-    texts = _texts(items)
-    sketches = cut(_sketches(texts))
-    names = sketches.select("item", "id", "k1", "k2")
-    groups = names.groupBy("item", "k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep").drop("last")
-    copies = sized(names.join(groups, ["item", "k1", "k2"]).where("id <> rep").select("item", "id", "rep").distinct())
-    own = sketches.join(copies, ["item", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = own.select("item", "id", "rep")
-    # From here on texts go by uid, unique over kinds. A copy's sketches are its representative's.
-    reps = own.where("id = rep").select(F.xxhash64("item", "id").alias("uid"), F.xxhash64("item").alias("kind"), "f0", "f1", "bands")
-    rows = reps.select(F.explode("bands").alias("band"), "kind", "uid").select(F.col("band").bitwiseXOR(F.col("kind")).alias("bucket"), "uid")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(sizes, "bucket").select("bucket", "n", "uid"))
-    with_prints = shared.join(reps.select("uid", F.col("uid").alias("id"), "f0", "f1"), "uid").withColumn("g", F.ceil(F.col("n") / SHARD_TEXTS).cast("int"))
-    block = F.pmod(F.col("id"), F.col("g")).cast("int")
-    both = with_prints.withColumn("block", block).select(
-        "bucket", "id", "f0", "f1", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("with")
-    )
-    shards = both.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), "id", "f0", "f1")
-    # Both sides of a block pair meet by the same key; a block with itself has one side only.
-    spread = shards.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    near = cut(spread.mapInArrow(_search_shards, "a long, b long").where("a <> b").distinct())
-    asked = sized(near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct())
-    wanted = texts.withColumn("uid", F.xxhash64("item", "id")).join(asked, "uid", "left_semi")
-    sets = _run_sets(wanted)
-    checked = near.join(sets.select(F.col("uid").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("runs").alias("y")), "b").where(_similar("x", "y")).select("a", "b").distinct()
-    names = members.where("id = rep").select(F.xxhash64("item", "id").alias("uid"), "item", "rep").distinct()
-    linked = checked.join(names.select(F.col("uid").alias("a"), "item", F.col("rep").alias("x")), "a").join(names.select(F.col("uid").alias("b"), F.col("rep").alias("y")), "b")
-    return linked.select("item", F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b")), members
-
-
-def duplicate_pairs(items: DataFrame) -> DataFrame:
+    fewer than MIN_WORDS words, null texts, ids and kinds take no part. A repeated id counts once a text.
+    Texts are read once. One shuffle brings the texts of a shard together, by 64 bits of shard and code and 64 of uid; the
+    sets of runs of the texts that have a candidate then meet their partners by uid. The same plan holds at every size."""
+    shard_texts = shard_texts or SHARD_TEXTS
+    sketches = written(_sketches(_texts(items)))
+    members = sketches.select("item", "id", "uid").distinct()
+    rows = sketches.where("bands IS NOT NULL").select(F.explode("bands").alias("packed"), "uid").withColumn("shard", F.shiftright("packed", CODE_BITS))
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
+    cut_up = rows.join(_blocks_of_large(rows, shard_texts), "shard", "left").withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
+    other = F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("other")
+    each = cut_up.select("packed", "uid", "block", other)
+    # Both sides of a pair of blocks meet by the same number; a block with itself has one side only.
+    pair = F.least("block", "other") * F.lit(1 << 15) + F.greatest("block", "other")
+    placed = each.select("packed", "uid", (pair.cast("long") * 2 + (F.col("block") > F.col("other")).cast("int")).alias("at"))
+    spread = placed.repartition(F.shiftright("packed", CODE_BITS), F.shiftright("at", 1)).sortWithinPartitions(F.shiftright("packed", CODE_BITS), "at", "packed", "uid")
+    near = cut(spread.mapInArrow(_search_shards, "a long, b long").distinct())
+    asked = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    sets = sketches.where("runs IS NOT NULL").select("uid", "runs").join(asked, "uid", "left_semi").groupBy("uid").agg(F.first("runs").alias("runs"))
+    checked = near.join(sets.select(F.col("uid").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("runs").alias("y")), "b")
+    return checked.where(_similar("x", "y")).select("a", "b"), members
+
+
+def duplicate_pairs(items: DataFrame, all_pairs_of_copies: int | None = ALL_PAIRS_OF_COPIES) -> DataFrame:
     """(item, id_a, id_b), id_a < id_b: every two texts of a kind whose common runs are at least SIMILARITY of all their
-    runs, stored repeats included. Within a group of more than ALL_PAIRS_OF_COPIES exact copies, and between two groups
-    of which one is that large, each member is paired with the representatives only; no link between different texts is lost."""
+    runs, stored repeats included. Within a group of more than all_pairs_of_copies exact copies, and between two groups
+    that are both that large, each member is paired with the representatives only, which duplicate_groups names for each
+    text, so no link is lost; None pairs them all."""
     links, members = link_texts(items)
-    links, members = cut(links), cut(members.distinct())
-    sizes = members.groupBy("item", "rep").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.select("item", "rep", "id").join(sizes.where("n > 1"), ["item", "rep"])
-    spoken = sized.where((F.col("n") <= ALL_PAIRS_OF_COPIES) | (F.col("id") == F.col("rep"))).select("item", "rep", F.col("id").alias("other"))
-    # Of a large group only the representative speaks for it, so a join below meets each member at most ALL_PAIRS_OF_COPIES times.
-    within = sized.join(spoken, ["item", "rep"]).where("id <> other").select("item", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
-    alone = sizes.where("n = 1").select("item", "rep", F.col("rep").alias("other"))
-    speakers = spoken.unionByName(alone)
-    everyone = members.select("item", "rep", "id")
-    both = links.unionByName(links.select("item", F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
-    across = (
-        both.join(everyone.withColumnRenamed("rep", "rep_a"), ["item", "rep_a"]).join(speakers.withColumnRenamed("rep", "rep_b"), ["item", "rep_b"])
-        .select("item", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
-    )
-    return within.unionByName(across)
-
-
-def duplicate_groups(items: DataFrame, rounds: int = 40) -> DataFrame:
-    """(item, id, group_id, links) for every text that takes part: group_id is the smallest id reachable over links, links
-    the number of different texts it is similar to. Components by large and small stars, each round a shuffle."""
+    links, members = cut(links), cut(members)
+    classes = members.groupBy("uid").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    # Only classes that come out: those of several members, and those with a link.
+    own = classes.join(linked.withColumn("linked", F.lit(True)), "uid", "left").where("n > 1 OR linked")
+    everyone = cut(members.join(own.select("uid", "rep", "n"), "uid"))
+    spoken = F.lit(True) if all_pairs_of_copies is None else (F.col("n") <= all_pairs_of_copies) | (F.col("id") == F.col("rep"))
+    # Of a large group only the representative speaks for it, so a join below meets each member at most that often.
+    speakers = everyone.where(spoken).select("uid", F.col("id").alias("other"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own.where("n > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
+    met = both.join(everyone.select(F.col("uid").alias("a"), "item", "id"), "a").join(speakers.withColumnRenamed("uid", "b"), "b").where("id <> other")
+    return met.select("item", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def duplicate_groups(items: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(item, id, rep, group_id, links) for every text that takes part: rep is the smallest id with the same set of runs,
+    group_id the smallest id reachable over links, links the number of different texts it is similar to. Components by
+    large and small stars, each round a shuffle; an error if they have not settled after the rounds."""
     links, members = link_texts(items)
-    links, members = cut(links), members.distinct()
-    edges = links.select("item", F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    before = None
+    links, members = cut(links), cut(members)
+    reps = cut(members.groupBy("item", "uid").agg(F.min("id").alias("rep")))
+    ends = links.join(reps.select(F.col("uid").alias("a"), "item", F.col("rep").alias("u")), "a").join(reps.select(F.col("uid").alias("b"), F.col("rep").alias("v")), "b").select("item", "u", "v")
+    links = cut(ends)
+    edges, before, settled = links, None, False
     for _ in range(rounds):
         sym = edges.unionByName(edges.select("item", F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("item", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -238,9 +276,12 @@ def duplicate_groups(items: DataFrame, rounds: int = 40) -> DataFrame:
         edges = cut(small.distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("item", "u", "v") % 1_000_000_007)).first()
         if state == before:
+            settled = True
             break
         before = state
+    if not settled:
+        raise RuntimeError(f"components of near-duplicates have not settled after {rounds} rounds")
     root = edges.groupBy("item", "u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rep")
-    degree = links.select("item", F.col("rep_a").alias("rep")).unionByName(links.select("item", F.col("rep_b").alias("rep"))).groupBy("item", "rep").agg(F.count(F.lit(1)).alias("links"))
-    out = members.join(root, ["item", "rep"], "left").join(degree, ["item", "rep"], "left")
-    return out.select("item", "id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    degree = links.select("item", F.explode(F.array("u", "v")).alias("rep")).groupBy("item", "rep").agg(F.count(F.lit(1)).alias("links"))
+    out = members.join(reps, ["item", "uid"]).join(root, ["item", "rep"], "left").join(degree, ["item", "rep"], "left")
+    return out.select("item", "id", "rep", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,19 +11,33 @@ from pagewright.llm import near_duplicates as nd
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.integers(2, 300), st.integers(0, 64), st.integers(0, 1000))
+@given(st.integers(1, 300), st.integers(0, 16), st.integers(0, 1000))
 def test_tree_finds_every_pair(n, radius, seed):
     rng = np.random.default_rng(seed)
-    base = rng.integers(0, 2**63, (max(1, n // 4), 2), dtype=np.uint64)
-    prints = base[rng.integers(0, len(base), n)] ^ (np.uint64(1) << rng.integers(0, 63, (n, 2), dtype=np.uint64))
-    d = bktree.hamming(prints[:, None, :], prints[None, :, :])
+    base = rng.integers(0, 2**16, max(1, n // 4), dtype=np.uint16)
+    codes = base[rng.integers(0, len(base), n)] ^ (np.uint16(1) << rng.integers(0, 16, n, dtype=np.uint16))
+    d = bktree.hamming(codes[:, None], codes[None, :])
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] <= radius}
-    a, b = bktree.pairs_within(prints, radius)
+    a, b = bktree.pairs_within(codes, radius)
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
-    left, right = prints[: n // 2], prints[n // 2 :]
-    if len(left):
-        a, b = bktree.pairs_across(left, right, radius)
-        assert set(zip(a.tolist(), b.tolist())) == {(i, j - n // 2) for i, j in want if i < n // 2 <= j}
+    left, right = codes[: n // 2], codes[n // 2 :]
+    a, b = bktree.pairs_across(left, right, radius)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j - n // 2) for i, j in want if i < n // 2 <= j}
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+@pytest.mark.parametrize("n", [500, 2000])
+def test_tree_refuses_most_edges(n, clusters):
+    """Comparisons of all codes with all, at the radius of the operator, random and clustered."""
+    rng = np.random.default_rng(n)
+    codes = rng.integers(0, 2**16, n, dtype=np.uint16)
+    if clusters:
+        codes = rng.integers(0, 2**16, clusters, dtype=np.uint16)[rng.integers(0, clusters, n)] ^ (np.uint16(1) << rng.integers(0, 16, n, dtype=np.uint16)) ^ (np.uint16(1) << rng.integers(0, 16, n, dtype=np.uint16))
+    codes = np.unique(codes)
+    tree = bktree.BKTree(codes)
+    found = sum(len(q) for q, _ in tree.search(codes, nd.RADIUS))
+    d = bktree.hamming(codes[:, None], codes[None, :])
+    assert found == (d <= nd.RADIUS).sum() and tree.compared < 0.5 * len(codes) ** 2
 
 
 def runs(text):
@@ -81,12 +96,37 @@ def test_crowded_shards_are_cut_into_blocks(spark, monkeypatch):
     assert {tuple(r) for r in nd.duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
 
 
-def test_large_groups_of_copies_speak_through_one(spark, monkeypatch):
-    monkeypatch.setattr(nd, "ALL_PAIRS_OF_COPIES", 5)
+def test_large_groups_of_copies_speak_through_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [("page", i, text) for i in range(20)] + [("page", 50, text.replace("w30", "y"))]
-    got = {tuple(r) for r in nd.duplicate_pairs(frame(spark, rows)).collect()}
+    got = {tuple(r) for r in nd.duplicate_pairs(frame(spark, rows), 5).collect()}
     assert got == {("page", 0, i) for i in range(1, 20)} | {("page", i, 50) for i in range(20)}
+    reps = {r["id"]: r["rep"] for r in nd.duplicate_groups(frame(spark, rows)).collect()}
+    assert reps == dict.fromkeys(range(20), 0) | {50: 50}  # with these every pair can be made again
+    assert {tuple(r) for r in nd.duplicate_pairs(frame(spark, rows), None).collect()} == brute(rows)
+
+
+def test_recall_at_the_edge(spark):
+    """Pairs of a similarity from 0.6 on, most of them near it, against brute force."""
+    rng = random.Random(3)
+    rows = []
+    for f in range(250):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+        own = list(words)
+        for _ in range(rng.randint(3, 6)):
+            own[rng.randrange(120)] = f"x{rng.randint(0, 9999)}"
+        rows += [("page", 2 * f, " ".join(words)), ("page", 2 * f + 1, " ".join(own))]
+    want = brute(rows)
+    got = {tuple(r) for r in nd.duplicate_pairs(frame(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
+def test_unsettled_components_are_an_error(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [("page", i, " ".join(words[4 * i : 4 * i + 100])) for i in range(70)]
+    with pytest.raises(RuntimeError):
+        nd.duplicate_groups(frame(spark, rows), rounds=1)
+    assert {r["group_id"] for r in nd.duplicate_groups(frame(spark, rows)).collect()} == {0}
 
 
 def test_groups(spark):
