@@ -29,6 +29,9 @@ RADIUS = 2
 SHARD_TEXTS = 2000
 #: Shards are counted one by one only in those of so many cells that hold many more rows than the mean cell.
 CELLS = 1 << 16
+#: Bits of the filter by which texts that have a candidate are told from most others before their texts are moved: at most
+#: a 64th of this in rows, whatever the number of texts. With very many candidates it lets more pass, never less.
+FILTER_BITS = 1 << 26
 #: Groups of exact copies up to this size come out as all their pairs, larger ones as pairs with their representative.
 ALL_PAIRS_OF_COPIES = 200
 #: Components must have settled after so many rounds; they need about the logarithm of the largest component.
@@ -81,54 +84,84 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return key & ~_CODE | code
 
 
-_SKETCHES = "item string, id long, uid long, bands array<long>, runs binary"
-
-
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+class _Runs:
+    """Runs and uid of a text, with the hashes of its words and of the kinds kept."""
+
+    def __init__(self):
+        self.hashes: dict[str, int] = {}
+        self.kinds: dict[str, int] = {}
+
+    def of(self, item: str, text: str) -> tuple[np.ndarray, int, int] | None:
+        """(runs, uid, hash of the kind); None for a text of too few words. uid is a hash of the kind and the set of runs."""
+        if len(self.hashes) > 1_000_000:
+            self.hashes.clear()
+        runs = shingles(text, self.hashes)
+        if runs is None:
+            return None
+        if item not in self.kinds:
+            self.kinds[item] = xxhash.xxh64_intdigest(item)
+        kind = self.kinds[item]
+        return runs, _signed(xxhash.xxh64_intdigest(runs.tobytes(), kind)), kind
+
+
+_SKETCHES = "item string, id long, uid long, bands array<long>"
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
-    """item, id and uid of every text that takes part; bands and runs (32 bits of each run's hash) where a task meets a
-    uid first. uid is a hash of the kind and the set of runs, so copies have one uid, and a group of them, however
-    large, goes on as one text a task at most."""
+    """item, id and uid of every text that takes part; bands where a task meets a uid first. Copies have one uid, so a
+    group of them, however large, goes on as one text a task at most."""
 
     def measure(batches):
-        hashes: dict[str, int] = {}
-        seen: set[int] = set()
-        kinds: dict[str, int] = {}
+        known, seen = _Runs(), set()
         for b in batches:
-            items, ids, uids, bands, runs_of, first = [], [], [], [], [], []
-            if len(hashes) > 1_000_000:
-                hashes.clear()
+            rows, bands, first = [], [], []
             for item, id_, text in zip(b.column("item").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist()):
-                runs = shingles(text, hashes)
-                if runs is None:
+                if (found := known.of(item, text)) is None:
                     continue
-                kind = kinds.get(item)
-                if kind is None:
-                    kind = kinds[item] = xxhash.xxh64_intdigest(item)
-                uid = _signed(xxhash.xxh64_intdigest(runs.tobytes(), kind))
-                new = uid not in seen
-                items.append(item)
-                ids.append(id_)
-                uids.append(uid)
-                first.append(new)
-                if new:
+                runs, uid, kind = found
+                rows.append((item, id_, uid))
+                first.append(uid not in seen)
+                if uid not in seen:
                     seen.add(uid)
                     bands.append((sketch(runs) ^ (np.uint64(kind) & ~_CODE)).view(np.int64))
-                    runs_of.append(np.unique(runs.astype(np.uint32)).astype("<u4").tobytes())
             new = np.array(first, dtype=bool)
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum(new)]) * BANDS
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(~new))
-            own = iter(runs_of)
-            sets = pa.array([next(own) if n else None for n in first], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), lists, sets], ["item", "id", "uid", "bands", "runs"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new)]) * BANDS, pa.int32()), flat, mask=pa.array(~new))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["item", "id", "uid", "bands"])
 
     return texts.mapInArrow(measure, _SKETCHES)
 
 
+def _run_sets(texts: DataFrame) -> DataFrame:
+    """(uid, runs) with 32 bits of each run's hash."""
+
+    def measure(batches):
+        known = _Runs()
+        for b in batches:
+            found = [known.of(item, text) for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist())]
+            found = [f for f in found if f]
+            sets = [np.unique(f[0].astype(np.uint32)).astype("<u4").tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), pa.array(sets, pa.binary())], ["uid", "runs"])
+
+    return texts.select("item", "text").mapInArrow(measure, "uid long, runs binary")
+
+
+def _texts_of(texts: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts of the asked uids, of each uid at least one. A bit for the hash of each wanted id, in rows of 64 bits that
+    are broadcast, keeps nearly all others from being moved; a join on the hash follows."""
+    key = F.xxhash64("item", "id")
+    word, bit = F.shiftright(F.pmod(F.col("key"), F.lit(FILTER_BITS)), 6), F.pmod(F.col("key"), F.lit(64)).cast("int")
+    wanted = cut(members.join(asked, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct("item", "id")).alias("m")).select(F.xxhash64("m.item", "m.id").alias("key")))
+    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(key, 64) AS INT))")).alias("bits"))
+    passed = texts.withColumn("key", key).withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1)  # FILTER_BITS / 64 rows at most
+    return passed.select("key", "item", "text").join(wanted, "key", "left_semi")
+
+
 def _search_shards(batches):
     """Pairs within RADIUS of each shard and pair of blocks; the rows come sorted by shard, block pair and side, code and uid."""
 
@@ -216,10 +249,11 @@ def link_texts(items: DataFrame, shard_texts: int | None = None) -> tuple[DataFr
 
     items: item, item_id, text; item names the kind (page, chunk) and only texts of one kind are compared. Texts with
     fewer than MIN_WORDS words, null texts, ids and kinds take no part. A repeated id counts once a text.
-    Texts are read once. One shuffle brings the texts of a shard together, by 64 bits of shard and code and 64 of uid; the
-    sets of runs of the texts that have a candidate then meet their partners by uid. The same plan holds at every size."""
+    One shuffle brings the texts of a shard together, by 64 bits of shard and code and 64 of uid; then only texts that have
+    a candidate are read again and moved, for the exact comparison. The same plan holds at every size."""
     shard_texts = shard_texts or SHARD_TEXTS
-    sketches = written(_sketches(_texts(items)))
+    texts = _texts(items)
+    sketches = written(_sketches(texts))
     members = sketches.select("item", "id", "uid").distinct()
     rows = sketches.where("bands IS NOT NULL").select(F.explode("bands").alias("packed"), "uid").withColumn("shard", F.shiftright("packed", CODE_BITS))
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
@@ -232,7 +266,7 @@ def link_texts(items: DataFrame, shard_texts: int | None = None) -> tuple[DataFr
     spread = placed.repartition(F.shiftright("packed", CODE_BITS), F.shiftright("at", 1)).sortWithinPartitions(F.shiftright("packed", CODE_BITS), "at", "packed", "uid")
     near = cut(spread.mapInArrow(_search_shards, "a long, b long").distinct())
     asked = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    sets = sketches.where("runs IS NOT NULL").select("uid", "runs").join(asked, "uid", "left_semi").groupBy("uid").agg(F.first("runs").alias("runs"))
+    sets = cut(_run_sets(_texts_of(texts, members, asked)).groupBy("uid").agg(F.first("runs").alias("runs")))
     checked = near.join(sets.select(F.col("uid").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("runs").alias("y")), "b")
     return checked.where(_similar("x", "y")).select("a", "b"), members
 
