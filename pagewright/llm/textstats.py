@@ -3,104 +3,117 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.site_lines import repeated_lines
 from pagewright.sources.tables import cut, sized
 
 MIN_WORDS = 25
 #: The list of common words is read by the driver and sent to the tasks.
 MAX_COMMON_WORDS = 1_000_000
 #: Statistics, and the side on which a value is unlike prose: 1 high, -1 low, 0 either.
-STATISTICS = {"mean_word_length": 0, "symbol_share": 1, "ended_share": -1, "common_share": -1, "digit_share": 1, "listed_share": 1}
-_STATS = "page_id long, lang string, words int, mean_word_length double, symbol_share double, ended_share double, common_share double, digit_share double, listed_share double"
+STATISTICS = {"mean_word_length": 0, "symbol_share": 1, "ended_share": -1, "ended_words": -1, "common_share": -1, "digit_share": 1, "listed_share": 1}
 #: Parts of the range-partitioned sort of each statistic's values.
 RANGE_PARTS = 24
+#: Width of the cells of the histogram of scores.
+SCORE_CELL = 0.1
 
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’)\]]*(?=\s|$)")
+_LINE_END = re.compile(r"[.!?…:;][\"'”’)\]]*$")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _VOWEL = re.compile(r"[aeiouyáàâäãåæéèêëíìîïóòôöõøúùûüœ]", re.I)
 _CODE_LINE = re.compile(r"[{};=<>|\\]|\w\(|\w\.\w+\(|^\s*(?:at |def |for \w+ in |if \(|var |return |import |#include)|\d{4}-\d\d-\d\dT?\s?\d\d:\d\d|\b(?:DEBUG|INFO|WARN|ERROR|TRACE|FATAL)\b")
 _LOOP = re.compile(r"\s*(?:for|while|if|def|class) .*[:{]\s*\S+\(|\s*for \w+ in \w+:|\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _CELL = re.compile(r"\t| \| | – |;;?(?=\S)| » ")
-_ABOUT_SITE = re.compile(
-    r"^(?:by |posted |written\s+by |published |last\s+updated|updated |reading\s+time|share\s+this|follow\s+us|subscribe|like\s+what\s+you|did\s+this\s+help|back\s+to\s+the |download\s+the\s+free |©\s?\d{4}|all\s+rights|terms\s+of |privacy|"
-    r"get\s+our |«\s*previous|this\s+site |by\s+staying|opening\s+hours|\*{3}\s)|\bcookies?\b|rights\s+reserved|takes\s+no\s+liability|written\s+consent|trading\s+name|of\s+their\s+owner|editorial\s+desk|registered\s+in|"
-    r"include\s+tax|images\s+are\s+examples|of\s+the\s+month$|partners\s+keep\s+data|instead\s+of\s+throwing",
-    re.I,
-)
-
-
-def language_of(words: list[str], common: dict[str, frozenset[str]]) -> str:
-    """The language most of whose common words occur; "" where none does, the first by name of equals."""
-    best, most = "", 0
-    for lang in sorted(common):
-        n = sum(w in common[lang] for w in words)
-        if n > most:
-            best, most = lang, n
-    return best
-
-
-def in_sentences(line: str, common: frozenset[str]) -> bool:
-    """Whether the words of a line stand in sentences: joined by common words, or filler with the shape of sentences."""
-    tokens = [t.lower() for t in _TOKEN.findall(line)]
+_CELL_SIGNS = ("\t", " | ", " – ", ";", " » ")
+_SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
+#: Kind of each character of the basic plane; what lies beyond counts as a symbol.
+_KINDS = np.array([_SPACE if chr(i).isspace() else _DIGIT if chr(i).isdigit() else _LETTER if chr(i).isalnum() else _SYMBOL for i in range(0x10000)] + [_SYMBOL], dtype=np.uint8)
+
+
+def in_sentences(line: str, tokens: list[str], joins: int) -> bool:
+    """Whether the words of a line stand in sentences: joined by common words, or filler with the shape of sentences.
+
+    tokens: the words of letters of the line; joins: how many of them are common words of any language."""
     words = line.split()
     if not tokens or len(words) < 3:
         return False
-    letters = sum(map(len, tokens))
-    if _LOOP.match(line) or len(_CELL.findall(line)) > 1:
+    if _LOOP.match(line) or any(s in line for s in _CELL_SIGNS) and len(_CELL.findall(line)) > 1:
         return False
-    joins = sum(t in common for t in tokens)
     joined = joins / len(words)
-    if _CODE_LINE.search(line) and joined < 0.3:
+    if joined < 0.3 and _CODE_LINE.search(line):
         return False
     symbols = sum(not (c.isalnum() or c.isspace()) for c in line) / len(line)
     if joined >= 0.14 and symbols < 0.12 and (joins > 1 or len(words) < 6 and _SENTENCE_END.search(line)):
         return True
     ends = len(_SENTENCE_END.findall(line))
-    if not ends or letters < 0.7 * len(line.replace(" ", "")):
+    if not ends or sum(map(len, tokens)) < 0.7 * len(line.replace(" ", "")):
         return False
     # Without common words: sentences of an invented language begin with a capital, end with a stop and can be spoken.
     spoken = sum(bool(_VOWEL.search(t)) for t in tokens) / len(tokens)
     return line[:1].isupper() and spoken > 0.9 and 3 <= len(words) / ends <= 40 and symbols < 0.1 and line.count(",") < 0.25 * len(words)
 
 
-def page_statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
-    """(lang, words and the STATISTICS) of one text. Headings and lines about the site count for no share of lines."""
-    words = text.split()
-    tokens = [t.lower() for t in _TOKEN.findall(text)]
-    lang = language_of(tokens, common)
-    every = frozenset().union(*common.values()) if common else frozenset()
-    letters = sum(map(len, tokens))
-    dense = sum(map(len, words)) or 1
-    symbols = sum(1 for c in text if not (c.isalnum() or c.isspace()))
-    digits = sum(map(str.isdigit, text))
-    lines = [ln.strip() for ln in text.split("\n")]
-    lines = [ln for ln in lines if ln and not ln.startswith("#")]
-    inside = outside = ended = 0
-    for line in lines:
-        n = len(line.split())
-        if n <= 45 and _ABOUT_SITE.search(line):
-            continue
-        ended += bool(re.search(r"[.!?…:;][\"'”’)\]]*$", line))
-        if in_sentences(line, common.get(lang) or every) or lang and in_sentences(line, every):
-            inside += n
-        else:
-            outside += n
-    own = sum(1 for t in tokens if t in common.get(lang, ()))
-    return (
-        lang, len(words), round(letters / len(tokens), 6) if tokens else 0.0, round(symbols / dense, 6), round(ended / len(lines), 6) if lines else 0.0,
-        round(own / len(words), 6) if words else 0.0, round(digits / dense, 6), round(outside / (inside + outside), 6) if inside + outside else 0.0,
-    )
+class Measure:
+    """The statistics of texts for lists of common words by language."""
+
+    def __init__(self, common: dict[str, frozenset[str]]):
+        self.langs = sorted(common)
+        self.bits: dict[str, int] = {}
+        for i, lang in enumerate(self.langs):
+            for word in common[lang]:
+                self.bits[word] = self.bits.get(word, 0) | 1 << i
+
+    def page(self, text: str) -> tuple:
+        """(lang, words, letters a token, common words a word, lines): lang is the language whose common words occur most
+        often, "" where none does, the first by name of equals. lines has a number for each line of the text: 0 for a
+        blank line or a heading, else 4 x words, 2 for a line of sentences, 1 for one that ends in punctuation."""
+        look = self.bits.get
+        masks: Counter = Counter()
+        letters = count = 0
+        lines = []
+        for raw in text.split("\n"):
+            tokens = _TOKEN.findall(raw.lower())
+            hits = [m for t in tokens if (m := look(t))]
+            masks.update(hits)
+            letters += sum(map(len, tokens))
+            count += len(tokens)
+            line = raw.strip()
+            if not line or line[0] == "#":
+                lines.append(0)
+            else:
+                lines.append(4 * len(line.split()) + 2 * in_sentences(line, tokens, len(hits)) + (_LINE_END.search(line) is not None))
+        per = [sum(n for m, n in masks.items() if m >> i & 1) for i in range(len(self.langs))]
+        most = max(per, default=0)
+        words = len(text.split())
+        return self.langs[per.index(most)] if most else "", words, round(letters / count, 6) if count else 0.0, round(most / words, 6) if words else 0.0, lines
+
+
+def character_shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, digits) of each text, as shares of its characters that are no white space; 0 for a blank text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds = _KINDS[np.minimum(codes, 0x10000)]
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    counts = np.bincount(of * 4 + kinds, minlength=4 * len(texts)).reshape(-1, 4)
+    dense = np.maximum(counts[:, _LETTER] + counts[:, _DIGIT] + counts[:, _SYMBOL], 1)
+    return np.round(counts[:, _SYMBOL] / dense, 6), np.round(counts[:, _DIGIT] / dense, 6)
+
+
+_MEASURED = "page_id long, lang string, words int, mean_word_length double, common_share double, lines array<int>, symbol_share double, digit_share double"
 
 
 def text_statistics(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     """(page_id, lang, words, STATISTICS) for every page with a text, computed from the text alone.
 
-    pages: page_id, text; common_words: lang, word. lang is the language whose common words are most frequent, "" if
-    none occurs. A null text has no row, a blank one zeros; ids may repeat or be null."""
+    pages: page_id, url, text; common_words: lang, word. lang is the language whose common words are most frequent, "" if
+    none occurs. A null text has no row, a blank one zeros; ids may repeat or be null. The shares of lines (ended_share)
+    and of words in lines (ended_words, listed_share) leave out headings and the lines that the site repeats, which
+    repeated_lines finds over all pages. Texts are read once here and not moved: of each line only a number is."""
     rows = common_words.select(F.lower(F.trim("lang")).alias("lang"), F.lower(F.trim("word")).alias("word")).where("lang <> '' AND word <> ''").distinct().limit(MAX_COMMON_WORDS + 1).collect()
     if len(rows) > MAX_COMMON_WORDS:
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
@@ -110,15 +123,26 @@ def text_statistics(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     common = {k: frozenset(v) for k, v in common.items()}
 
     def measure(batches):
-        names = [c.split()[0] for c in _STATS.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * len(STATISTICS)]
-        for b in batches:
-            rows = [page_statistics(t, common) for t in b.column("text").to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * (len(STATISTICS) + 2)
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, k) for c, k in zip(columns, kinds[1:]))], names)
+        one = Measure(common)
+        kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                texts = b.column("text").to_pylist()
+                columns = zip(*map(one.page, texts))
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, k) for c, k in zip(columns, kinds)), *map(pa.array, character_shares(texts))], [c.split()[0] for c in _MEASURED.split(", ")])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return own.mapInArrow(measure, _STATS)
+    gone = repeated_lines(pages).groupBy("page_id").agg(F.collect_list("line_no").alias("gone"))
+    joined = own.mapInArrow(measure, _MEASURED).join(gone, "page_id", "left")
+    none = F.array().cast("array<int>")
+    kept = F.filter(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", none)), lambda i: F.get("lines", i) > 0)
+    lines = joined.withColumn("own", F.transform(kept, lambda i: F.get("lines", i)))
+    total = lambda value: F.aggregate("own", F.lit(0), lambda s, x: s + value(x))
+    words, ended = (lambda x: F.shiftright(x, 2)), (lambda x: x.bitwiseAND(1))
+    sums = lines.withColumns({"w": total(words), "e": total(ended), "ew": total(lambda x: words(x) * ended(x)), "out": total(lambda x: words(x) * (1 - F.shiftright(x.bitwiseAND(2), 1))), "n": F.size("own")})
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6).alias
+    return sums.select("page_id", "lang", "words", "mean_word_length", "symbol_share", share("e", "n")("ended_share"), share("ew", "w")("ended_words"), "common_share", "digit_share", share("out", "w")("listed_share"))
 
 
 def exact_ranks(values: DataFrame) -> DataFrame:
@@ -157,8 +181,27 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     return own.join(sums, "row").select("page_id", "lang", "words", *STATISTICS, "score")
 
 
-def unlike_prose(pages: DataFrame, common_words: DataFrame, min_score: float = 1.0) -> DataFrame:
-    """(page_id, score, listed_share) of pages of at least MIN_WORDS words whose outlier score is min_score or more and of
-    whose words, after an exact count, more than half stand outside sentences."""
-    scored = outlier_scores(text_statistics(pages, common_words))
-    return scored.where((F.col("words") >= MIN_WORDS) & (F.col("score") >= min_score) & (F.col("listed_share") > 0.5)).select("page_id", "score", "listed_share")
+def score_threshold(scores: DataFrame) -> float:
+    """The score that parts the pages in two groups best (the largest variance between the groups), from a histogram of
+    cells of SCORE_CELL, whose number doesn't grow with the table; infinite for an empty table."""
+    cells = sorted((r["cell"], r["n"]) for r in scores.groupBy(F.floor(F.col("score") / SCORE_CELL).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not cells:
+        return float("inf")
+    value, n = (np.array(x, dtype=float) for x in zip(*cells))
+    below, mass = np.cumsum(n)[:-1], np.cumsum(n * value)[:-1]
+    if not len(below):
+        return float(value[0] * SCORE_CELL)
+    between = (mass / below - (mass[-1] + n[-1] * value[-1] - mass) / (n.sum() - below)) ** 2 * below * (n.sum() - below)
+    return float(value[1:][between.argmax()] * SCORE_CELL)
+
+
+def outlying(pages: DataFrame, common_words: DataFrame, min_score: float | None = None) -> DataFrame:
+    """The scored pages of at least MIN_WORDS words whose score is min_score or more; without it, score_threshold of them."""
+    scored = cut(outlier_scores(text_statistics(pages, common_words)).where(F.col("words") >= MIN_WORDS))
+    return scored.where(F.col("score") >= (score_threshold(scored) if min_score is None else min_score))
+
+
+def unlike_prose(pages: DataFrame, common_words: DataFrame, min_score: float | None = None) -> DataFrame:
+    """(page_id, score, listed_share) of the outlying pages of whose words, after an exact count, more than half stand
+    outside sentences: the score finds the pages, the count only drops some of them."""
+    return outlying(pages, common_words, min_score).where(F.col("listed_share") > 0.5).select("page_id", "score", "listed_share")
