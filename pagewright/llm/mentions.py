@@ -4,6 +4,7 @@ over the whole corpus in personal.py."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 # ---- fixed values: words that name kinds of identity numbers, titles, streets and openings -------------------------
 ID_LABEL = re.compile(
@@ -84,19 +85,29 @@ def phone_like(s: str) -> bool:
     return len(d) == 9 and groups == [3, 3, 3] and d[0] in "6789"
 
 
+def _local_before(text: str, at: int) -> int | None:
+    """Where the mailbox that ends at a position begins, however long it is; None where there is none."""
+    width = 64
+    while m := _LOCAL.search(text, max(0, at - width), at):
+        if m.start() > at - width or width >= at:
+            return m.start()
+        width *= 4
+    return None
+
+
 def _spans_email(text: str, low: str):
+    """(start, end, whether the form alone decides)."""
     for sign in "@＠":
         at = text.find(sign)
         while at >= 0:
-            m, n = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-            if m and n:
-                yield m.start(), n.end()
+            a, n = _local_before(text, at), _DOMAIN.match(text, at + 1)
+            if a is not None and n:
+                yield a, n.end(), True
             at = text.find(sign, at + 1)
-    if any(h in low for h in _AT_HINTS) or " at " in low and " dot " in low or "@ " in text or " @" in text:
+    if any(h in low for h in _AT_HINTS) or " at " in low or "@ " in text or " @" in text:
         for m in _SPELLED.finditer(text):
             s = m.group(0)
-            if re.search(r"[\[({<]\s*at\s*[\])}>]|[@＠]", s, re.I) or re.search(r"\sdot\s|[\[({<]\s*dot", s, re.I):
-                yield m.start(), m.end()
+            yield m.start(), m.end(), bool(re.search(r"[\[({<]\s*at\s*[\])}>]|[@＠]", s, re.I) or re.search(r"\sdot\s|[\[({<]\s*dot", s, re.I))
 
 
 def _spans_address(text: str, low: str):
@@ -146,27 +157,50 @@ def shape(code: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", code))
 
 
+class _Taken:
+    """Places in order that nothing else may overlap."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return not at or self.ends[at - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
+#: A house number, capitalised words and a town, without a word for a street: an address only where its surroundings say so.
+_LOOSE = re.compile(rf"(?<![\w\-/.,]) ?(\d{{1,4}}[a-z]?,? (?:{_WORD} ){{0,2}}{_WORD}, (?:\d{{4,5}} )?{_WORD}(?: \d{{4,5}})?)")
+
+
 def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool, bool, str, list[str]]]:
     """(start, end, kind, sure, seed, instance, patterns) of every place that may be personal information; given names in lower case.
 
-    sure: the grammar alone decides. seed: it teaches patterns. Emails, addresses and phone numbers are sure; identity
-    numbers and names are candidates unless labelled or made of a known given name and another name."""
-    taken: list[tuple[int, int]] = []
+    sure: the form alone decides, as for emails, addresses and phone numbers in usual or evaded forms, labelled numbers and
+    names of a given name and another. seed: it teaches patterns. What is not sure is a candidate: other numbers, spelled
+    emails, addresses without a word for a street, other capitalised words."""
+    taken = _Taken()
+    free = taken.free
     out = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= s or a >= e for s, e in taken)
-
     low = text.lower()
-    for a, b in _spans_email(text, low):
+    loose = []
+    for a, b, certain in _spans_email(text, low):
         if free(a, b):
-            taken.append((a, b))
-            out.append((a, b, "email", True, True, "", []))
+            if certain:
+                taken.add(a, b)
+                out.append((a, b, "email", True, True, "", contexts("e", text, a, b)))
+            else:
+                loose.append((a, b, "email", "spelled"))
     for a, b in _spans_address(text, low):
         b -= len(text[a:b]) - len(text[a:b].rstrip(" \n,"))
         if free(a, b):
-            taken.append((a, b))
-            out.append((a, b, "address", True, True, "", []))
+            taken.add(a, b)
+            out.append((a, b, "address", True, True, "", contexts("a", text, a, b)))
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         a = n.start() if (n := _SIGN.search(text, max(0, a - 2), a)) else a
@@ -176,10 +210,19 @@ def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool
         while s.count(")") > s.count("("):
             s = s[: s.rindex(")")].rstrip(" .-/")
         b = a + len(s)
-        if phone_like(s) and free(a, b) and not NOT_ID.search(text[max(0, a - 30) : a]):
-            if s[0] in "+(0" or not _LABELLED.search(text[max(0, a - 28) : a]):
-                taken.append((a, b))
-                out.append((a, b, "phone", True, True, "", []))
+        if not free(a, b) or NOT_ID.search(text[max(0, a - 30) : a]):
+            continue
+        if not phone_like(s):
+            if 6 <= sum(c.isdigit() for c in s) <= 15:
+                loose.append((a, b, "phone", shape(s)))
+        elif s[0] in "+(0" or not _LABELLED.search(text[max(0, a - 28) : a]):
+            taken.add(a, b)
+            out.append((a, b, "phone", True, True, shape(s), contexts("p", text, a, b)))
+    for m in _LOOSE.finditer(text):
+        loose.append((*m.span(1), "address", "loose"))
+    for a, b, kind, instance in loose:
+        if free(a, b):
+            out.append((a, b, kind, False, False, instance, contexts(kind[0], text, a, b)))
     for m in _DIGITS.finditer(text):
         a, b = m.span()
         a = _BEFORE.search(text, max(0, a - 16), a).start()
@@ -192,7 +235,7 @@ def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool
         before, after = text[max(0, a - 40) : a], text[b : b + 40]
         seed = bool((ID_LABEL.search(before[-28:]) and re.search(r"[\w.]\s*:?\s*$", before)) or re.match(r"\s+(?:as|is|was)\s+(?:the|his|her|a)\s+", after) and ID_LABEL.search(after)) and not NOT_ID.search(before)
         if seed:
-            taken.append((a, b))
+            taken.add(a, b)
         out.append((a, b, "id_number", seed, seed, shape(s), contexts("i", text, a, b)))
     for m in _SLOT.finditer(text):
         a, b = m.span()

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.mentions import mentions
-from pagewright.sources.tables import cut
+from pagewright.sources.tables import cut, sized
 
 #: A context is trusted when at least so many of its places are known entities, and this share of them.
 MIN_SEEDS = 3
 MIN_SHARE = 0.6
-#: An instance (surname, number shape) is trusted when so many of its places are accepted, and this share of them.
+#: An instance (surname, number shape) is trusted when so many of its places are accepted by patterns of one side (before,
+#: after, both), and this share of them.
 MIN_ACCEPTED = 2
 MIN_ACCEPTED_SHARE = 0.7
 ROUNDS = 3
@@ -48,28 +49,34 @@ def scan(docs: DataFrame, given_names: DataFrame) -> DataFrame:
 
 
 def _trusted(counts: DataFrame, key: str, least: int, share: float) -> DataFrame:
-    return counts.where((F.col("good") >= least) & (F.col("good") >= share * F.col("n"))).select(key)
+    return counts.where((F.col("good") >= least) & (F.col("good") >= share * F.col("n"))).select(key).distinct()
+
+
+def pattern_graph(places: DataFrame) -> DataFrame:
+    """(side, pattern, instance, n, seeds, sures), written once: how many places each pattern and instance have in common. A
+    frequent context or name is one row a partner here, however many places it has."""
+    each = places.where(F.size("patterns") > 0).select("instance", "seed", "sure", F.posexplode("patterns").alias("side", "pattern"))
+    return cut(each.groupBy("side", "pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"), F.sum(F.col("sure").cast("long")).alias("sures")))
 
 
 def bootstrap(places: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(pattern) and (instance): what is trusted after the rounds.
 
     A round scores the patterns by the share of their places that are seeds or of trusted instances, accepts the places
-    of trusted patterns, and scores the instances by the share of their places that are accepted. Patterns and instances
-    are joined by hash on both sides of the graph; nothing of it comes to the driver."""
-    edges = places.where(F.size("patterns") > 0).select("doc_id", "start_pos", "instance", "seed", "sure", F.explode("patterns").alias("pattern"))
+    of trusted patterns, and scores the instances by the share of their places that are accepted. Rounds join the counts
+    of pattern_graph, not places; nothing of it comes to the driver."""
+    edges = pattern_graph(places)
     known = None
     for _ in range(rounds):
-        good = F.col("seed")
-        with_known = edges
+        good = F.col("seeds")
+        scored = edges
         if known is not None:
-            with_known = edges.join(known.withColumn("known", F.lit(True)), "instance", "left")
-            good = good | F.coalesce(F.col("known"), F.lit(False))
-        counts = with_known.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(good.cast("int")).alias("good"))
-        patterns = cut(_trusted(counts, "pattern", MIN_SEEDS, MIN_SHARE))
+            scored = edges.join(known.withColumn("known", F.lit(True)), "instance", "left")
+            good = F.when(F.col("known"), F.col("n")).otherwise(good)
+        patterns = sized(_trusted(scored.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum(good).alias("good")), "pattern", MIN_SEEDS, MIN_SHARE))
         hits = edges.join(patterns.withColumn("hit", F.lit(True)), "pattern", "left")
-        places_ = hits.groupBy("instance", "doc_id", "start_pos").agg(F.max(F.col("sure") | F.coalesce(F.col("hit"), F.lit(False))).alias("ok"))
-        known = cut(_trusted(places_.groupBy("instance").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("int")).alias("good")), "instance", MIN_ACCEPTED, MIN_ACCEPTED_SHARE))
+        accepted = hits.groupBy("instance", "side").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(F.col("sures"))).alias("good"))
+        known = sized(_trusted(accepted, "instance", MIN_ACCEPTED, MIN_ACCEPTED_SHARE))
     return patterns, known
 
 
@@ -78,14 +85,18 @@ def find_personal(docs: DataFrame, given_names: DataFrame, rounds: int = ROUNDS)
 
     docs: doc_id, text; given_names: given_name. kind is email, phone, id_number, address or name. Rows with a null
     doc_id or a null or empty text have none; equal rows give equal places once; without given names only titles and
-    labels seed. Whole texts are read. text_key is xxhash64 of the text, so that texts under one doc_id stay apart."""
+    labels seed. Whole texts are read. text_key is xxhash64 of the text, so that texts under one doc_id stay apart. Where
+    a number is accepted both as a phone and as an identity number, it is the latter."""
     places = cut(scan(docs, given_names))
     patterns, instances = bootstrap(places, rounds)
+    span = ["doc_id", "text_key", "kind", "start_pos", "end_pos"]
     open_ = places.where("NOT sure")
-    by_pattern = open_.select("doc_id", "text_key", "kind", "start_pos", "end_pos", F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi").drop("pattern")
-    by_instance = open_.where("kind = 'name'").join(instances, "instance", "left_semi").select("doc_id", "text_key", "kind", "start_pos", "end_pos")
-    sure = places.where("sure").select("doc_id", "text_key", "kind", "start_pos", "end_pos")
-    return sure.unionByName(by_pattern).unionByName(by_instance).distinct()
+    by_pattern = open_.select(*span, F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi").drop("pattern")
+    by_instance = open_.where("kind = 'name'").join(instances, "instance", "left_semi").select(*span)
+    learned = cut(by_pattern.unionByName(by_instance).distinct())
+    numbers = learned.where("kind = 'id_number'").select("doc_id", "text_key", F.lit("phone").alias("kind"), "start_pos")
+    learned = learned.join(numbers, ["doc_id", "text_key", "kind", "start_pos"], "left_anti").select(*span)
+    return places.where("sure").select(*span).unionByName(learned).distinct()
 
 
 @F.pandas_udf(T.StringType())

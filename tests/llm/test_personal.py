@@ -54,6 +54,26 @@ def test_contexts_find_unlisted_names_and_numbers(spark):
     assert texts[502].startswith("Ask [NAME]. pump") and texts[101] == "The pump Zork works at noon."
 
 
+def test_patterns_alone_find_odd_forms(spark):
+    """Phones, emails and addresses are seeds too: their contexts accept forms that no grammar decides, and only there."""
+    rows = [(i, f"Please ring the yard on 030 23125 {500 + i} before noon.") for i in range(12)] + [(20 + i, f"Mail the office under bo{i}@a.example today.") for i in range(6)]
+    rows += [(40 + i, f"The pump was left at {10 + i} Tanner Lane, Eldby, on Monday.") for i in range(6)]
+    rows += [(100, "Please ring the yard on 7 31 55 20 8 before noon."), (101, "The pump ran on 7 31 55 20 8 turns."), (102, "Mail the office under bo at a-b.example today."), (103, "We look at a-b.example pages.")]
+    rows += [(104, "The pump was left at 12 Alter Kranhof, Eldby, on Monday."), (105, "The store sold 12 Alter Kranhof, Eldby crates.")]
+    df = docs(spark, rows)
+    sure = {(i, k) for i, t in rows for k, _ in found(t)}
+    got = {(r["doc_id"], r["kind"], r["start_pos"]) for r in personal.find_personal(df, spark.createDataFrame([("Anna",)], "given_name string")).collect()}
+    odd = {(100, "phone", 24), (102, "email", 22), (104, "address", 21)}
+    assert odd <= got and not {(i, k) for i, k, _ in odd} & sure
+    assert not any(i in (101, 103, 105) for i, k, _ in got if k != "name")
+
+
+def test_long_mailboxes_and_many_places():
+    box = "a" * 300
+    assert found(f"Write to {box}@b.example now") == {("email", f"{box}@b.example")}
+    assert len(found("\n".join(f"x{i}@b.example, 030 23125 {100 + i % 900}" for i in range(3000)))) == 3900
+
+
 def test_empty(spark):
     none = docs(spark, [])
     given = spark.createDataFrame([("Anna",)], "given_name string")

@@ -87,6 +87,6 @@ def test_threshold_of_two_groups(spark):
 def test_lines_that_the_site_repeats_count_for_neither_side(spark):
     common = spark.createDataFrame([(k, w) for k, v in COMMON.items() for w in v], "lang string, word string")
     site = "Zorb hall guild mark nine"
-    rows = [(i, f"https://a.example/{i}", f"# A heading of the page\n{PROSE} Part {i}.\n{site}") for i in range(12)] + [(90, "https://b.example", f"{PROSE}\n{site}")]
+    rows = [(i, f"https://a.example/{i}", f"# A heading of the page\n{PROSE} Part {chr(97 + i)}.\n{site}") for i in range(12)] + [(90, "https://b.example", f"{PROSE}\n{site}")]
     got = {r["page_id"]: r for r in ts.text_statistics(spark.createDataFrame(rows, "page_id long, url string, text string"), common).collect()}
     assert all(got[i]["listed_share"] == 0 and got[i]["ended_share"] == 1 for i in range(12)) and got[90]["listed_share"] > 0
