@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import host_of
@@ -27,21 +27,12 @@ TRAIN_DOCS = 32
 WORD_BUCKETS, TAG_BUCKETS = 4096, 512
 _CONTAINERS = frozenset("div section article main aside nav header footer ul ol table td form body".split())
 _FURNITURE_TAGS = frozenset("nav header footer aside".split())
+_INLINE = frozenset("a b i em strong span".split())
+_ITEMS = frozenset("li td th h1 h2 h3 h4 h5 h6".split())
 _END = re.compile(r"[.!?…:][\"'”’)]*$")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
-# ---- fixed values: openings of lines about a page rather than of its text, for the training labels ----------------
-_ABOUT = re.compile(
-    r"^(?:by |posted |written +by |published |last updated|updated |reading time|share this|follow us|subscribe|like what you read|did this help|back to the |download the free |"
-    r"©|\(c\) ?\d|all rights reserved|terms of |privacy|get our |« ?previous|previous \||this site |we use cookies|by staying on|opening hours|\*{3} )|"
-    r"\bcookies\b|rights reserved|takes no liability|written consent|trading name|of their owner|editorial desk",
-    re.I,
-)
-_MORE = re.compile(r"^(?:read next|read more|related|you may also|see also|more from|more about|popular|recommended|latest|mehr |weiterlesen|à lire|lire aussi|leer más|también)", re.I)
-# ---- end of fixed values ------------------------------------------------------------------------------------------
-
-
 class _Hashes(dict):
     def __init__(self, buckets: int):
         self.buckets = buckets
@@ -82,6 +73,12 @@ def _masses(runs: list[Run], counted: list[int]) -> dict[int, int]:
     return mass
 
 
+def _whole(runs: list[Run]) -> list[bool]:
+    """Whether each run is all that stands directly in a block, and not a part of a line."""
+    in_node = Counter(r.nodes[-1] for r in runs if r.nodes)
+    return [bool(r.nodes) and in_node[r.nodes[-1]] == 1 and _name(r.path[-1]) not in _INLINE for r in runs]
+
+
 def _in_sentences(texts: list[str]) -> list[int]:
     counts = [t.count(" ") + 1 for t in texts]
     return [n if n >= 8 and _END.search(t) else 0 for t, n in zip(texts, counts)]
@@ -98,7 +95,7 @@ class _Known(dict):
             words = [_words[w] for w in _WORD.findall(text.lower())]
             n = text.count(" ") + 1
             end = _END.search(text) is not None
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(str.isdigit, text)) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text)
+            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(str.isdigit, text)) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -120,18 +117,37 @@ def _form(text: str) -> str:
     return _DIGITS.sub("0", text.lower())
 
 
+#: Words of the longest run that has a frame.
+FRAME_WORDS = 9
+
+
+def _frame(text: str) -> str:
+    """What a short line without a full stop has besides its names: the form with each run of capitalised words after the
+    first as one sign, so that bylines and lines of dates are alike on all pages; "" for other texts."""
+    words = text.split(" ")
+    if not 1 < len(words) <= FRAME_WORDS or text.isupper() or _END.search(text):
+        return ""
+    out = words[:1]
+    for w in words[1:]:
+        w = "^" if w[:1].isupper() else w
+        if w != "^" or out[-1] != "^":
+            out.append(w)
+    return "~" + _form(" ".join(out)) if "^" in out else ""
+
+
 class _Forms(dict):
-    """A run as written -> its compared form; short runs are kept as in _Known."""
+    """A run as written -> its compared form and its frame; short runs are kept as in _Known."""
 
-    def look(self, raw: str) -> str:
-        form = self.get(raw)
-        if form is None:
-            form = _form(shown(raw))
+    def look(self, raw: str) -> tuple[str, str]:
+        found = self.get(raw)
+        if found is None:
+            text = shown(raw)
+            found = _form(text), _frame(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
-                self[raw] = form
-        return form
+                self[raw] = found
+        return found
 
 
 _known, _paths, _forms = _Known(), _Paths(), _Forms()
@@ -154,6 +170,24 @@ def _key(form: str, brand: str) -> int:
 Shared = dict[int, tuple[int, bool]]
 
 
+def shared_with_others(runs: list[Run], forms: list[tuple[str, str]], brand: str, shared: Shared) -> list[tuple[int, bool]]:
+    """What each run shares with other pages: by its form, or by its frame where it is a line of its own."""
+    if not shared:
+        return [(1, False)] * len(runs)
+    out = [shared.get(_key(form, brand), (1, False)) for form, _ in forms]
+    for i, (run, (_, frame), whole) in enumerate(zip(runs, forms, _whole(runs))):
+        if frame and whole and _name(run.path[-1]) not in _ITEMS:
+            a, b = shared.get(_key(frame, brand), (1, False)), out[i]
+            out[i] = max(a[0], b[0]), a[1] or b[1]
+    return out
+
+
+def site_runs(runs: list[Run], host: str | None, shared: Shared) -> list[bool]:
+    """Whether each run is one of the lines, or frames of lines, that many pages of the host or many hosts share."""
+    found = shared_with_others(runs, [_forms.look(r.text) for r in runs], _brand(host), shared)
+    return [n >= SITE_PAGES or wide for n, wide in found]
+
+
 def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared]) -> tuple[Blocks, list[list[str]], list[list[tuple[int, bool]]]]:
     """Blocks of the pages, the runs as shown, and what each run shares with other pages."""
     words, word_counts, tags, tag_counts, numbers, lengths, all_texts, all_shared = [], [], [], [], [], [], [], []
@@ -164,10 +198,10 @@ def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Share
         lengths.append(n)
         all_texts.append([s[0] for s in seen])
         brand = _brand(host)
-        with_others = [own_shared.get(_key(s[4], brand), (1, False)) if own_shared else (1, False) for s in seen]
+        with_others = shared_with_others(runs, [s[4:6] for s in seen], brand, own_shared)
         all_shared.append(with_others)
         page = (min(total, 400) / 400, min(n, 150) / 150)
-        for i, (run, (_, found, own, _, _)) in enumerate(zip(runs, seen)):
+        for i, (run, (_, found, own, *_)) in enumerate(zip(runs, seen)):
             words += found
             word_counts.append(len(found))
             ids, flags = _paths[run.path]
@@ -197,29 +231,34 @@ def _region(runs: list[Run], counts: list[int]) -> set[int] | None:
 
 
 def training_labels(pages: list[list[Run]], texts: list[list[str]], shared: list[list[tuple[int, bool]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(target, weight) by rules that hold for most pages: in the main region, not in a navigation element, not in a list
-    of links or below a title of one, not one of the lines that many pages of the host or many hosts share, counted over
-    all pages, not a line about the page."""
+    """(target, weight) by rules that hold for most pages, none of which knows a wording: in the main region, not in a
+    navigation element, not in a list of links or the title of one, and not one of the lines, or frames of lines, that
+    many pages of the host or many hosts share, counted over all pages."""
     target, weight = [], []
     for runs, own, with_others in zip(pages, texts, shared):
         plain = defaultdict(int)  # words that stand directly below each node, links apart
         for run, text in zip(runs, own):
             if run.nodes and "a" not in run.path:
                 plain[run.nodes[-1]] += text.count(" ") + 1
-        clear = []
-        for run, text, (on_pages, on_hosts) in zip(runs, own, with_others):
+        clear, titles, links = [], [], []
+        for run, text, (on_pages, on_hosts), whole in zip(runs, own, with_others, _whole(runs)):
             n = text.count(" ") + 1
             heading = any(x[:1] == "h" and x[1:2].isdigit() for x in run.path[-2:])
-            about = bool(n <= 40 and _ABOUT.search(text)) or heading and bool(_MORE.search(text))
-            common = not heading and (on_pages >= SITE_PAGES or on_hosts) and not (n <= 3 and "p" in run.path)
+            common = not heading and (on_pages >= SITE_PAGES or on_hosts) and (n > 3 or whole and _name(run.path[-1]) not in ("td", "th"))  # cells are short everywhere
             link = run.path[-1:] == ("a",) and n <= 9 and not _END.search(text) and not (len(run.nodes) > 1 and plain[run.nodes[-2]])
-            clear.append(about or common or link or any(_name(x) in _FURNITURE_TAGS for x in run.path))
+            titles.append(heading)
+            links.append(link)
+            clear.append(common or link or any(_name(x) in _FURNITURE_TAGS for x in run.path))
+        for i in range(len(own) - 2):  # the title of a list of links
+            clear[i] = clear[i] or titles[i] and links[i + 1] and links[i + 2]
         counts = [0 if bad else n for bad, n in zip(clear, _in_sentences(own))]
         if sum(counts) < 20:
             counts = [0 if bad else t.count(" ") + 1 for bad, t in zip(clear, own)]
         region = _region(runs, counts)
         target += [float(region is not None and i in region and not bad) for i, bad in enumerate(clear)]
-        weight += [1.0 if region is not None else 0.3 * bad for bad in clear]
+        # Names in capitals can't be told from other words, so such lines aren't taught; the labeller judges them by the others.
+        unclear = [w and not h and t.isupper() and t.count(" ") < FRAME_WORDS and not _END.search(t) for w, h, t in zip(_whole(runs), titles, own)]
+        weight += [(1.0 if region is not None else 0.3 * bad) * (bad or not u) for bad, u in zip(clear, unclear)]
     return np.array(target, dtype=np.float32), np.array(weight, dtype=np.float32)
 
 
@@ -253,7 +292,7 @@ def page_forms(pages: DataFrame) -> DataFrame:
             keys = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 brand = _brand(host)
-                keys.append(list({_key(_forms.look(t), brand) for t in texts_of(html)}))
+                keys.append(list({_key(form, brand) for t in texts_of(html) for form in _forms.look(t) if form}))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(keys, pa.list_(pa.int64()))], ["page_id", "host", "forms"])
 
     rows = fetched(pages).where("host IS NOT NULL").mapInArrow(forms, "page_id long, host string, forms array<long>")
@@ -282,13 +321,13 @@ def shared_forms(pages: DataFrame) -> DataFrame:
     return cut(found.groupBy("page_id", "host").agg(F.collect_list(one).alias("s")).select("page_id", "host", F.col("s.form").alias("forms"), F.col("s.pages").alias("pages"), F.col("s.wide").alias("wide")))
 
 
-def _with_shared(pages: DataFrame, shared: DataFrame) -> DataFrame:
+def with_shared(pages: DataFrame, shared: DataFrame) -> DataFrame:
     """pages (page_id, host, html) with the columns of shared_forms, null where there is nothing shared."""
     return pages.withColumn("hashed", F.xxhash64("host")).join(shared.withColumnRenamed("host", "hashed"), ["page_id", "hashed"], "left").select("page_id", "host", "html", "forms", "pages", "wide")
 
 
-def _inputs(b) -> tuple[list[list[Run]], list[str | None], list[Shared]]:
-    """What features takes, from Arrow rows of _with_shared."""
+def inputs(b) -> tuple[list[list[Run]], list[str | None], list[Shared]]:
+    """What features takes, from Arrow rows of with_shared."""
     forms, on_pages, wide = ([x for chunk in getattr(b.column(c), "chunks", [b.column(c)]) for x in chunk.flatten().to_numpy(zero_copy_only=False).tolist()] for c in ("forms", "pages", "wide"))
     shared, at = [], 0
     for n in pc.fill_null(pc.list_value_length(b.column("forms")), 0).to_pylist():
@@ -300,7 +339,17 @@ def _inputs(b) -> tuple[list[list[Run]], list[str | None], list[Shared]]:
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, shared: DataFrame | None = None) -> Model:
     rows = pages.where("status = 200").count()  # an upper bound that needs no html
     sample = hash_sample(fetched(pages), "page_id", sample_pages, rows)
-    return train(*_inputs(_with_shared(sample, shared_forms(pages) if shared is None else shared).orderBy(F.xxhash64("page_id"), "page_id").toArrow()))
+    return train(*inputs(with_shared(sample, shared_forms(pages) if shared is None else shared).orderBy(F.xxhash64("page_id"), "page_id").toArrow()))
+
+
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Write a fitted labeller, some MB, as a table of its arrays."""
+    rows = [(k, [int(n) for n in v.shape], bytearray(v.astype("<f4").tobytes())) for k, v in sorted(model.p.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    return Model({r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()})
 
 
 def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -315,7 +364,7 @@ def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                blocks, texts, _ = features(*_inputs(b))
+                blocks, texts, _ = features(*inputs(b))
                 main = model.label(blocks) >= 0.5
                 ids = np.repeat(b.column("page_id").to_numpy(), blocks.lengths)
                 no = np.arange(len(ids)) - np.repeat(np.cumsum(blocks.lengths) - blocks.lengths, blocks.lengths)
@@ -323,7 +372,7 @@ def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 count = [t.count(" ") + 1 if t else 0 for t in flat]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(count, pa.int32()), pa.array(flat, pa.string()), pa.array(main)], ["page_id", "run_no", "words", "text", "main"])
 
-    return _with_shared(fetched(pages), shared).mapInArrow(label, "page_id long, run_no int, words int, text string, main boolean")
+    return with_shared(fetched(pages), shared).mapInArrow(label, "page_id long, run_no int, words int, text string, main boolean")
 
 
 def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -336,7 +385,7 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                blocks, texts, _ = features(*_inputs(b))
+                blocks, texts, _ = features(*inputs(b))
                 main = model.label(blocks) >= 0.5
                 out, start = [], 0
                 for own in texts:
@@ -348,4 +397,4 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
                     [b.column("page_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], ["page_id", "text", "word_count", "kept_ratio"]
                 )
 
-    return _with_shared(fetched(pages), shared).mapInArrow(body, "page_id long, text string, word_count int, kept_ratio double")
+    return with_shared(fetched(pages), shared).mapInArrow(body, "page_id long, text string, word_count int, kept_ratio double")

@@ -127,7 +127,7 @@ def p4_scores(spark, root):
 
 
 def p6_found(spark, root):
-    return residue.residue_pages(table(spark, root, "fetched_pages"), table(spark, root, "common_words")).select("page_id").distinct()
+    return residue.residue_pages(table(spark, root, "fetched_pages"), table(spark, root, "common_words"), table(spark, root, "extracted_pages")).select("page_id").distinct()
 
 
 def p6_kept(spark, root):

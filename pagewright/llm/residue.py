@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.htmlruns import body_of, runs_of, shown
+from pagewright.llm.htmlruns import Run, body_of, runs_of, shown
+from pagewright.llm.main_content import fetched, inputs, shared_forms, site_runs, with_shared
 
-#: A message stands in place of content where less prose than this stands beside it.
+#: A message stands in place of content where less prose than this stands in its block and beside it.
 MAX_PROSE_WORDS = 60
 #: Filler is the content where at least this share of the page's prose is filler.
 FILLER_SHARE = 0.5
@@ -30,7 +31,7 @@ UNSET = re.compile(r"\[object Object\]|(?<![\w'\"‘“])(?:undefined|NaN|null|\
 #: Words by which a sentence explains a placeholder or a value instead of having one left in it.
 EXPLAINS = re.compile(
     r"\bstands? for\b|\bexpands?\b|\bplaceholders?\b|\bsyntax\b|\bvariables?\b|\bmail template\b|\bmailer\b|\bshell\b|\bfills? in\b|\bmerge fields?\b|\bescape\b|\bliteral\b|\bin the (?:script|template|code|config\w*|manual)\b|\bfor example\b|"
-    r"\bterms\b|\breference at line\b|\bkeyword\b|\breturns\b|\bplatzhalter\b|\bsteht für\b|\bmarcador\b|\bsignifie\b|\bsignifica\b|\bwrite [{$\[<%@]",
+    r"\bterms\b|\bkeyword\b|\breturns\b|\bplatzhalter\b|\bsteht für\b|\bmarcador\b|\bsignifie\b|\bsignifica\b|\bwrite [{$\[<%@]",
     re.I,
 )
 LATIN = frozenset(
@@ -44,52 +45,47 @@ FILLER = re.compile(
     re.I,
 )
 MESSAGE = re.compile(
-    r"^(?:error:? ?)?404\b|we looked for .* nothing here|(?:page|site|document)\b.{0,80}(?:could not|can't|cannot) be found|page not found|wurde (?:leider )?nicht gefunden|\bintrouvable\b|n'a pas été trouvée?|n'existe (?:pas|plus)|no (?:se )?(?:ha )?(?:podido )?encontr\w+|no existe\b|"
-    r"^no results\b|nothing matches .* records|^(?:error:? ?)?(?:403 )?access (?:is )?denied|acceso denegado|zugriff verweigert|ist gesperrt|accès (?:refusé|interdit)|(?:do not|don't) have permission|session has expired|sitzung .{0,60}abgelaufen|sesión .{0,60}(?:caduc|expir)\w+|session .{0,60}expiré|"
-    r"checking your browser|confirm that you are human|verify (?:that )?you are (?:a )?human|not a robot|unusual traffic|wir prüfen ihren browser|überprüfen .{0,40}browser|vérification .{0,40}navigateur|comprobando .{0,40}navegador|sicherheitsprüfung|"
-    r"down for maintenance|wartungsarbeiten|(?:in|wegen) wartung|wird (?:gerade )?gewartet|en mantenimiento|en maintenance|maintenance en cours|back shortly|is coming soon|come back later|(?:site|page|shop|area)\b.{0,60}under construction|im aufbau|en construc(?:ción|tion)|bientôt (?:disponible|de retour)|próximamente|demnächst|in kürze|"
-    r"something went wrong|unhandled exception|null reference at line|query failed near|cannot send headers|(?:fatal|parse|syntax) error|stack ?trace\b|\"status\": ?\"error\"|not rendered|default page of a new web server|internal server error|service (?:is )?(?:temporarily )?unavailable|bad gateway|too many requests|gateway time-?out|"
-    r"(?:enable|turn on|switch on|activate|allow) (?:java ?scripts?|scripts|cookies)|(?:without|needs?|requires?) (?:java ?scripts?|scripts)\b|aktivieren sie .{0,20}(?:java ?script|cookies)|activ(?:ez|er|e|ar) .{0,20}(?:java ?script|cookies)|habilit[ea]r? .{0,20}(?:java ?script|cookies)|blocks cookies|scripts?; please switch|"
-    r"perhaps .* knows where .* went|replace this file with your own",
+    r"^(?:error:? ?)?404\b|^error [A-Z0-9_\-]*\d[A-Z0-9_\-]*:|(?:did|does) not (?:answer|respond)\b.{0,60}in time|timed out\b|(?:page|site|document|file|address)\b.{0,80}(?:could not|can't|cannot) be found|(?:page|file|document) not found|nothing (?:here|(?:was )?found|matches)\b|no (?:results|matches|records)\b|wurde (?:leider )?nicht gefunden|\bintrouvable\b|n'a pas été trouvée?|n'existe (?:pas|plus)|no (?:se )?(?:ha )?(?:podido )?encontr\w+|no existe\b|"
+    r"^(?:error:? ?)?(?:403 )?access (?:is )?denied|acceso denegado|zugriff verweigert|ist gesperrt|accès (?:refusé|interdit)|(?:do not|don't) have permission|(?:session|link) has expired|sitzung .{0,60}abgelaufen|sesión .{0,60}(?:caduc|expir)\w+|session .{0,60}expiré|"
+    r"checking your browser|(?:confirm|verify|prove) (?:that )?you are (?:a )?human|not a robot|unusual traffic|wir prüfen ihren browser|überprüfen .{0,40}browser|vérification .{0,40}navigateur|comprobando .{0,40}navegador|sicherheitsprüfung|"
+    r"down for maintenance|wartungsarbeiten|(?:in|wegen) wartung|wird (?:gerade )?gewartet|en mantenimiento|en maintenance|maintenance en cours|back (?:shortly|soon)|coming soon|come back later|(?:site|page|shop|area)\b.{0,60}under construction|im aufbau|en construc(?:ción|tion)|bientôt (?:disponible|de retour)|próximamente|demnächst|in kürze|"
+    r"something went wrong|unhandled exception|null (?:reference|pointer)|query failed|headers already sent|cannot (?:modify|send) headers?|(?:fatal|parse|syntax) error|stack ?trace\b|\"status\": ?\"error\"|(?:not|cannot be) (?:rendered|displayed)|default (?:web )?page\b|internal server error|service (?:is )?(?:temporarily )?unavailable|bad gateway|too many requests|gateway time-?out|"
+    r"(?:enable|turn on|switch on|activate|allow) (?:java ?scripts?|scripts|cookies)|(?:without|needs?|requires?) (?:java ?scripts?|scripts)\b|(?:switch|turn) (?:java ?scripts?|scripts|cookies|them|it) on|aktivieren sie .{0,20}(?:java ?script|cookies)|activ(?:ez|er|e|ar) .{0,20}(?:java ?script|cookies)|habilit[ea]r? .{0,20}(?:java ?script|cookies)|blocks cookies|"
+    r"(?:java ?scripts?|scripts|cookies) (?:is|are|must be) (?:required|needed|necessary|enabled|disabled)|(?:java ?script|cookies) (?:wird |werden )?benötigt|(?:nécessite|necesita|requiere) .{0,20}(?:java ?script|cookies)|(?:java ?script|cookies)\b.{0,20}(?:nécessaires?|requis|necesari[oa]s?|obligatori)",
     re.I | re.S,
 )
-_NOTICE_STARTS = (
-    "by ", "posted ", "written by ", "written  by ", "published ", "last updated", "reading time", "reading  time", "share this", "follow us", "subscribe", "like what you read", "did this help", "back to the ", "download the free ", "© ", "all rights",
-    "terms of ", "privacy", "get our ", "« previous", "«  previous", "previous |", "this site stores", "by staying on", "opening hours", "*** ",
-)
-_NOTICE_PARTS = (
-    "uses cookies", "our use of cookies", "partners keep data", "choose which ones", "rights reserved", "no liability", "written consent", "trading name", "of their owner", "editorial desk", "include tax", "images are examples", "instead of throwing",
-)
 #: One of these is in every text that MESSAGE finds; they are looked for first because that is much faster.
 _MESSAGE_HINTS = (
-    "404", "found", "gefunden", "trouv", "encontr", "exist", "no results", "matches", "denied", "denegado", "verweigert", "gesperrt", "refus", "interdit", "permission", "expired", "abgelaufen", "caduc", "expir", "browser", "navigateur", "navegador",
-    "human", "robot", "unusual traffic", "sicherheitspr", "maintenance", "wartung", "gewartet", "mantenimiento", "shortly", "coming soon", "come back", "construc", "aufbau", "bientôt", "próximamente", "demnächst", "in kürze", "went wrong",
-    "exception", "null reference", "query failed", "headers", "error", "trace", "rendered", "web server", "unavailable", "bad gateway", "too many", "time-out", "timeout", "script", "cookies", "knows where", "replace this file",
+    "404", "in time", "timed out", "found", "nothing", "no results", "no matches", "no records", "gefunden", "trouv", "encontr", "exist", "denied", "denegado", "verweigert", "gesperrt", "refus", "interdit", "permission", "expired", "abgelaufen", "caduc", "expir", "browser", "navigateur", "navegador",
+    "human", "robot", "unusual traffic", "sicherheitspr", "maintenance", "wartung", "gewartet", "mantenimiento", "back shortly", "back soon", "coming soon", "come back", "construc", "aufbau", "bientôt", "próximamente", "demnächst", "in kürze", "went wrong",
+    "exception", "null reference", "null pointer", "query failed", "header", "error", "trace", "rendered", "displayed", "default page", "default web page", "unavailable", "bad gateway", "too many", "time-out", "timeout", "script", "cookies", "turn them on", "turn it on", "switch them on", "switch it on",
 )
 # ---- end of fixed values ------------------------------------------------------------------------------------------
 #: Sentences of words only, each from a capital to a stop.
 _SPOKEN = re.compile(r"(?:[^\W\d_a-zß-ÿ][^\W\d_]*(?:,? [^\W\d_]+){2,40}[.!?]\s*)+")
-_HINTS = ("{", "[", "%", "@@", "__", "XX", "<", "TODO", "FIXME", "TBD", "undefined", "null", "NaN", "(none)")
+_HINTS = ("{", "[", "%", "@@", "__", "XX", "<", "TODO", "FIXME", "TBD", "undefined", "null", "NaN", "(none)", "None")
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.S | re.I)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ\"'„¿¡(\[{<$%@])")
 _QUOTED = re.compile(r"['\"‘’“”„«»]([^'\"‘’“”„«»]{2,60})['\"‘’“”„«»]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def content_blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, in code) of the page's blocks outside navigation elements; the runs of one block are joined."""
+def content_blocks(runs: list[Run], of_site: list[bool] | None = None) -> list[tuple[str, bool, bool]]:
+    """(text, in code, whether all of it is of the site) of the page's blocks outside navigation elements; the runs of one
+    block are joined. of_site: the runs that many pages share."""
     out, last = [], None
-    for run in runs_of(html):
+    for run, common in zip(runs, of_site or [False] * len(runs)):
         names = [x.partition(".")[0] for x in run.path]
         if _FURNITURE.intersection(names):
             continue
         block = next((n for n, x in zip(reversed(run.nodes), reversed(names)) if x in _BLOCKS), 0)
         if block == last and out:
             out[-1][0] += " " + shown(run.text)
+            out[-1][3] &= common
         else:
-            out.append([shown(run.text), bool(_CODE.intersection(names)), names[-1:] == ["a"]])
+            out.append([shown(run.text), bool(_CODE.intersection(names)), names[-1:] == ["a"], common])
         last = block
-    return [(t, code) for t, code, link in out if not (link and t.count(" ") < 9)]
+    return [(t, code, common) for t, code, link, common in out if not (link and t.count(" ") < 9)]
 
 
 def _prose_words(text: str) -> int:
@@ -98,16 +94,12 @@ def _prose_words(text: str) -> int:
     if len(words) < 8:
         return 0
     letters = _LETTERS.findall(text)
+    if len(letters) > 1.5 * len(words):  # code, traces, lists of addresses
+        return 0
     spoken = len(letters) if text.isupper() else sum(map(str.islower, letters))
     return len(words) if spoken >= 0.55 * len(words) and (text.rstrip()[-1:] in ".!?…:" or len(words) > 20) else 0
 
 
-def _is_notice(text: str) -> bool:
-    """Whether a short block is a line about the page or the site."""
-    low = text.lower()
-    return text.count(" ") < 40 and (low.startswith(_NOTICE_STARTS) or any(p in low for p in _NOTICE_PARTS))
-
-
 def _message(text: str) -> re.Match | None:
     low = text.lower()
     return MESSAGE.search(text) if any(h in low for h in _MESSAGE_HINTS) else None
@@ -120,16 +112,14 @@ def _is_filler(text: str) -> bool:
     return len(letters) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in letters) >= 0.6 * len(letters)
 
 
-def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
-    """What stands in place of content: placeholder, unset, filler, notice; None for a page with content.
+def residue_of_blocks(blocks: list[tuple[str, bool, bool]], common: frozenset[str]) -> tuple[str | None, int]:
+    """(what stands in place of content: placeholder, unset, filler, notice, or None; words of prose beside it).
 
-    common: frequent words of the languages that pages are written in. Sentences without any, made of few words again and
-    again, are filler in an invented language."""
+    A message counts by its surroundings: neither its block nor the rest of the page may hold as much prose as
+    MAX_PROSE_WORDS. Blocks of the site are no prose of the page, but may be its message."""
     strange: list[str] = []
-    blocks = content_blocks(html)
     filler = prose = messages = left = unset = 0
-    for text, code in blocks:
-        short = text.count(" ") < 90
+    for text, code, of_site in blocks:
         words = _prose_words(text)
         is_filler = _is_filler(text)
         if is_filler:
@@ -140,12 +130,12 @@ def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
             if _SPOKEN.fullmatch(text) and sum(w in common for w in letters) < 0.05 * len(letters):
                 strange += letters
         # A page with enough prose has content whatever messages it holds, so it isn't searched for more of them.
-        if short and prose < MAX_PROSE_WORDS:
+        if prose < MAX_PROSE_WORDS and words < MAX_PROSE_WORDS:
             m = _message(text)
             if m and not (len(m[0]) > 3 and not text.startswith("{") and any(m[0] in q for q in _QUOTED.findall(text))):
                 messages += 1
                 continue
-        if not _is_notice(text):
+        if not of_site or is_filler:
             prose += words
         if code or not any(h in text for h in _HINTS):
             continue
@@ -155,44 +145,81 @@ def residue_of(html: str, common: frozenset[str] = frozenset()) -> str | None:
             left += len(PLACEHOLDER.findall(sentence))
             unset += len(UNSET.findall(sentence))
     if left:
-        return "placeholder"
+        return "placeholder", prose
     if unset:
-        return "unset"
+        return "unset", prose
     if len(strange) >= 20 and len(set(strange)) <= 0.6 * len(strange):
         filler += len(strange)
     if filler and filler >= FILLER_SHARE * prose:
-        return "filler"
+        return "filler", prose
     if messages and prose < MAX_PROSE_WORDS:
-        return "notice"
-    if prose < 8 and not any(t.count(" ") > 3 for t, _ in blocks):
+        return "notice", prose
+    return None, prose
+
+
+def residue_of(html: str, common: frozenset[str] = frozenset(), runs: list[Run] | None = None, of_site: list[bool] | None = None) -> str | None:
+    """What stands in place of content in a page: placeholder, unset, filler, notice; None for a page with content.
+
+    common: frequent words of the languages that pages are written in. Sentences without any, made of few words again and
+    again, are filler in an invented language."""
+    blocks = content_blocks(runs_of(html) if runs is None else runs, of_site)
+    found, prose = residue_of_blocks(blocks, common)
+    if found is None and prose < 8 and not any(t.count(" ") > 3 for t, *_ in blocks):
         for m in _NOSCRIPT.finditer(body_of(html)):
             note = shown(re.sub(r"<[^>]*>", " ", m[1]))
-            if not note.lower().startswith("some parts") and re.search(r"script|cookie", note, re.I):
+            if _message(note) and not re.match(r"some\b", note, re.I):
                 return "notice"
-    return None
+    return found
+
+
+def residue_of_text(text: str, common: frozenset[str] = frozenset()) -> str | None:
+    """As residue_of, for an extracted text: its lines are the blocks, the marks of headings left out."""
+    lines = [shown(line.lstrip("#")) for line in text.split("\n")]
+    return residue_of_blocks([(x, False, False) for x in lines if x], common)[0]
 
 
-def residue_pages(pages: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(page_id, residue) of the fetched pages whose main content is residue.
+_FOUND = "page_id long, residue string"
 
-    pages: page_id, status, html; common_words: word, a small table that the driver reads. Only status 200 with html
-    counts; null, empty and other rows, and pages without any text or notice, don't come out. Rows with the same page_id
-    are judged each and come out once a kind. Without common words no filler in invented languages is found."""
+
+def residue_pages(pages: DataFrame, common_words: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """(page_id, residue) of the fetched pages whose main content is residue, by their html or their extracted text.
+
+    pages: page_id, url, status, html; extracted: page_id, text; common_words: word, a small table that the driver reads.
+    Only status 200 counts; null and empty html and texts and pages without any text or notice don't come out. Lines that
+    many pages of a host or many hosts share, counted over all pages, are no prose. An extracted text counts for what it
+    says as a whole, filler or a notice, which html with much furniture may hide; placeholders in it only where there is
+    no html, as it no longer tells code. Rows with the same page_id are judged each and come out once a kind. Without
+    common words no filler in invented languages is found."""
     rows = common_words.select(F.lower(F.trim("word")).alias("w")).where("w <> ''").distinct().limit(MAX_COMMON_WORDS + 1).collect()
     if len(rows) > MAX_COMMON_WORDS:
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
     common = frozenset(r["w"] for r in rows)
 
+    def named(found):
+        found = [(i, r) for i, r in found if r]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string())], ["page_id", "residue"])
+
     def judge(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                own = zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), *inputs(b))
+                yield named((i, residue_of(html, common, runs, site_runs(runs, host, shared))) for i, html, runs, host, shared in own)
+
+    def judge_text(batches):
         for b in batches:
-            found = [(i, r) for i, h in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist()) if (r := residue_of(h, common))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string())], ["page_id", "residue"])
+            yield named((i, residue_of_text(t, common)) for i, t in zip(b.column("page_id").to_pylist(), b.column("text").to_pylist()))
 
-    own = pages.where("status = 200 AND html <> '' AND page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "html")
-    return own.mapInArrow(judge, "page_id long, residue string").distinct()
+    found = with_shared(fetched(pages), shared_forms(pages)).mapInArrow(judge, _FOUND)
+    if extracted is not None:
+        good = pages.where("status = 200 AND page_id IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max((F.length("html") > 0).cast("int")).alias("has_html"))
+        texts = extracted.where("page_id IS NOT NULL AND text <> ''").select(F.col("page_id").cast("long").alias("page_id"), F.col("text").cast("string").alias("text"))
+        by_text = texts.mapInArrow(judge_text, _FOUND).join(good, "page_id").where("residue IN ('filler', 'notice') OR coalesce(has_html, 0) = 0")
+        found = found.unionByName(by_text.select("page_id", "residue"))
+    return found.distinct()
 
 
 def without_residue(texts: DataFrame, pages: DataFrame, common_words: DataFrame) -> DataFrame:
-    """The rows of texts (by page_id) whose fetched page isn't residue; rows without a fetched page stay."""
-    found = residue_pages(pages, common_words).select(F.col("page_id").alias("_residue")).distinct()
+    """The rows of texts (page_id, text) whose page isn't residue; rows without a fetched page stay."""
+    found = residue_pages(pages, common_words, texts).select(F.col("page_id").alias("_residue")).distinct()
     return texts.join(found, F.col("page_id") == F.col("_residue"), "left_anti")

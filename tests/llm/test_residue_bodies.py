@@ -18,7 +18,7 @@ def test_residue():
     assert kind(CONTENT + "<p>Dear undefined, your pump costs null euros.</p>") == "unset"
     assert kind("<h1>Your headline here</h1><p>Lorem ipsum dolor sit amet quam nunc.</p>") == "filler"
     assert kind("<p>" + "Assul vorem menta ligula quam blokka. Vorem quam assul menta ligula. " * 4 + "</p>") == "filler"
-    for note in ("404 - we looked for pumps but there is nothing here.", "Access denied.", "Bitte aktivieren <b>Sie JavaScript</b>, um Pumpen zu sehen.", "Die Seite Pumpe wurde leider nicht gefunden.", "Sitio en mantenimiento: volverá pronto."):
+    for note in ("404 - the pump that you want is not here.", "Access denied.", "Bitte aktivieren <b>Sie JavaScript</b>, um Pumpen zu sehen.", "Die Seite Pumpe wurde leider nicht gefunden.", "Sitio en mantenimiento: volverá pronto."):
         assert kind(f"<p>{note}</p>") == "notice", note
     assert kind('<div id="app"></div><noscript>Turn on scripts to see pumps.</noscript>') == "notice"
 
@@ -31,7 +31,7 @@ def test_explained_is_no_residue():
 
 def test_residue_frames(spark):
     rows = [(1, 200, "<body><p>Access denied.</p>", 0), (1, 200, "<body><p>Access denied.</p>", 0), (2, 404, "<body>Access denied.", 0), (3, 200, None, 0), (4, 200, "", 0), (5, 200, f"<body>{CONTENT}", 0), (None, 200, "<p>Access denied.", 0), (6, 200, "<body>" + CONTENT * 300, 0), (7, 200, "<<<>", 0)]
-    df = spark.createDataFrame(rows, "page_id long, status int, html string, residue int")
+    df = spark.createDataFrame([(*r, "https://a.example/") for r in rows], "page_id long, status int, html string, residue int, url string")
     common = spark.createDataFrame([("the",)], "word string")
     assert [tuple(r) for r in residue.residue_pages(df, common).collect()] == [(1, "notice")]
     assert residue.residue_pages(df.limit(0), common.limit(0)).count() == 0
@@ -39,6 +39,43 @@ def test_residue_frames(spark):
     assert {r["page_id"] for r in residue.without_residue(texts, df, common).collect()} == {5, 9}
 
 
+def test_extracted_text_is_read_too(spark):
+    noise = "".join(f"<p>Our guild {w} the old hall in the yard and asks each member to bring a lamp for it.</p>" for w in ("opens", "paints", "sweeps", "guards", "heats"))
+    pages = spark.createDataFrame([(1, 200, noise + "<p>Access denied.</p>", "u"), (2, 200, None, "u"), (3, 404, None, "u"), (4, 200, f"<body><pre>{{{{ pump.price }}}}</pre>{CONTENT}", "u"), (5, 200, "<body>" + CONTENT, "u")], "page_id long, status int, html string, url string")
+    texts = spark.createDataFrame([(1, "Access denied."), (2, "The pump costs {{ pump.price }} now."), (3, "Access denied."), (4, "{{ pump.price }}"), (5, None), (None, "Access denied."), (77, "Access denied.")], "page_id long, text string")
+    common = spark.createDataFrame([("the",), ("is",)], "word string")
+    assert {tuple(r) for r in residue.residue_pages(pages, common, texts).collect()} == {(1, "notice"), (2, "placeholder")}
+    assert residue.residue_pages(pages, common).count() == 0
+
+
+def test_lines_that_a_site_repeats_are_no_content(spark):
+    site = "".join(f"<p>Members of the guild {w} the hall on each third moon and leave a coin for the lamp in the bowl.</p>" for w in ("sweep", "guard", "paint", "heat"))
+    rows = [(i, 200, f"<body>{site}<p>The lamp of part {chr(97 + i)} is in the yard and it is ready for the long winter of the hall.</p>{CONTENT}", "https://guild.example/") for i in range(14)]
+    rows += [(90, 200, f"<body>{site}<p>Access denied.</p>", "https://guild.example/x"), (91, 200, f"<body>{site}<p>Access denied.</p>", "https://other.example/x")]
+    found = residue.residue_pages(spark.createDataFrame(rows, "page_id long, status int, html string, url string"), spark.createDataFrame([("the",)], "word string"))
+    assert {r["page_id"] for r in found.collect()} == {90}  # elsewhere these lines are content
+
+
+def test_hints_let_every_grammar_through():
+    for text in (
+        "Error QX-12: no luck", "The server did not answer in time", "The page could not be found", "Nothing matches your filter", "No records", "Seite wurde nicht gefunden", "La page est introuvable", "Ce site n'existe pas", "No se ha encontrado la página", "Access is denied",
+        "You don't have permission", "Your session has expired", "Checking your browser", "Prove you are human", "Down for maintenance", "Site under construction", "Unhandled exception", "Null pointer in row 3", "Headers already sent", "Fatal error", "cannot be displayed",
+        "Default page of the server", "Gateway timeout", "Please enable cookies", "This needs JavaScript", "Scripts are off; switch them on", "JavaScript is required", "Es wird JavaScript benötigt", "Il nécessite JavaScript", "This browser blocks cookies", "Demnächst mehr",
+    ):
+        assert residue.MESSAGE.search(text) and residue._message(text), text
+    for text in ("It costs None euros", "undefined", "NaN", "(null)", "[object Object]"):
+        assert residue.UNSET.search(text) and any(h in text for h in residue._HINTS), text
+
+
+def test_long_messages_and_models(spark, tmp_path):
+    trace = "<p>Unhandled exception " + " ".join(f"at mod.run{i}(file.py:{i})" for i in range(300)) + "</p>"
+    assert kind(trace) == "notice"
+    model = lstm.Model.new(20, 10, 3)
+    main_content.save_model(spark, model, str(tmp_path / "m"))
+    again = main_content.load_model(spark, str(tmp_path / "m"))
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
+
+
 def test_runs():
     runs = runs_of("<html><head><title>no</title></head><body><!-- <p>x</p> --><script>a<b</script><ul><li>one<li>two</ul><p>a <b>b</b> c<p>d</body>")
     assert [r.text for r in runs] == ["one", "two", "a ", "b", " c", "d"]
