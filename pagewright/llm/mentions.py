@@ -64,6 +64,7 @@ _START = re.compile(r"(?:^|[.!?…:]['\"”)]*\s+|\n[\s\-*•>]*)$")
 
 _LABELLED = re.compile(rf"(?:{ID_LABEL.pattern})[\s:.#°]*(?:no|nr|n)?[\s:.#°]*$", re.I)
 _NO_PREFIX = re.compile(r"^(?:ID|EAN|SSN|DNI|NIE|NIF|TAX|NO|NR|SKU|REF|ISBN|PIN|VAT) ")
+_AT_DOMAIN = re.compile(r" at [a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2}", re.A)
 _AT_HINTS = ("(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "(@)", "[@]", " at\n")
 _BOX_HINTS = ("box", "postfach", "apartado", "boîte", "boite", "b.p.", "bp ", "casilla")
 
@@ -104,37 +105,40 @@ def _spans_email(text: str, low: str):
             if a is not None and n:
                 yield a, n.end(), True
             at = text.find(sign, at + 1)
-    if any(h in low for h in _AT_HINTS) or " at " in low or "@ " in text or " @" in text:
+    if any(h in low for h in _AT_HINTS) or " at " in low and (" dot " in low or _AT_DOMAIN.search(low)) or "@ " in text or " @" in text:
         for m in _SPELLED.finditer(text):
             s = m.group(0)
             yield m.start(), m.end(), bool(re.search(r"[\[({<]\s*at\s*[\])}>]|[@＠]", s, re.I) or re.search(r"\sdot\s|[\[({<]\s*dot", s, re.I))
 
 
 def _spans_address(text: str, low: str):
+    """(start, end, whether the form alone decides)."""
     if any(h in low for h in _BOX_HINTS):
         for m in _BOX.finditer(text):
-            yield m.start(), m.end()
+            yield m.start(), m.end(), True
     for m in _HOUSE.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-/.,_"):
             continue
         n = _ENGLISH.match(text, m.end())
         if n:
             u = _UNIT.search(text, max(0, m.start() - 20), m.start())
-            yield u.start() if u else m.start(), n.end()
+            yield u.start() if u else m.start(), n.end(), True
+        elif n := _LOOSE.match(text, m.end()):
+            yield m.start(), n.end(), False
     for m in _GERMAN.finditer(text):
         n = _GERMAN_STREET.search(text, max(0, m.start() - 40), m.start())
         if n:
-            yield n.start(), m.end()
+            yield n.start(), m.end(), True
     for m in _FRENCH_HINT.finditer(text) if any(h in low for h in _FRENCH_HINTS) else ():
         at = m.start()
         while at > 0 and text[at - 1].isdigit():
             at -= 1
         n = _FRENCH.match(text, at)
         if n:
-            yield at, n.end()
+            yield at, n.end(), True
     if any(h in low for h in _SPANISH_HINT):
         for m in _SPANISH.finditer(text):
-            yield m.start(), m.end()
+            yield m.start(), m.end(), True
 
 
 def contexts(kind: str, text: str, start: int, end: int, sides_only: bool = False) -> list[str]:
@@ -174,8 +178,8 @@ class _Taken:
         self.ends.insert(at, b)
 
 
-#: A house number, capitalised words and a town, without a word for a street: an address only where its surroundings say so.
-_LOOSE = re.compile(rf"(?<![\w\-/.,]) ?(\d{{1,4}}[a-z]?,? (?:{_WORD} ){{0,2}}{_WORD}, (?:\d{{4,5}} )?{_WORD}(?: \d{{4,5}})?)")
+#: Capitalised words and a town after a house number, without a word for a street: an address only where its surroundings say so.
+_LOOSE = re.compile(rf"(?:{_WORD} ){{0,2}}{_WORD}, (?:\d{{4,5}} )?{_WORD}(?: \d{{4,5}})?")
 
 
 def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool, bool, str, list[str]]]:
@@ -196,11 +200,13 @@ def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool
                 out.append((a, b, "email", True, True, "", contexts("e", text, a, b)))
             else:
                 loose.append((a, b, "email", "spelled"))
-    for a, b in _spans_address(text, low):
+    for a, b, certain in _spans_address(text, low):
         b -= len(text[a:b]) - len(text[a:b].rstrip(" \n,"))
-        if free(a, b):
+        if certain and free(a, b):
             taken.add(a, b)
             out.append((a, b, "address", True, True, "", contexts("a", text, a, b)))
+        elif not certain:
+            loose.append((a, b, "address", "loose"))
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         a = n.start() if (n := _SIGN.search(text, max(0, a - 2), a)) else a
@@ -218,8 +224,6 @@ def mentions(text: str, given: frozenset[str]) -> list[tuple[int, int, str, bool
         elif s[0] in "+(0" or not _LABELLED.search(text[max(0, a - 28) : a]):
             taken.add(a, b)
             out.append((a, b, "phone", True, True, shape(s), contexts("p", text, a, b)))
-    for m in _LOOSE.finditer(text):
-        loose.append((*m.span(1), "address", "loose"))
     for a, b, kind, instance in loose:
         if free(a, b):
             out.append((a, b, kind, False, False, instance, contexts(kind[0], text, a, b)))

@@ -50,6 +50,28 @@ def test_pack(spark):
     assert all(0.9 < r["fill"] <= 1 for r in report)
 
 
+def test_bins_do_not_depend_on_files_or_tasks(spark):
+    rng = random.Random(7)
+    rows = [(i % 900, rng.randint(1, 300)) for i in range(1000)] + [(5, 40)] * 30
+    sizes = spark.createDataFrame(rows, "item_id long, tokens long")
+    boxes = spark.createDataFrame([("s", 512), ("l", 4096)], "container string, capacity_tokens int")
+    bins = lambda df: sorted(tuple(r) for r in packing.pack(df, boxes, 90).collect())
+    first = bins(sizes.repartition(7))
+    assert first == bins(sizes.orderBy("tokens").coalesce(2)) == bins(sizes.repartition(3, "tokens"))
+    kept = sorted((i, t) for box, *_, i, part, start, t in first if box == "l")
+    assert kept == sorted(rows)  # copies are packed once each
+
+
+def test_windows_share_their_last_bins(spark):
+    rng = random.Random(9)
+    sizes = spark.createDataFrame([(i, rng.randint(1, 400)) for i in range(3000)], "item_id long, tokens long")
+    boxes = spark.createDataFrame([("l", 8192)], "container string, capacity_tokens int")
+    report = packing.fill_report(packing.pack(sizes, boxes, 150)).first()
+    assert report["fill"] > 0.985 and report["items"] == 3000
+    stiff = spark.createDataFrame([(i, 5000) for i in range(2000)], "item_id long, tokens long")  # no two fit together
+    assert packing.fill_report(packing.pack(stiff, boxes, 150)).first()["bins"] == 2000
+
+
 def mix_frames(spark, hot=False):
     rng = random.Random(2)
     rows = [(i, rng.choice(["Blog", "blog ", "faq", "wiki", None, "other"]), rng.randint(1, 400), "x") for i in range(3000)]
