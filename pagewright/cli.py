@@ -9,6 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from pagewright.operators.report import failed_document
 from pagewright.plans import pipeline
 from pagewright.sources.reports import write_report
 
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("pages")
     parser.add_argument("stop_words", help="Parquet with a column word")
     parser.add_argument("out")
+    parser.add_argument("--run", default=time.strftime("run-%Y%m%d-%H%M%S"), help="name of the run")
     parser.add_argument("--top-k", type=int, default=6)
     parser.add_argument("--target-words", type=int, default=280)
     args = parser.parse_args(argv)
@@ -26,11 +28,14 @@ def main(argv: list[str] | None = None) -> int:
     try:
         settings = pipeline.Settings(top_k=args.top_k, target_words=args.target_words)
         stages = pipeline.run(spark.read.parquet(args.pages), spark.read.parquet(args.stop_words), settings)
-        write_report(stages.report, {"pages": stages.pages, "chunks": stages.chunks, "points": stages.points}, args.out)
+        sections = stages.report.join(pipeline.sections_table(spark).select("section", "section_id", "title"), "section_id")
+        write_report(stages.document, sections, {"pages": stages.pages, "chunks": stages.chunks, "points": stages.points, "stages": stages.counts}, args.out)
     except Exception as e:
-        print(json.dumps({"ok": False, "error": str(e)[:500]}), file=sys.stderr)
+        error = f"{type(e).__name__}: {e}"[:500]
+        write_report(failed_document(spark, "Site report", args.run, error), None, {}, args.out)
+        print(json.dumps({"ok": False, "error": error}), file=sys.stderr)
         return 1
-    print(json.dumps({"ok": True, "out": args.out, "seconds": round(time.time() - began, 1)}))
+    print(json.dumps({"ok": True, "out": args.out, "stages": stages.seconds, "seconds": round(time.time() - began, 1)}))
     return 0
 
 

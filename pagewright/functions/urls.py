@@ -46,16 +46,16 @@ def is_page_url(url: Column) -> Column:
     return scheme_of(url).isin("http", "https") & ~extension.isin(*SKIPPED_EXTENSIONS)
 
 
-@F.pandas_udf(T.StringType())
-def join(base: pd.Series, reference: pd.Series) -> pd.Series:
-    """A reference resolved against the URL of its page; null where either can't be read."""
+def join_one(base: str | None, reference: str | None) -> str | None:
+    """A reference resolved against the URL of its page; None where either can't be read."""
+    try:
+        joined = urljoin(base, reference.strip())
+        urlsplit(joined)
+        return joined
+    except (AttributeError, TypeError, ValueError):
+        return None
 
-    def one(b, r):
-        try:
-            joined = urljoin(b, r.strip())
-            urlsplit(joined)
-            return joined
-        except (AttributeError, TypeError, ValueError):
-            return None
 
-    return pd.Series([one(b, r) for b, r in zip(base, reference)], dtype=object)
+@F.pandas_udf(T.StringType())
+def join(base: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([join_one(b, r) for b, r in zip(base, reference)], dtype=object)

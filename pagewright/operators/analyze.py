@@ -20,8 +20,11 @@ def scored_sentences(chunks: DataFrame, key: str) -> DataFrame:
 def best_sentences(chunks: DataFrame, key: str) -> DataFrame:
     """(key, sentence, score): the highest score of each chunk, the first of equals; no row for a chunk without one.
 
-    One aggregation with partial maxima; no sentence is sorted."""
-    return scored_sentences(chunks, key).groupBy(key).agg(F.max_by(F.struct("sentence", "score"), F.struct("score", -F.col("pos"))).alias("b")).select(key, "b.sentence", "b.score")
+    Expressions over the array of a chunk's sentences; rows stay where they are."""
+    pos = F.transform(sentences(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("s"), i.alias("i")))
+    able = F.filter(pos, lambda x: F.length(x["s"]) > MIN_SENTENCE_CHARS)
+    best = F.array_max(F.transform(able, lambda x: F.struct(sentence_score(x["s"]).alias("score"), (-x["i"]).alias("at"), x["s"].alias("sentence"))))
+    return chunks.select(key, best.alias("b")).where("b IS NOT NULL").select(key, "b.sentence", "b.score")
 
 
 def cited_points(ranked: DataFrame, chunks: DataFrame, section: str, key: str) -> DataFrame:
@@ -60,20 +63,50 @@ def parsed_reply(reply: Column) -> Column:
     return F.coalesce(F.from_json(F.when(body.startswith("{"), body), REPLY), F.from_json(F.when(braces != "", braces), REPLY))
 
 
+def _valid(replies: DataFrame) -> DataFrame:
+    """replies with r, their report object, those only that have a summary."""
+    return replies.withColumn("r", parsed_reply(F.col("reply"))).where("r IS NOT NULL AND trim(r.executive_summary) <> ''")
+
+
 def guarded_points(replies: DataFrame, retrieved: DataFrame, sections: DataFrame) -> DataFrame:
     """(reply_id, section_id, point_no, text, citations): the points of each reply that cite at least one retrieved chunk,
     with those citations only, in order; sections that are not asked for and points without text are dropped.
 
     replies: reply_id, reply; retrieved: reply_id, cited; sections: section_id. A reply that can't be read or has no
     summary gives nothing."""
-    parsed = replies.select("reply_id", parsed_reply(F.col("reply")).alias("r")).where("r IS NOT NULL AND trim(r.executive_summary) <> ''")
-    each = parsed.select("reply_id", F.explode("r.sections").alias("s")).select("reply_id", F.col("s.id").alias("section_id"), F.posexplode("s.points").alias("point_no", "p"))
+    each = _valid(replies).select("reply_id", F.explode("r.sections").alias("s")).select("reply_id", F.col("s.id").alias("section_id"), F.posexplode("s.points").alias("point_no", "p"))
     known = each.join(sections.select("section_id"), "section_id", "left_semi").where("trim(p.text) <> ''")
     cites = known.select("reply_id", "section_id", "point_no", F.col("p.text").alias("text"), F.posexplode("p.citations").alias("at", "cited"))
     good = cites.join(retrieved.select("reply_id", "cited").distinct(), ["reply_id", "cited"], "left_semi")
     return good.groupBy("reply_id", "section_id", "point_no", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cited"))), lambda x: x["cited"]).alias("citations"))
 
 
+REPAIR = "The reply before this was no JSON object of the form asked for. Answer with that object and nothing else.\n\n"
+
+
+def repair_prompts(prompts_: DataFrame, replies: DataFrame) -> DataFrame:
+    """(reply_id, prompt): the prompt (reply_id, prompt) again, after a note, for each id none of whose replies is valid."""
+    return prompts_.join(_valid(replies).select("reply_id").distinct(), "reply_id", "left_anti").select("reply_id", F.concat(F.lit(REPAIR), "prompt").alias("prompt"))
+
+
+def answered_sections(replies: DataFrame, retrieved: DataFrame, sections: DataFrame, extractive: DataFrame) -> DataFrame:
+    """(reply_id, attempt, section, section_id, points): every asked section of every id, with its points (text, citations)
+    in order, an empty array where there are none.
+
+    replies: reply_id, attempt, reply. The first attempt with a valid report counts; an id without one, and one for which
+    nothing was retrieved, gets the extractive points (reply_id, section_id, point_no, text, citations) and attempt 0."""
+    ids = replies.select("reply_id").unionByName(extractive.select("reply_id")).distinct()
+    first = _valid(replies.join(retrieved.select("reply_id").distinct(), "reply_id", "left_semi")).groupBy("reply_id").agg(F.min("attempt").alias("attempt"))
+    chosen = guarded_points(replies.join(first, ["reply_id", "attempt"], "left_semi"), retrieved, sections)
+    spare = extractive.join(first, "reply_id", "left_anti").select("reply_id", "section_id", "point_no", "text", "citations")
+    points = chosen.unionByName(spare).groupBy("reply_id", "section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_no", "text", "citations"))), lambda p: F.struct(p["text"].alias("text"), p["citations"].alias("citations"))).alias("points"))
+    wanted = [F.struct(F.lit(n).alias("section"), F.lit(i).alias("section_id")) for n, i in sections.select(F.col("section").cast("int"), "section_id").orderBy("section").collect()]  # the few sections of a report
+    asked = ids.join(first, "reply_id", "left").withColumn("s", F.explode(F.array(*wanted) if wanted else F.array().cast("array<struct<section:int,section_id:string>>")))
+    rows = asked.select("reply_id", F.coalesce("attempt", F.lit(0)).alias("attempt"), "s.section", "s.section_id")
+    none = F.array().cast("array<struct<text:string,citations:array<string>>>")
+    return rows.join(points, ["reply_id", "section_id"], "left").select("reply_id", "attempt", "section", "section_id", F.coalesce("points", none).alias("points"))
+
+
 def executive_summary(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """(summary), one row: how many pages and words there are, the most frequent terms, and the first titles by page_id."""
     size = pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))

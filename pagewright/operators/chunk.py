@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.sources.tables import cut
+
 TARGET_WORDS, OVERLAP_WORDS = 280, 45
 CHUNKS = "page_id long, page_url string, page_title string, page_no int, id string, idx int, heading_path string, text string, word_count int"
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
@@ -46,7 +48,8 @@ def _sections(text: str) -> list[tuple[str, list[str]]]:
 
 
 def _pieces(lines: list[str], target: int) -> list[str]:
-    """A section as it is if it fits; else its sentences packed, a sentence over the target cut at the target."""
+    """A section as it is if it fits; else its sentences packed. A sentence over the target is cut at the target, and each
+    of its parts, the rest too, is a piece of its own."""
     if sum(len(x.split()) for x in lines) <= target:
         return ["\n".join(lines)]
     out, now = [], []
@@ -55,10 +58,10 @@ def _pieces(lines: list[str], target: int) -> list[str]:
         if now and len(now) + len(words) > target:
             out.append(" ".join(now))
             now = []
-        while len(words) > target:
-            out.append(" ".join(words[:target]))
-            words = words[target:]
-        now = now + words
+        if len(words) > target:
+            out += [" ".join(words[at : at + target]) for at in range(0, len(words), target)]
+        else:
+            now = now + words
     return [*out, " ".join(now)] if now else out
 
 
@@ -111,6 +114,14 @@ def chunk_pages(pages: DataFrame, target: int = TARGET_WORDS, overlap: int = OVE
     return pages.where(F.col("text").isNotNull()).select("page_id", "url", "title", F.col("page_no").cast("int").alias("page_no"), "text").mapInPandas(run, CHUNKS)
 
 
-def numbered_pages(pages: DataFrame, run: str, order: list[str]) -> DataFrame:
-    """pages with page_no, their number within the run from 0."""
-    return pages.withColumn("page_no", F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1)
+def numbered_pages(pages: DataFrame, run: str, key: str) -> DataFrame:
+    """(run, key, page_no): the number of each page within its run from 0, in order of the key.
+
+    Only runs and keys are moved: they are range-partitioned and numbered in each partition, and a partition begins where
+    those before it end, so no task holds a run."""
+    parted = cut(pages.select(run, key).repartitionByRange(run, key).withColumn("part", F.spark_partition_id()))
+    sums = parted.groupBy(run, "part").agg(F.count(F.lit(1)).alias("own"))
+    before = Window.partitionBy(run).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(run).alias("_run"), F.col("part").alias("_part"), F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))
+    inside = parted.withColumn("n", F.row_number().over(Window.partitionBy("part", run).orderBy(key)) - 1)
+    return inside.join(offsets, F.col(run).eqNullSafe(F.col("_run")) & (F.col("part") == F.col("_part"))).select(run, key, (F.col("offset") + F.col("n")).cast("int").alias("page_no"))

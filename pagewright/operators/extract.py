@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.html import Node, parse
-from pagewright.functions.urls import authority_of, is_page_url, join, normalized
+from pagewright.functions.urls import authority_of, is_page_url, join_one, normalized
 
 #: Elements that hold no content, elements whose text is rendered, and marks of headings.
 DROPPED = frozenset("script style noscript nav header footer aside form iframe svg button select template".split())
@@ -22,21 +23,25 @@ def ok() -> Column:
     return F.col("error").isNull() & F.col("status").between(200, 299) & (F.length("html") > 0)
 
 
-def _prune(node: Node) -> None:
-    node.content = [x for x in node.content if isinstance(x, str) or x.tag not in DROPPED]
-    for x in node.content:
-        if isinstance(x, Node):
-            _prune(x)
+def _prune(root: Node) -> None:
+    """Take the DROPPED elements out of a tree of any depth."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.content = [x for x in node.content if isinstance(x, str) or x.tag not in DROPPED]
+        stack += [x for x in node.content if isinstance(x, Node)]
 
 
 def _region(body: Node) -> Node:
-    """main, article or role=main of more than REGION_WORDS words, in this order; else the child of the body with the best
-    ratio of squared words to link words, the first of equals, among those of CHILD_WORDS words; else the body."""
+    """The first main of more than REGION_WORDS words; else the first article, else the first role=main, if it has so
+    many; else the child of the body with the best ratio of squared words to link words, the first of equals, among those
+    of CHILD_WORDS words; else the body."""
     below = list(body.walk())
-    for fits in (lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.attrs.get("role") == "main"):
-        first = next(filter(fits, below), None)
-        if first is not None and first.word_count() > REGION_WORDS:
-            return first
+    mains = (n for n in below if n.tag == "main")
+    firsts = (next((n for n in below if n.tag == "article"), None), next((n for n in below if n.attrs.get("role") == "main"), None))
+    for n in (*mains, *firsts):
+        if n is not None and n.word_count() > REGION_WORDS:
+            return n
     best, most = body, -1.0
     for child in body.content:
         if isinstance(child, Node) and (n := child.word_count()) >= CHILD_WORDS:
@@ -51,12 +56,12 @@ def extract_page(html: str) -> tuple:
     text of each, so the ratio can be over 1."""
     root = parse(html)
     whole = root.word_count()
+    _prune(root)
     title = next((n.text() for n in root.walk() if n.tag == "title"), "")
     meta = next((n.attrs.get("content", "").strip() for n in root.walk() if n.tag == "meta" and n.attrs.get("name") == "description"), "")
     body = next((n for n in root.walk() if n.tag == "body"), None)
     if body is None:
         return title, meta, [], "", 0, 0.0
-    _prune(body)
     lines, headings = [], []
     for n in _region(body).walk():
         if n.tag in RENDERED and (text := n.text()):
@@ -85,17 +90,20 @@ def kept_pages(extracted: DataFrame, min_words: int = MIN_PAGE_WORDS) -> DataFra
     return extracted.where(F.col("word_count") >= min_words)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _joined(base: pd.Series, references: pd.Series) -> pd.Series:
+    return pd.Series([[join_one(b, r) for r in refs] for b, refs in zip(base, references)], dtype=object)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, position, link): the different links of a page in order, resolved and normalised, http(s) pages only.
 
-    References to a place in the same page and files that hold no page are left out. Expressions find the references;
-    only joining them with the URL of the page leaves the JVM."""
-    found = pages.where(ok()).select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("""(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["']([^"']*)["']"""), F.lit(1))).alias("position", "ref"))
-    found = found.where(~F.col("ref").startswith("#")).withColumn("ref", F.regexp_replace("ref", "&amp;", "&"))
-    full = found.withColumn("link", normalized(join("url", "ref"))).where(is_page_url(F.col("link")))
-    first = full.groupBy("page_id", "url", "link").agg(F.min("position").alias("position"))
-    order = Window.partitionBy("page_id", "url").orderBy("position")
-    return first.select("page_id", "url", (F.row_number().over(order) - 1).alias("position"), "link")
+    References to a place in the same page and files that hold no page are left out. Expressions over the page's array of
+    references do it all but for joining them with the URL of the page; nothing is shuffled."""
+    refs = F.regexp_extract_all("html", F.lit("""(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["']([^"']*)["']"""), F.lit(1))
+    own = pages.where(ok()).select("page_id", "url", F.transform(F.filter(refs, lambda r: ~r.startswith("#")), lambda r: F.replace(r, F.lit("&amp;"), F.lit("&"))).alias("refs"))
+    full = own.where(F.size("refs") > 0).select("page_id", "url", F.transform(_joined("url", "refs"), normalized).alias("links"))
+    return full.select("page_id", "url", F.posexplode(F.array_distinct(F.filter("links", lambda x: F.coalesce(is_page_url(x), F.lit(False))))).alias("position", "link"))
 
 
 def same_site(found: DataFrame) -> DataFrame:

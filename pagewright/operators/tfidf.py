@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import tokens
+from pagewright.sources.tables import cut
 
 
 def term_counts(texts: DataFrame, key: str, stop_words: DataFrame) -> DataFrame:
@@ -35,3 +36,30 @@ def cosine(queries: DataFrame, corpus: DataFrame, query_key: str, key: str) -> D
     q = queries.select(query_key, "term", F.col("weight").alias("qw"), F.col("norm").alias("qn"))
     hit = q.join(corpus, "term").groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"), F.first("qn").alias("qn"), F.first("norm").alias("norm"))
     return hit.select(query_key, key, F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 6).alias("score")).where("score > 0")
+
+
+#: Folders of a stored index; a query reads those of its terms.
+BUCKETS = 64
+
+
+def bucket(term: str | Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store_index(texts: DataFrame, key: str, stop_words: DataFrame, folder: str) -> None:
+    """Fit once: terms with their idf, and postings with weights and norms in BUCKETS folders by term, each spread over
+    some files, so that a term of a third of the texts is no file of its own. texts: key, text."""
+    counts = cut(term_counts(texts, key, stop_words))
+    weights = idf(counts, texts.count())
+    weights.write.mode("overwrite").parquet(f"{folder}/terms")
+    stored = postings(counts, texts.sparkSession.read.parquet(f"{folder}/terms"), key).withColumn("bucket", bucket("term"))
+    stored.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def search_index(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, key: str, stop_words: DataFrame) -> DataFrame:
+    """(query_key, key, score) of queries (query_key, text) against a stored index; as cosine over the same texts."""
+    counts = cut(term_counts(queries.select(query_key, "text"), query_key, stop_words))
+    asked = postings(counts, spark.read.parquet(f"{folder}/terms"), query_key)
+    wanted = sorted(r[0] for r in counts.select(bucket("term")).distinct().collect())  # BUCKETS at most
+    corpus = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(wanted)).drop("bucket")
+    return cosine(asked, corpus, query_key, key)

@@ -9,38 +9,53 @@ from pyspark.sql import functions as F
 
 from pagewright.sources.tables import cut, sized
 
-#: Queries of one block: each block of queries meets every batch of vectors once.
-QUERY_BLOCK = 512
+#: Queries of one block and vectors of one block, about: a task compares two blocks, QUERY_ROWS queries at a time.
+QUERY_BLOCK, VECTOR_BLOCK, QUERY_ROWS = 4096, 16384, 512
 #: Vectors of one bucket of the hashed search, about, and the most rows of one block of a bucket, about.
 HASH_ROWS, HASH_BLOCK = 2000, 8192
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def common_size(vectors: DataFrame) -> int:
+    """The most frequent size of the vectors, the smaller of equals; 0 for none."""
+    most = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    return most["dim"] if most else 0
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, dim: int | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors of highest cosine above 0 for each query, itself apart; ties by id.
 
-    vectors and queries: vec_id, embedding. Zero, null and odd-sized vectors have no neighbours. Every batch of vectors is
-    compared as a matrix with one block of queries at a time; batches keep their own best k, which a window merges."""
-    asked = cut(queries.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / QUERY_BLOCK))).cast("int")))
-    blocks = [r["block"] for r in asked.select("block").distinct().orderBy("block").collect()]
-    found = None
-    for block in blocks:
-        rows = asked.where(F.col("block") == block).select("vec_id", "embedding").toPandas()  # about QUERY_BLOCK rows
-        part = vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInPandas(_best_of(rows, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    vectors and queries: vec_id, embedding. dim: the size of vectors that count, else the most frequent one; zero, null and
+    other vectors have no neighbours. Blocks of queries meet blocks of vectors in one cogroup, as matrices; each pair of
+    blocks keeps its own best k, which a window merges. Nothing but counts comes to the driver."""
+    dim = common_size(vectors) if dim is None else dim
+    usable = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.size("embedding") == dim).select("vec_id", "embedding")
+    base, asked = usable(vectors), usable(queries)
+    blocks = lambda df, most: max(1, -(-df.count() // most))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    nq = blocks(asked, query_block)
+    nv = max(blocks(base, vector_block), -(-vectors.sparkSession.sparkContext.defaultParallelism // nq))
+    q = asked.withColumn("b", own(nq)).withColumn("a", every(nv))
+    v = base.withColumn("a", own(nv)).withColumn("b", every(nq))
+
+    def best(ask: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        parts = [next(_best_of(ask.iloc[at : at + QUERY_ROWS], k, dim)([others])) for at in range(0, len(ask), QUERY_ROWS)] if len(others) else []
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    # An explicit number of parts, as blocks would otherwise be merged into few tasks.
+    parts = min(nq * nv, 10_000)
+    found = q.repartition(parts, "a", "b").groupBy("a", "b").cogroup(v.repartition(parts, "a", "b").groupBy("a", "b")).applyInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _unit(rows: pd.Series, dim: int) -> np.ndarray:
-    m = np.array([x if len(x) == dim else np.zeros(dim) for x in rows], dtype=np.float64).reshape(-1, dim)
+    m = np.array(rows.to_list(), dtype=np.float64).reshape(-1, dim)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.where(np.isfinite(norm) & (norm > 0), m / np.where(norm > 0, norm, 1), 0)
 
 
-def _best_of(queries: pd.DataFrame, k: int):
-    dim = int(queries["embedding"].map(len).mode()[0]) if len(queries) else 0
+def _best_of(queries: pd.DataFrame, k: int, dim: int):
     unit, ids = _unit(queries["embedding"], dim), queries["vec_id"].to_numpy()
 
     def run(batches):
@@ -79,10 +94,7 @@ def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int =
     other queries, those of fewer than k hits among them, get knn: on vectors without near neighbours that is nearly every
     query. Buckets are cut into blocks of about `block` vectors and queries, so hot ones are spread.
     dim: the size of vectors that count, else the most frequent one."""
-    some = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    if dim is None:
-        most = some.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-        dim = most["dim"] if most else 0
+    dim = common_size(vectors) if dim is None else dim
 
     def usable(df: DataFrame) -> DataFrame:
         own = df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.size("embedding") == dim).where(F.exists("embedding", lambda x: x != 0))
@@ -111,7 +123,7 @@ def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int =
     q = q.join(sizes, "key").withColumn("b", part("q_blocks")).withColumn("a", every("v_blocks")).select("key", "a", "b", "vec_id", "embedding")
 
     def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        parts = [next(_best_of(own.iloc[at : at + QUERY_BLOCK], k)([others])) for at in range(0, len(own), QUERY_BLOCK)] if len(others) else []
+        parts = [next(_best_of(own.iloc[at : at + QUERY_ROWS], k, dim)([others])) for at in range(0, len(own), QUERY_ROWS)] if len(others) else []
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     met = q.groupBy("key", "a", "b").cogroup(v.groupBy("key", "a", "b")).applyInPandas(best, "query_id long, vec_id long, score double").distinct()
@@ -119,4 +131,4 @@ def knn_hashed(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int =
     near = cut(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     settled = near.where((F.col("rank") == k) & (F.col("score") >= sure_cosine(bits, tables, recall))).select("query_id")
     rest = asked.join(settled.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    return near.join(settled, "query_id", "left_semi").unionByName(knn(base, rest, k).select("query_id", "vec_id", "score", "rank"))
+    return near.join(settled, "query_id", "left_semi").unionByName(knn(base, rest, k, dim).select("query_id", "vec_id", "score", "rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,33 +45,68 @@ class Stages:
     points: DataFrame
     pages: DataFrame
     report: DataFrame
+    counts: DataFrame
+    document: DataFrame
+    seconds: dict[str, float]
 
 
 def sections_table(spark) -> DataFrame:
     return spark.createDataFrame(SECTIONS, "section int, section_id string, title string, query string")
 
 
-def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings: Settings = Settings(), query: str = "section", key: str = "chunk_ord", page: str = "page_url") -> DataFrame:
+def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings: Settings = Settings(), query: str = "section", key: str = "chunk_ord", page: str = "page_url", index: str | None = None) -> DataFrame:
     """(query, key, page, score, rank): chunks (key, page, page_title, heading_path, text) for queries (query, text) by
-    TF-IDF cosine, with the cap on a page."""
-    texts = chunks.select(key, embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text"))
-    counts = cut(tfidf.term_counts(texts, key, stop_words))  # texts are split into terms once
-    weights = cut(tfidf.idf(counts, texts.count()))
-    corpus = tfidf.postings(counts, weights, key)
-    asked = tfidf.postings(tfidf.term_counts(queries.select(query, "text"), query, stop_words), weights, query)
-    scores = tfidf.cosine(asked, corpus, query, key).join(chunks.select(key, page), key)
-    return retrieve.page_capped(scores, query, key, page, settings.top_k, settings.max_per_page)
-
-
-def run(pages: DataFrame, stop_words: DataFrame, settings: Settings = Settings()) -> Stages:
-    """Fetched pages (page_id, run_id, url, status, error, html) to a report."""
-    spark = pages.sparkSession
-    extracted = cut(extract.kept_pages(extract.extract(pages), settings.min_page_words))  # pages are parsed once
-    runs = pages.select("page_id", "run_id")
-    numbered = chunk.numbered_pages(extracted.join(runs, "page_id"), "run_id", ["page_id"])
-    chunks = chunk.chunk_pages(numbered, settings.target_words, settings.overlap_words).withColumn("chunk_ord", F.xxhash64("page_id", "id"))
-    chunks = cut(chunks)
+    TF-IDF cosine, with the cap on a page. index: the folder of an index stored from these chunks by index_chunks; without
+    it the chunks are split into terms and weighted here."""
+    if index:
+        scores = tfidf.search_index(chunks.sparkSession, index, queries, query, key, stop_words)
+    else:
+        texts = chunks.select(key, embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text"))
+        counts = cut(tfidf.term_counts(texts, key, stop_words))  # texts are split into terms once
+        weights = tfidf.idf(counts, texts.count())
+        asked = tfidf.postings(tfidf.term_counts(queries.select(query, "text"), query, stop_words), weights, query)
+        scores = tfidf.cosine(asked, tfidf.postings(counts, weights, key), query, key)
+    return retrieve.page_capped(scores.join(chunks.select(key, page), key), query, key, page, settings.top_k, settings.max_per_page)
+
+
+def index_chunks(chunks: DataFrame, stop_words: DataFrame, folder: str, key: str = "chunk_ord") -> None:
+    """Fit the terms of chunks once, for any number of rank calls."""
+    tfidf.store_index(chunks.select(key, embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text")), key, stop_words, folder)
+
+
+def stage_counts(fetched: DataFrame, extracted: DataFrame, kept: DataFrame, chunks: DataFrame, ranked: DataFrame, points: DataFrame) -> DataFrame:
+    """(ord, stage, items): what each stage gave; pages that could be read count beside those that were fetched."""
+    parts = [("fetched", fetched), ("read", fetched.where(extract.ok())), ("extracted", extracted), ("kept", kept), ("chunks", chunks), ("retrieved", ranked), ("points", points)]
+    out = None
+    for i, (name, df) in enumerate(parts):
+        row = df.agg(F.count(F.lit(1)).alias("items")).select(F.lit(i).alias("ord"), F.lit(name).alias("stage"), "items")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def run(pages: DataFrame, stop_words: DataFrame, settings: Settings = Settings(), title: str = "Site report") -> Stages:
+    """Fetched pages (page_id, run_id, url, status, error, html) to a report. seconds has the time of each stage that is
+    computed here; the others are computed when they are used."""
+    spark, seconds, began = pages.sparkSession, {}, time.time()
+
+    def done(name: str, df: DataFrame) -> DataFrame:
+        nonlocal began
+        df = cut(df)
+        seconds[name], began = round(time.time() - began, 3), time.time()
+        return df
+
+    extracted = done("extracted", extract.extract(pages))  # pages are parsed once
+    kept = extract.kept_pages(extracted, settings.min_page_words)
+    # Runs and ids are numbered; texts are moved once, by page.
+    numbers = chunk.numbered_pages(kept.select("page_id").join(pages.select("page_id", "run_id"), "page_id"), "run_id", "page_id")
+    chunks = chunk.chunk_pages(kept.join(numbers, "page_id"), settings.target_words, settings.overlap_words).withColumn("chunk_ord", F.xxhash64("page_id", "id"))
+    chunks = done("chunks", chunks)
     sections = sections_table(spark)
-    ranked = rank(chunks, sections.select("section", F.col("query").alias("text")), stop_words, settings)
-    points = analyze.cited_points(ranked, chunks, "section", "chunk_ord")
-    return Stages(extracted, chunks, ranked, points, report.page_summaries(extracted, chunks), report.markdown(points, chunks, sections, "chunk_ord"))
+    ranked = done("retrieved", rank(chunks, sections.select("section", F.col("query").alias("text")), stop_words, settings))
+    points = done("points", analyze.cited_points(ranked, chunks, "section", "chunk_ord"))
+    summaries = report.page_summaries(kept, chunks)
+    marked = report.markdown(points, chunks, sections, "chunk_ord")
+    counts = stage_counts(pages, extracted, kept, chunks, ranked, points)
+    summary = analyze.executive_summary(kept, analyze.report_terms(kept, stop_words))
+    document = report.document(title, summary, marked.join(sections.select("section", "section_id"), "section_id"), summaries, counts, chunks, "chunk_ord")
+    return Stages(kept, chunks, ranked, points, summaries, marked, counts, document, seconds)

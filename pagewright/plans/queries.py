@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import embedding_text, host_of, slug, word_count
 from pagewright.operators import analyze, chunk, crawl, evaluate, extract, report, retrieve, robots, tfidf, vectors
 from pagewright.plans import pipeline
-from pagewright.sources.tables import table
+from pagewright.sources.tables import cut, ensure_checkpoint_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +109,15 @@ def retrieve_page_capped(spark, root):
     return _ranked(spark, root).select("section", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_SCORES + "SELECT section, chunk_ord, score, rank FROM ranked")
+def retrieve_indexed(spark, root):
+    """As retrieve_page_capped, from an index that is stored first, in the shared folder."""
+    chunks, folder = table(spark, root, "chunks"), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    pipeline.index_chunks(chunks, _stop(spark, root), folder)
+    sections = pipeline.sections_table(spark).select("section", F.col("query").alias("text"))
+    return pipeline.rank(chunks, sections, _stop(spark, root), index=folder).select("section", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # ---- evaluation: titles of every 50th page as questions, the page as the truth ----------------------------------------
 _CASES = _TOKENS + """,
 cases AS (SELECT page_id AS case_id, title AS query, url AS expected_url, substr(split_part(text, chr(10), 1), 4, 40) AS expected_snippet FROM extracted_pages WHERE page_id % 50 = 0 AND title IS NOT NULL),
@@ -234,32 +245,74 @@ def executive_summary(spark, root):
     return analyze.executive_summary(pages, analyze.report_terms(pages, _stop(spark, root)))
 
 
-@query()
+@query(f"""SELECT 'Write a report with these sections:' || chr(10) || (SELECT string_agg(section_id || ': ' || title, chr(10) ORDER BY section) FROM {_SECTIONS}) || chr(10) || chr(10)
+|| 'Answer with one JSON object: {{"executive_summary": "...", "sections": [{{"id": "...", "points": [{{"text": "...", "citations": ["..."]}}]}}]}}' || chr(10) || 'Cite chunks by their ids in brackets, and nothing else.' || chr(10) || chr(10)
+|| (SELECT string_agg(line, chr(10) ORDER BY chunk_ord) FROM ({ORACLE["context_lines"]})) AS prompt""")
 def prompt(spark, root):
     context = analyze.context_lines(_ranked(spark, root), table(spark, root, "chunks"), "chunk_ord")
     return analyze.prompts(context, pipeline.sections_table(spark), "chunk_ord")
 
 
 def _replies(spark, root) -> DataFrame:
-    """A reply for each page, from its chunks: fenced for even ids, between words for others, citing a chunk of the page,
-    one that doesn't exist, and under a section that nobody asked for."""
-    chunks = table(spark, root, "chunks").where("text IS NOT NULL").groupBy("page_id").agg(F.min("chunk_ord").alias("c"), F.min_by("page_title", "chunk_ord").alias("t"))
-    point = lambda text, *cites: F.struct(text.alias("text"), F.array(*cites).alias("citations"))
-    ref = F.col("c").cast("string")
-    sections = F.array(
-        F.struct(F.lit("overview").alias("id"), F.array(point(F.lit("first"), ref, F.lit("none")), point(F.lit("second"), F.lit("none"))).alias("points")),
-        F.struct(F.lit("gossip").alias("id"), F.array(point(F.lit("third"), ref)).alias("points")),
-    )
-    body = F.to_json(F.struct(F.coalesce("t", F.lit("")).alias("executive_summary"), sections.alias("sections")))
-    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
-    return chunks.select(F.col("page_id").alias("reply_id"), F.when(F.col("page_id") % 2 == 0, fenced).otherwise(F.concat(F.lit("Here it is: "), body, F.lit(" - done."))).alias("reply"))
-
-
-@query("""SELECT page_id AS reply_id, 'overview' AS section_id, CAST(0 AS INTEGER) AS point_no, 'first' AS text, [CAST(min(chunk_ord) AS VARCHAR)] AS citations
-FROM chunks WHERE text IS NOT NULL GROUP BY page_id HAVING trim(coalesce(arg_min(coalesce(page_title, ''), chunk_ord), '')) <> ''""")
+    """Two replies for each page with chunks: the second one good, fenced for even ids and between words for odd ones; the
+    first one no JSON (page_id % 4 = 0), without a summary (1), good (2) or a list (3). A good one cites the page's chunks from the
+    last to the first, the text of a point being the title and its number, and one that doesn't exist; it has a point that cites
+    nothing known and a section that nobody asked for. A page without a title has no summary."""
+    chunks = table(spark, root, "chunks").where("text IS NOT NULL").groupBy("page_id").agg(F.sort_array(F.collect_list("chunk_ord"), False).alias("c"), F.min_by("page_title", "chunk_ord").alias("t"))
+    point = lambda text, cites: F.struct(text.alias("text"), cites.alias("citations"))
+    title = F.coalesce("t", F.lit(""))
+    points = F.transform(F.col("c"), lambda c, i: point(F.concat(title, F.lit(" "), i.cast("string")), F.concat(F.array(F.lit("none")), F.transform(F.slice(F.col("c"), i + 1, F.lit(3)), lambda x: x.cast("string")))))
+    unknown = F.array(point(F.lit("second"), F.array(F.lit("none"))))
+    sections = F.array(F.struct(F.lit("overview").alias("id"), F.concat(unknown, points).alias("points")), F.struct(F.lit("gossip").alias("id"), unknown.alias("points")))
+    body = lambda summary: F.to_json(F.struct(summary.alias("executive_summary"), sections.alias("sections")))
+    id_ = F.col("page_id")
+    good = F.when(id_ % 2 == 0, F.concat(F.lit("```json\n"), body(title), F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), body(title), F.lit(" - done.")))
+    first = F.when(id_ % 4 == 0, F.lit('{"executive_summary": "cut off')).when(id_ % 4 == 1, body(F.lit(" "))).when(id_ % 4 == 2, good).otherwise(F.lit("[1, 2]"))
+    each = chunks.select("page_id", F.explode(F.array(F.struct(F.lit(1).alias("attempt"), first.alias("reply")), F.struct(F.lit(2).alias("attempt"), good.alias("reply")))).alias("a"))
+    return each.select(id_.alias("reply_id"), "a.attempt", "a.reply")
+
+
+def _retrieved(spark, root) -> DataFrame:
+    return table(spark, root, "chunks").select(F.col("page_id").alias("reply_id"), F.col("chunk_ord").cast("string").alias("cited"))
+
+
+_GUARDED = """
+WITH c AS (SELECT page_id, list(chunk_ord ORDER BY chunk_ord DESC) AS c, arg_min(coalesce(page_title, ''), chunk_ord) AS t FROM chunks WHERE text IS NOT NULL GROUP BY page_id),
+g AS (SELECT page_id, CAST(i AS INTEGER) AS point_no, t || ' ' || (i - 1) AS text, list_transform(c[i:i + 2], lambda x: CAST(x AS VARCHAR)) AS citations FROM c, unnest(generate_series(1, len(c))) AS s(i) WHERE trim(t) <> '')
+"""
+
+
+@query(_GUARDED + "SELECT page_id AS reply_id, 'overview' AS section_id, point_no, text, citations FROM g")
 def citation_guard(spark, root):
-    retrieved = table(spark, root, "chunks").select(F.col("page_id").alias("reply_id"), F.col("chunk_ord").cast("string").alias("cited"))
-    return analyze.guarded_points(_replies(spark, root), retrieved, pipeline.sections_table(spark))
+    return analyze.guarded_points(_replies(spark, root).where("attempt = 2"), _retrieved(spark, root), pipeline.sections_table(spark))
+
+
+def _extractive(spark, root) -> DataFrame:
+    """The best sentence of the first chunk of each page that has one, as a point of the first section."""
+    best = analyze.best_sentences(table(spark, root, "chunks"), "chunk_ord").join(table(spark, root, "chunks").select("chunk_ord", "page_id"), "chunk_ord")
+    one = best.groupBy(F.col("page_id").alias("reply_id")).agg(F.min_by(F.struct("sentence", "chunk_ord"), "chunk_ord").alias("b"))
+    return one.select("reply_id", F.lit("overview").alias("section_id"), F.lit(0).alias("point_no"), F.col("b.sentence").alias("text"), F.array(F.col("b.chunk_ord").cast("string")).alias("citations"))
+
+
+@query(_GUARDED + "," + _SENTENCES + f""",
+e AS (SELECT page_id, arg_min(sentence, chunk_ord) AS text, min(chunk_ord) AS c FROM best_s JOIN chunks USING (chunk_ord) GROUP BY page_id),
+ids AS (SELECT page_id FROM c UNION SELECT page_id FROM e),
+a AS (SELECT page_id, CASE WHEN trim(coalesce(t, '')) = '' THEN 0 WHEN page_id % 4 = 2 THEN 1 ELSE 2 END AS attempt FROM ids LEFT JOIN c USING (page_id)),
+p AS (SELECT page_id, string_agg(text || '=' || array_to_string(citations, ','), '; ' ORDER BY point_no) AS points FROM g GROUP BY page_id
+  UNION ALL SELECT page_id, text || '=' || c FROM e JOIN a USING (page_id) WHERE attempt = 0)
+SELECT a.page_id AS reply_id, CAST(attempt AS INTEGER) AS attempt, section_id, coalesce(CASE WHEN section = 0 THEN points END, '') AS points FROM a CROSS JOIN {_SECTIONS} LEFT JOIN p USING (page_id)""")
+def reply_sections(spark, root):
+    """Replies by attempt, the first valid one of each id, else extractive points; the points of a section as one text."""
+    got = analyze.answered_sections(_replies(spark, root), _retrieved(spark, root), pipeline.sections_table(spark), _extractive(spark, root))
+    text = F.array_join(F.transform("points", lambda p: F.concat(p["text"], F.lit("="), F.array_join(p["citations"], ","))), "; ")
+    return got.select("reply_id", "attempt", "section_id", text.alias("points"))
+
+
+@query(_GUARDED + "SELECT page_id AS reply_id, 'The reply before this was no JSON object of the form asked for. Answer with that object and nothing else.' || chr(10) || chr(10) || t AS prompt FROM c WHERE page_id % 4 <> 2 OR trim(t) = ''")
+def repair_prompts(spark, root):
+    """Which pages' first reply needs another attempt; the title stands for the prompt."""
+    prompts = table(spark, root, "chunks").where("text IS NOT NULL").groupBy(F.col("page_id").alias("reply_id")).agg(F.min_by(F.coalesce("page_title", F.lit("")), "chunk_ord").alias("prompt"))
+    return analyze.repair_prompts(prompts, _replies(spark, root).where("attempt = 1"))
 
 
 # ---- pages, sections, chunks ---------------------------------------------------------------------------------------------
@@ -293,7 +346,14 @@ def section_lines(spark, root):
 def _chunked(spark, root) -> DataFrame:
     pages = extract.kept_pages(table(spark, root, "extracted_pages").withColumn("word_count", word_count(F.col("text"))))
     runs = table(spark, root, "fetched_pages").select("page_id", "run_id")
-    return chunk.chunk_pages(chunk.numbered_pages(pages.join(runs, "page_id"), "run_id", ["page_id"]))
+    return chunk.chunk_pages(pages.join(chunk.numbered_pages(pages.select("page_id").join(runs, "page_id"), "run_id", "page_id"), "page_id"))
+
+
+@query(f"""SELECT run_id, page_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY page_id) - 1 AS INTEGER) AS page_no FROM extracted_pages JOIN fetched_pages USING (page_id)
+WHERE coalesce(len(regexp_extract_all(text, '{_WS}')), 0) >= 25""")
+def page_numbers(spark, root):
+    pages = extract.kept_pages(table(spark, root, "extracted_pages").withColumn("word_count", word_count(F.col("text"))))
+    return chunk.numbered_pages(pages.select("page_id").join(table(spark, root, "fetched_pages").select("page_id", "run_id"), "page_id"), "run_id", "page_id")
 
 
 @query()
@@ -405,3 +465,42 @@ def robots_allowed(spark, root):
 def pipeline_report(spark, root):
     """Fetched pages to the report's sections."""
     return pipeline.run(table(spark, root, "fetched_pages"), _stop(spark, root)).report
+
+
+# ---- the whole report -------------------------------------------------------------------------------------------------------
+_STAGES = _POINTS + f""", n(ord, stage, items) AS (
+SELECT 0, 'fetched', (SELECT count(*) FROM fetched_pages) UNION ALL SELECT 1, 'read', (SELECT count(*) FROM fetched_pages WHERE error IS NULL AND status BETWEEN 200 AND 299 AND length(html) > 0)
+UNION ALL SELECT 2, 'extracted', (SELECT count(*) FROM extracted_pages) UNION ALL SELECT 3, 'kept', (SELECT count(*) FROM extracted_pages WHERE coalesce(len(regexp_extract_all(text, '{_WS}')), 0) >= 25)
+UNION ALL SELECT 4, 'chunks', (SELECT count(*) FROM chunks) UNION ALL SELECT 5, 'retrieved', (SELECT count(*) FROM ranked) UNION ALL SELECT 6, 'points', (SELECT count(*) FROM points))
+"""
+
+
+def _stages(spark, root, ranked: DataFrame, points: DataFrame) -> DataFrame:
+    pages = table(spark, root, "extracted_pages")
+    kept = extract.kept_pages(pages.select("page_id", word_count(F.col("text")).alias("word_count")))
+    return pipeline.stage_counts(table(spark, root, "fetched_pages"), pages, kept, table(spark, root, "chunks"), ranked, points)
+
+
+@query(_STAGES + "SELECT stage, items FROM n")
+def stage_counts(spark, root):
+    ranked = cut(_ranked(spark, root))
+    return _stages(spark, root, ranked, analyze.cited_points(ranked, table(spark, root, "chunks"), "section", "chunk_ord")).select("stage", "items")
+
+
+_CELL = lambda c: f"replace(coalesce(CAST({c} AS VARCHAR), ''), '|', '/')"
+
+
+@query(f"""SELECT * FROM (VALUES (0, 0, '# Site report' || chr(10)), (1, 0, '## Executive summary' || chr(10)), (3, -2, '## Pages' || chr(10)), (3, -1, '| Page | Title | Words | Chunks |' || chr(10) || '|-|-|-|-|'),
+  (4, -2, chr(10) || '## Stages' || chr(10)), (4, -1, '| Stage | Items |' || chr(10) || '|-|-|'), (5, -1, chr(10) || '## Citations' || chr(10))) AS v(part, ord, line)
+UNION ALL SELECT 1, 1, summary || chr(10) FROM ({ORACLE["executive_summary"]})
+UNION ALL SELECT 2, section, markdown || chr(10) FROM ({ORACLE["report_markdown"]}) JOIN {_SECTIONS} USING (section_id)
+UNION ALL SELECT 3, page_id, '| ' || {_CELL('url')} || ' | ' || {_CELL('title')} || ' | ' || {_CELL('word_count')} || ' | ' || {_CELL('chunk_count')} || ' |' FROM ({ORACLE["page_summaries"]})
+UNION ALL SELECT 4, ord, '| ' || stage || ' | ' || items || ' |' FROM ({_STAGES} SELECT * FROM n)
+UNION ALL SELECT 5, chunk_ord, '- ' || chunk_ord || ': ' || concat_ws(' > ', CASE WHEN trim(page_title) <> '' THEN page_title END, CASE WHEN trim(heading_path) <> '' THEN heading_path END) || ' (' || coalesce(page_url, '') || ')' FROM chunks""")
+def report_document(spark, root):
+    """The whole report over the stored tables, as lines with their place."""
+    pages, chunks, sections = table(spark, root, "extracted_pages"), table(spark, root, "chunks"), pipeline.sections_table(spark)
+    ranked = cut(_ranked(spark, root))
+    points = cut(analyze.cited_points(ranked, chunks, "section", "chunk_ord"))
+    marked = report.markdown(points, chunks, sections, "chunk_ord").join(sections.select("section", "section_id"), "section_id")
+    return report.document("Site report", executive_summary(spark, root), marked, page_summaries(spark, root), _stages(spark, root, ranked, points), chunks, "chunk_ord")

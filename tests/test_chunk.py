@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewright.operators.chunk import _HEADING, chunk_pages, chunk_text, section_lines
+from pagewright.operators.chunk import _HEADING, _pieces, chunk_pages, chunk_text, numbered_pages, section_lines
 
 
 def test_heading_paths():
@@ -34,6 +34,21 @@ def test_no_overlap_and_run_on_sentence():
     assert [len(t.split()) for t in got] == [30, 30, 30, 10]
 
 
+def test_the_rest_of_a_run_on_sentence_is_a_piece():
+    text = " ".join(f"w{i}" for i in range(25)) + ". a b c."
+    assert [len(t.split()) for _, t in chunk_text(text, 10, 0)] == [10, 10, 8]  # pieces of 10, 10, 5 and 3, packed
+    assert _pieces(["x " * 25 + ". a b c."], 10)[2:] == ["x x x x x .", "a b c."]
+
+
+def test_numbers_within_runs(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i) for i in rng.sample(range(10_000), 600)]
+    got = {(r["run_id"], r["page_id"]): r["page_no"] for r in numbered_pages(spark.createDataFrame(rows, "run_id string, page_id long"), "run_id", "page_id").collect()}
+    for run in ("a", "b", None):
+        own = sorted(i for r, i in rows if r == run)
+        assert [got[run, i] for i in own] == list(range(len(own)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["## H", "#### deep", "alpha beta. gamma", "", "one two three four five six seven. eight", "x" * 50]), max_size=30))
 def test_without_overlap_no_word_is_lost(lines):

@@ -41,3 +41,19 @@ def test_links(spark):
 
 def test_empty_table(spark):
     assert extract.extract(pages(spark, [])).count() == 0 and extract.links(pages(spark, [])).count() == 0
+
+
+def test_unclosed_tags_by_the_thousand():
+    html = "<html><body>" + "<span>" * 100_000 + "<p>" + "deep words " * 30
+    assert extract.extract_page(html)[4] == 60
+
+
+def test_a_short_main_does_not_hide_a_long_one():
+    long = "<p>" + "text " * 60 + "</p>"
+    assert extract.extract_page(f"<body><main><p>few</p></main><main>{long}</main><div>{long * 3}</div></body>")[4] == 60
+    assert extract.extract_page(f"<body><article><p>few</p></article><article>{long}</article><div>{long * 3}</div></body>")[4] == 180
+
+
+def test_title_of_a_picture_is_no_title():
+    assert extract.extract_page("<body><svg><title>icon</title></svg><p>x</p></body>")[0] == ""
+    assert extract.extract_page("<head><title>Page</title></head><body><svg><title>icon</title></svg></body>")[0] == "Page"

@@ -26,9 +26,14 @@ def test_end_to_end(spark, tmp_path):
     points = got.points.collect()
     assert points and {r["chunk_ord"] for r in points} <= ids and len({r["chunk_ord"] for r in points}) == len(points)
     assert got.report.count() == 5
-    reports.write_report(got.report, {"pages": got.pages}, str(tmp_path / "out"))
+    assert {r["stage"]: r["items"] for r in got.counts.collect()} | {"points": 0, "retrieved": 0} == {"fetched": 4, "read": 4, "extracted": 4, "kept": 4, "chunks": 4, "retrieved": 0, "points": 0}
+    assert {"extracted", "chunks", "retrieved", "points"} == set(got.seconds)
+    reports.write_report(got.document, got.report, {"pages": got.pages}, str(tmp_path / "out"))
     assert sum(1 for f in os.listdir(tmp_path / "out/pages") if f.endswith(".json")) >= 1
-    assert "## Overview" in spark.read.text(str(tmp_path / "out/report"), wholetext=True).first()[0]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out/report").glob("part-*")))
+    places = [text.index(x) for x in ("# Site report", "## Executive summary", "## Overview", "## Company", "## Pages", "| https://s.example/2 |", "## Stages", "| chunks | 4 |", "## Citations")] + [text.rindex("https://s.example/3)")]
+    assert places == sorted(places)
+    assert {r["section_id"] for r in spark.read.json(str(tmp_path / "out/report.json")).collect()} >= {"overview", "company"}
 
 
 def test_settings_are_checked():
@@ -83,4 +88,7 @@ def test_cli(spark, tmp_path):
     spark.createDataFrame([("the",)], "word string").write.parquet(str(tmp_path / "stop"))
     assert cli.main([str(tmp_path / "pages"), str(tmp_path / "stop"), str(tmp_path / "out")]) == 0
     assert cli.main([str(tmp_path / "none"), str(tmp_path / "stop"), str(tmp_path / "out2")]) == 1
-    assert (tmp_path / "out" / "points").is_dir()
+    assert (tmp_path / "out" / "points").is_dir() and (tmp_path / "out" / "stages").is_dir()
+    assert cli.main([str(tmp_path / "none"), str(tmp_path / "stop"), str(tmp_path / "out2"), "--run", "run-7"]) == 1
+    text = "".join(p.read_text() for p in (tmp_path / "out2/report").glob("part-*"))
+    assert "run-7" in text and "failed" in text and (tmp_path / "out2/report.json").is_dir() and not (tmp_path / "out2/points").exists()

@@ -44,4 +44,4 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, ROOT).columns
+    assert queries.QUERIES[name](spark, ROOT).count() > 0

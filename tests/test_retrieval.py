@@ -119,7 +119,7 @@ def test_knn_hashed_settles_near_copies_by_their_buckets(spark, monkeypatch):
     want = {(r["query_id"], r["vec_id"]) for r in vectors.knn(df, df.where("vec_id < 60"), 5).collect()}
     left = []
     exact = vectors.knn
-    monkeypatch.setattr(vectors, "knn", lambda v, q, k: left.append(q.count()) or exact(v, q, k))
+    monkeypatch.setattr(vectors, "knn", lambda v, q, k, dim: left.append(q.count()) or exact(v, q, k))
     for block in (8192, 4):  # with 4, buckets are cut into many blocks
         assert {(r["query_id"], r["vec_id"]) for r in vectors.knn_hashed(df, df.where("vec_id < 60"), 5, block=block).collect()} == want
     assert left == [0, 0]
