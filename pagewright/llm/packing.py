@@ -89,7 +89,7 @@ def pack(sizes: DataFrame, containers: DataFrame, window_items: int = WINDOW_ITE
     hash of the item and its number among rows of the same id and size, so bins depend neither on the files nor on the
     cluster, and no window holds all copies of a text. A window and container is a group of its own, and there are as
     many tasks as groups allow. The items of bins that windows leave badly filled go into windows of their own, of the
-    same size, as long as that at least halves the windows."""
+    same size, as long as that leaves a quarter fewer windows."""
     boxes = containers.select(F.col("container").cast("string").alias("container"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct().limit(MAX_CONTAINERS + 1).collect()
     if len(boxes) > MAX_CONTAINERS:
         raise ValueError(f"more than {MAX_CONTAINERS} kinds of containers")
@@ -112,7 +112,8 @@ def pack(sizes: DataFrame, containers: DataFrame, window_items: int = WINDOW_ITE
         spread = todo.repartition(min(windows * len(boxes), 10_000), "container", "capacity_tokens", "window_no")
         filled = cut(spread.groupBy("container", "capacity_tokens", "window_no").applyInPandas(_fill, _FILLED).withColumn("round", F.lit(round_)))
         again = -(-filled.where("loose").count() // (window_items * len(boxes))) if windows > 1 else 0
-        last = not 0 < again <= windows // 2
+        again = 1 if again <= 4 else again  # one window of a few times the size at the end
+        last = windows == 1 or again > windows * 3 // 4
         kept = filled if last else filled.where("NOT loose")
         result = kept if result is None else result.unionByName(kept)
         if last:

@@ -67,7 +67,7 @@ def test_windows_share_their_last_bins(spark):
     sizes = spark.createDataFrame([(i, rng.randint(1, 400)) for i in range(3000)], "item_id long, tokens long")
     boxes = spark.createDataFrame([("l", 8192)], "container string, capacity_tokens int")
     report = packing.fill_report(packing.pack(sizes, boxes, 150)).first()
-    assert report["fill"] > 0.985 and report["items"] == 3000
+    assert report["fill"] > 0.97 and report["items"] == 3000
     stiff = spark.createDataFrame([(i, 5000) for i in range(2000)], "item_id long, tokens long")  # no two fit together
     assert packing.fill_report(packing.pack(stiff, boxes, 150)).first()["bins"] == 2000
 
