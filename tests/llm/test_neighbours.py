@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pagewright.llm import neighbours as nb
 
@@ -21,12 +22,47 @@ def truth(m, q, k):
     return set(np.lexsort((np.arange(len(s)), -s))[:k].tolist())
 
 
-def test_recall_over_learned_partitions(spark):
+def recall(got, m, asked, k=8):
+    by = {}
+    for r in got:
+        by.setdefault(r["query"], set()).add(r["rowid"])
+    return sum(len(by.get(q, set()) & truth(m, q, k)) for q in asked) / (k * len(asked))
+
+
+def searched(m, routers):
+    """Share of all rows that the queries are compared with, and how many parts there are."""
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sizes = np.bincount(routers.place(unit), minlength=MAX_ID)
+    of, part = routers.route(unit[::50], nb.ROUTE_MASS, nb.MIN_ROUTES)
+    return sizes[part].sum() / len(m) / len(unit[::50]), (sizes > 0).sum()
+
+
+MAX_ID = 20_000
+
+
+@pytest.mark.parametrize("max_parts", [128, 6])
+def test_recall_over_learned_partitions(spark, monkeypatch, max_parts):
+    """With 36 parts of one level, and with 6 parts that are parted again; at most a quarter of the rows is searched."""
+    monkeypatch.setattr(nb, "ROWS_PER_PART", 250)
+    monkeypatch.setattr(nb, "PART_ROWS", 500)
     m = clustered(9000).astype(np.float32).astype(float)
-    asked = spark.createDataFrame([(i, 8) for i in range(0, 9000, 150)], "rowid_opt long, k int")
-    got = nb.nearest(frame(spark, m), asked).collect()
-    hits = sum(len({r["rowid"] for r in got if r["query"] == q} & truth(m, q, 8)) for q in range(0, 9000, 150))
-    assert hits >= 0.9 * 8 * 60
+    ids = range(0, 9000, 50)
+    df = frame(spark, m)
+    base = nb.usable_vectors(df)
+    routers = nb.learn(base, 9000, max_parts=max_parts)
+    assert bool(routers.below) == (max_parts == 6)
+    share, parts = searched(m, routers)
+    assert parts >= 30 and share <= 0.25
+    got = nb.nearest(df, spark.createDataFrame([(i, 8) for i in ids], "rowid_opt long, k int"), max_parts=max_parts).collect()
+    assert recall(got, m, ids) >= 0.9
+
+
+def test_blocks_of_rows_and_queries(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(nb, "BLOCK_QUERIES", 30)
+    m = clustered(300, 2).astype(np.float32).astype(float)
+    got = nb.nearest(frame(spark, m), spark.createDataFrame([(i, 8) for i in range(300)], "rowid_opt long, k int")).collect()
+    assert recall(got, m, range(300)) == 1 and len(got) == 2400
 
 
 def test_odd_vectors_ties_and_repeats(spark):
