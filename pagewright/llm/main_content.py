@@ -47,8 +47,22 @@ class _Hashes(dict):
 _words, _tags = _Hashes(WORD_BUCKETS), _Hashes(TAG_BUCKETS)
 
 
-def _name(label: str) -> str:
-    return label.partition(".")[0]
+class _Names(dict):
+    """A tag with its mark -> the tag."""
+
+    def __missing__(self, label: str) -> str:
+        if len(self) > 50_000:
+            self.clear()
+        value = self[label] = label.partition(".")[0]
+        return value
+
+
+_name = _Names().__getitem__
+
+
+def _ends(text: str) -> bool:
+    """Whether a text ends in punctuation, closing quotes after it."""
+    return _END.search(text, max(0, len(text) - 6)) is not None
 
 
 def _inner(run: Run) -> tuple[int, int]:
@@ -81,7 +95,7 @@ def _whole(runs: list[Run]) -> list[bool]:
 
 def _in_sentences(texts: list[str]) -> list[int]:
     counts = [t.count(" ") + 1 for t in texts]
-    return [n if n >= 8 and _END.search(t) else 0 for t, n in zip(texts, counts)]
+    return [n if n >= 8 and _ends(t) else 0 for t, n in zip(texts, counts)]
 
 
 class _Known(dict):
@@ -92,10 +106,11 @@ class _Known(dict):
         found = self.get(raw)
         if found is None:
             text = shown(raw)
-            words = [_words[w] for w in _WORD.findall(text.lower())]
+            tokens = _WORD.findall(text.lower())
+            words = [_words[w] for w in tokens]
             n = text.count(" ") + 1
-            end = _END.search(text) is not None
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(str.isdigit, text)) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
+            end = _ends(text)
+            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(len(w) for w in tokens if w[0].isdigit()) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -124,9 +139,9 @@ FRAME_WORDS = 9
 def _frame(text: str) -> str:
     """What a short line without a full stop has besides its names: the form with each run of capitalised words after the
     first as one sign, so that bylines and lines of dates are alike on all pages; "" for other texts."""
-    words = text.split(" ")
-    if not 1 < len(words) <= FRAME_WORDS or text.isupper() or _END.search(text):
+    if not 0 < text.count(" ") < FRAME_WORDS or text.isupper() or _ends(text):
         return ""
+    words = text.split(" ")
     out = words[:1]
     for w in words[1:]:
         w = "^" if w[:1].isupper() else w
@@ -174,7 +189,10 @@ def shared_with_others(runs: list[Run], forms: list[tuple[str, str]], brand: str
     """What each run shares with other pages: by its form, or by its frame where it is a line of its own."""
     if not shared:
         return [(1, False)] * len(runs)
-    out = [shared.get(_key(form, brand), (1, False)) for form, _ in forms]
+    alone = (1, False)
+    out = [shared.get(_key(form, brand), alone) for form, _ in forms]
+    if not any(frame for _, frame in forms):
+        return out
     for i, (run, (_, frame), whole) in enumerate(zip(runs, forms, _whole(runs))):
         if frame and whole and _name(run.path[-1]) not in _ITEMS:
             a, b = shared.get(_key(frame, brand), (1, False)), out[i]
@@ -245,7 +263,7 @@ def training_labels(pages: list[list[Run]], texts: list[list[str]], shared: list
             n = text.count(" ") + 1
             heading = any(x[:1] == "h" and x[1:2].isdigit() for x in run.path[-2:])
             common = not heading and (on_pages >= SITE_PAGES or on_hosts) and (n > 3 or whole and _name(run.path[-1]) not in ("td", "th"))  # cells are short everywhere
-            link = run.path[-1:] == ("a",) and n <= 9 and not _END.search(text) and not (len(run.nodes) > 1 and plain[run.nodes[-2]])
+            link = run.path[-1:] == ("a",) and n <= 9 and not _ends(text) and not (len(run.nodes) > 1 and plain[run.nodes[-2]])
             titles.append(heading)
             links.append(link)
             clear.append(common or link or any(_name(x) in _FURNITURE_TAGS for x in run.path))
@@ -257,7 +275,7 @@ def training_labels(pages: list[list[Run]], texts: list[list[str]], shared: list
         region = _region(runs, counts)
         target += [float(region is not None and i in region and not bad) for i, bad in enumerate(clear)]
         # Names in capitals can't be told from other words, so such lines aren't taught; the labeller judges them by the others.
-        unclear = [w and not h and t.isupper() and t.count(" ") < FRAME_WORDS and not _END.search(t) for w, h, t in zip(_whole(runs), titles, own)]
+        unclear = [w and not h and t.isupper() and t.count(" ") < FRAME_WORDS and not _ends(t) for w, h, t in zip(_whole(runs), titles, own)]
         weight += [(1.0 if region is not None else 0.3 * bad) * (bad or not u) for bad, u in zip(clear, unclear)]
     return np.array(target, dtype=np.float32), np.array(weight, dtype=np.float32)
 
