@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +17,37 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"(#{2,5})\s+(.*)")
 
 
+_LEVEL = re.compile(r"(#{2,5})\s+(?=\S)", re.A)
+_LINES = "page_id long, line_no int, section_no int, heading_path string, line string"
+
+
+def _walk(text: str):
+    """(line_no, section_no, heading_path, line) of the lines with text."""
+    stack: dict[int, str] = {}
+    section, path = 0, ""
+    for no, line in enumerate(text.split("\n")):
+        line = line.strip(" ")
+        if m := _LEVEL.match(line):
+            level = len(m[1])
+            stack = {k: v for k, v in stack.items() if k < level} | {level: line[m.end() :].strip(" ")}
+            section, path = section + 1, " > ".join(stack[k] for k in sorted(stack))
+        elif line:
+            yield no, section, path, line
+
+
 def section_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, section_no, heading_path, line): the lines with text, each with the path of the headings above.
 
     A heading clears the deeper ones. Heading lines and blank lines themselves don't come out; lines of six hashes are
-    text. Windows run within a page."""
-    level = F.length(F.regexp_extract("line", r"^(#{2,5})\s+\S", 1))
-    lines = pages.select("page_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    marked = lines.withColumn("level", level).withColumn("title", F.when(F.col("level") > 0, F.trim(F.regexp_replace("line", r"^#{2,5}\s+", ""))))
-    above = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    for n in (2, 3, 4, 5):
-        now = F.when(F.col("level") == n, F.col("title")).when((F.col("level") > 0) & (F.col("level") < n), F.lit(""))
-        marked = marked.withColumn(f"h{n}", F.last(now, True).over(above))
-    path = F.concat_ws(" > ", *[F.when(F.col(f"h{n}") != "", F.col(f"h{n}")) for n in (2, 3, 4, 5)])
-    numbered = marked.withColumn("section_no", F.sum((F.col("level") > 0).cast("int")).over(above).cast("int"))
-    return numbered.where("level = 0").select("page_id", "line_no", "section_no", path.alias("heading_path"), "line")
+    text. Lines stay where their page is: nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *found) for i, text in zip(b.column("page_id").to_pylist(), b.column("text").to_pylist()) for found in _walk(text)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], [c.split()[0] for c in _LINES.split(", ")])
+
+    return pages.where("text IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _LINES)
 
 
 def _sections(text: str) -> list[tuple[str, list[str]]]:

@@ -71,7 +71,7 @@ def sequential(text):
     return out
 
 
-def test_section_windows_equal_a_walk(spark):
+def test_section_lines_equal_a_walk(spark):
     rng = random.Random(3)
     texts = {i: "\n".join(rng.choice(["## a", "### b", "#### c", "##### d", "text", "", " more ", "#no"]) for _ in range(25)) for i in range(30)}
     got = section_lines(spark.createDataFrame(list(texts.items()), "page_id long, text string")).collect()
