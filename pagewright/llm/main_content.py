@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -65,32 +66,20 @@ def _ends(text: str) -> bool:
     return _END.search(text, max(0, len(text) - 6)) is not None
 
 
-def _inner(run: Run) -> tuple[int, int]:
-    """The innermost two containers around a run; 0 where there is none."""
-    first = 0
-    for i in range(len(run.path) - 1, -1, -1):
-        if _name(run.path[i]) in _CONTAINERS:
-            if first:
-                return first, run.nodes[i]
-            first = run.nodes[i]
-    return first, 0
-
-
 def _masses(runs: list[Run], counted: list[int]) -> dict[int, int]:
     """Words below each container, of the words counted for each run."""
     mass: dict[int, int] = defaultdict(int)
     for run, n in zip(runs, counted):
         if n:
-            for node, label in zip(run.nodes, run.path):
-                if _name(label) in _CONTAINERS:
-                    mass[node] += n
+            for i in _paths[run.path].containers:
+                mass[run.nodes[i]] += n
     return mass
 
 
 def _whole(runs: list[Run]) -> list[bool]:
     """Whether each run is all that stands directly in a block, and not a part of a line."""
     in_node = Counter(r.nodes[-1] for r in runs if r.nodes)
-    return [bool(r.nodes) and in_node[r.nodes[-1]] == 1 and _name(r.path[-1]) not in _INLINE for r in runs]
+    return [bool(r.nodes) and in_node[r.nodes[-1]] == 1 and not _paths[r.path].inline for r in runs]
 
 
 def _in_sentences(texts: list[str]) -> list[int]:
@@ -107,10 +96,10 @@ class _Known(dict):
         if found is None:
             text = shown(raw)
             tokens = _WORD.findall(text.lower())
-            words = [_words[w] for w in tokens]
+            words = np.fromiter(map(_words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             n = text.count(" ") + 1
             end = _ends(text)
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(len(w) for w in tokens if w[0].isdigit()) / (len(text) or 1), text.isupper(), not words, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
+            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(len, _DIGITS.findall(text))) / (len(text) or 1), text.isupper(), not tokens, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -118,12 +107,25 @@ class _Known(dict):
         return found
 
 
+@dataclass(frozen=True, slots=True)
+class _Path:
+    """What a path of tags says of any run on it."""
+
+    tags: np.ndarray
+    flags: tuple[bool, bool, bool]
+    containers: tuple[int, ...]  # where they stand in the path, from the outermost
+    inline: bool
+    item: bool
+
+
 class _Paths(dict):
-    def __missing__(self, path: tuple[str, ...]):
+    def __missing__(self, path: tuple[str, ...]) -> _Path:
         if len(self) > 50_000:
             self.clear()
         last = path[-1] if path else ""
-        value = self[path] = [_tags[x] for x in path] + ([_tags["/".join(path[-2:])]] if path else []), ("a" in path, last[:1] == "h" and last[1:2].isdigit(), "li" in path)
+        tags = [_tags[x] for x in path] + ([_tags["/".join(path[-2:])]] if path else [])
+        flags = ("a" in path, last[:1] == "h" and last[1:2].isdigit(), "li" in path)
+        value = self[path] = _Path(np.array(tags, dtype=np.int64), flags, tuple(i for i, x in enumerate(path) if _name(x) in _CONTAINERS), _name(last) in _INLINE, _name(last) in _ITEMS)
         return value
 
 
@@ -194,7 +196,7 @@ def shared_with_others(runs: list[Run], forms: list[tuple[str, str]], brand: str
     if not any(frame for _, frame in forms):
         return out
     for i, (run, (_, frame), whole) in enumerate(zip(runs, forms, _whole(runs))):
-        if frame and whole and _name(run.path[-1]) not in _ITEMS:
+        if frame and whole and not _paths[run.path].item:
             a, b = shared.get(_key(frame, brand), (1, False)), out[i]
             out[i] = max(a[0], b[0]), a[1] or b[1]
     return out
@@ -208,7 +210,7 @@ def site_runs(runs: list[Run], host: str | None, shared: Shared) -> list[bool]:
 
 def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared]) -> tuple[Blocks, list[list[str]], list[list[tuple[int, bool]]]]:
     """Blocks of the pages, the runs as shown, and what each run shares with other pages."""
-    words, word_counts, tags, tag_counts, numbers, lengths, all_texts, all_shared = [], [], [], [], [], [], [], []
+    words, tags, numbers, lengths, all_texts, all_shared = [], [], [], [], [], []
     for runs, host, own_shared in zip(pages, hosts, shared):
         seen = [_known.look(r.text) for r in runs]
         counted = [s[3] for s in seen]
@@ -220,17 +222,16 @@ def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Share
         all_shared.append(with_others)
         page = (min(total, 400) / 400, min(n, 150) / 150)
         for i, (run, (_, found, own, *_)) in enumerate(zip(runs, seen)):
-            words += found
-            word_counts.append(len(found))
-            ids, flags = _paths[run.path]
-            tags += ids
-            tag_counts.append(len(ids))
-            a, b = _inner(run)
-            numbers.append((*own, *flags, i / n, mass[a] / total if total else 0.5, mass[b] / total if total else 0.5, *page, min(with_others[i][0], SITE_PAGES) / SITE_PAGES, with_others[i][1]))
-    blocks = Blocks(
-        np.array(words, dtype=np.int64), np.array(word_counts, dtype=np.int64), np.array(tags, dtype=np.int64), np.array(tag_counts, dtype=np.int64),
-        np.array(numbers, dtype=np.float32).reshape(-1, NUMBERS), np.array(lengths, dtype=np.int64),
-    )
+            words.append(found)
+            path = _paths[run.path]
+            tags.append(path.tags)
+            at = path.containers
+            inner = mass.get(run.nodes[at[-1]], 0) / total if at and total else 0.5 * (not total)
+            outer = mass.get(run.nodes[at[-2]], 0) / total if len(at) > 1 and total else 0.5 * (not total)
+            numbers.append((*own, *path.flags, i / n, inner, outer, *page, min(with_others[i][0], SITE_PAGES) / SITE_PAGES, with_others[i][1]))
+    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    sizes = lambda parts: np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    blocks = Blocks(flat(words), sizes(words), flat(tags), sizes(tags), np.array(numbers, dtype=np.float32).reshape(-1, NUMBERS), np.array(lengths, dtype=np.int64))
     return blocks, all_texts, all_shared
 
 
