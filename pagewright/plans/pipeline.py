@@ -54,19 +54,35 @@ def sections_table(spark) -> DataFrame:
     return spark.createDataFrame(SECTIONS, "section int, section_id string, title string, query string")
 
 
-def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings: Settings = Settings(), query: str = "section", key: str = "chunk_ord", page: str = "page_url", index: str | None = None) -> DataFrame:
+#: Parts in which the askers of one question get its answers.
+ASKER_PARTS = 16
+
+
+def rank(chunks: DataFrame, queries: DataFrame, stop_words: DataFrame, settings: Settings = Settings(), query: str = "section", key: str = "chunk_ord", page: str = "page_url", index: str | None = None, many: bool = False) -> DataFrame:
     """(query, key, page, score, rank): chunks (key, page, page_title, heading_path, text) for queries (query, text) by
     TF-IDF cosine, with the cap on a page. index: the folder of an index stored from these chunks by index_chunks; without
-    it the chunks are split into terms and weighted here."""
+    it the chunks are split into terms and weighted here. many: for query sets that grow with the chunks; each different
+    text is asked once, and frequent terms are joined only where they can decide. The rows are the same."""
+    wide = settings.top_k * (2 if settings.max_per_page else 1) if many else None
+    askers = None
+    if many:
+        askers = queries.select(query, F.sha2(F.coalesce("text", F.lit("")), 256).alias("asked"), "text")
+        queries, asker, query = askers.groupBy("asked").agg(F.first("text").alias("text")), query, "asked"
     if index:
-        scores = tfidf.search_index(chunks.sparkSession, index, queries, query, key, stop_words)
+        scores = tfidf.search_index(chunks.sparkSession, index, queries, query, key, stop_words, wide)
     else:
         texts = chunks.select(key, embedding_text(F.col("page_title"), F.col("heading_path"), F.col("text")).alias("text"))
         counts = cut(tfidf.term_counts(texts, key, stop_words))  # texts are split into terms once
-        weights = tfidf.idf(counts, texts.count())
+        weights = cut(tfidf.idf(counts, texts.count())) if many else tfidf.idf(counts, texts.count())
         asked = tfidf.postings(tfidf.term_counts(queries.select(query, "text"), query, stop_words), weights, query)
-        scores = tfidf.cosine(asked, tfidf.postings(counts, weights, key), query, key)
-    return retrieve.page_capped(scores.join(chunks.select(key, page), key), query, key, page, settings.top_k, settings.max_per_page)
+        corpus = tfidf.postings(counts, weights, key)
+        scores = tfidf.best_cosine(cut(asked), corpus, query, key, wide) if many else tfidf.cosine(asked, corpus, query, key)
+    ranked = retrieve.page_capped(scores.join(chunks.select(key, page), key), query, key, page, settings.top_k, settings.max_per_page)
+    if not many:
+        return ranked
+    part = F.pmod(F.xxhash64(asker), F.lit(ASKER_PARTS)).cast("int")
+    answers = ranked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ASKER_PARTS - 1))))
+    return askers.select(asker, "asked", part.alias("part")).join(answers, ["asked", "part"]).select(asker, key, page, "score", "rank")
 
 
 def index_chunks(chunks: DataFrame, stop_words: DataFrame, folder: str, key: str = "chunk_ord") -> None:

@@ -136,7 +136,7 @@ def _case_results(spark, root) -> DataFrame:
     pages = table(spark, root, "extracted_pages").where("page_id % 50 = 0 AND title IS NOT NULL")
     cases = pages.select(F.col("page_id").alias("case_id"), F.col("title").alias("text"), F.col("url").alias("expected_url"), F.expr("substring(split_part(text, '\n', 1), 4, 40)").alias("expected_snippet"))
     chunks = table(spark, root, "chunks")
-    got = pipeline.rank(chunks, cases, _stop(spark, root), pipeline.Settings(top_k=5, max_per_page=None), query="case_id")
+    got = pipeline.rank(chunks, cases, _stop(spark, root), pipeline.Settings(top_k=5, max_per_page=None), query="case_id", many=True)
     ranked = got.select("case_id", "chunk_ord", F.col("rank").cast("long").alias("rank")).join(chunks.select("chunk_ord", "page_url", "text"), "chunk_ord")
     return evaluate.case_results(cases.drop("text"), ranked)
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import evaluate, retrieve, tfidf, vectors
+from pagewright.plans import pipeline
 
 
 def brute(texts, queries, stop):
@@ -41,6 +42,42 @@ def test_cosine_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
 
 
+def test_best_cosine_has_the_best_of_cosine_with_fewer_rows(spark):
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(3)], [f"r{i}" for i in range(60)]
+    texts = {i: " ".join(c for c in common if rng.random() < 0.8) + " " + " ".join(rng.choices(rare, k=rng.randint(0, 4))) for i in range(300)}
+    texts |= {300 + i: texts[7] for i in range(4)} | {400: "", 401: None}
+    asked = {i: texts[i] for i in range(0, 300, 9)} | {900: "c0 c1", 901: "c0 r1 r1 r2", 902: "unknown", 903: "", 904: None, 905: "r5"}
+    stop = spark.createDataFrame([], "word string")
+    counts = tfidf.term_counts(spark.createDataFrame(list(texts.items()), "k long, text string"), "k", stop)
+    weights = tfidf.idf(counts, len(texts))
+    q = tfidf.postings(tfidf.term_counts(spark.createDataFrame(list(asked.items()), "q long, text string"), "q", stop), weights, "q")
+    corpus = tfidf.postings(counts, weights, "k")
+    every = tfidf.cosine(q, corpus, "q", "k").cache()
+    for k, term_rows in ((5, 1 << 20), (3, 20), (200, 20)):
+        some = tfidf.best_cosine(q, corpus, "q", "k", k, term_rows=term_rows, seed_rows=10).cache()
+        rows = lambda df: sorted((r["q"], r["rank"], r["k"], round(r["score"], 5)) for r in retrieve.top_k(df, "q", "k", k).collect())  # noqa: B023, E731
+        assert rows(some) == rows(every)
+        assert k == 200 or some.count() < every.count() / 2
+    assert tfidf.best_cosine(q.limit(0), corpus, "q", "k", 5).count() == 0
+    assert tfidf.best_cosine(q, corpus.limit(0), "q", "k", 5).count() == 0
+
+
+def test_many_questions_rank_as_few(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, f"p{i % 9}", rng.choice(["T one", None, "T two"]), rng.choice(["H", "", None]), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(80)]
+    chunks = spark.createDataFrame(rows, "chunk_ord long, page_url string, page_title string, heading_path string, text string")
+    asked = spark.createDataFrame([(i, "w1 w2 w3") for i in range(20)] + [(50, "two w4"), (51, None), (52, ""), (53, "w5 w1 w1")], "section int, text string")
+    stop = spark.createDataFrame([("one",)], "word string")
+    pipeline.index_chunks(chunks, stop, str(tmp_path / "index"))
+    for settings in (pipeline.Settings(), pipeline.Settings(top_k=5, max_per_page=None)):
+        want = sorted(map(tuple, pipeline.rank(chunks, asked, stop, settings).select("section", "rank", "chunk_ord", "page_url").collect()))
+        for index in (None, str(tmp_path / "index")):
+            got = pipeline.rank(chunks, asked, stop, settings, index=index, many=True)
+            assert sorted(map(tuple, got.select("section", "rank", "chunk_ord", "page_url").collect())) == want
+
+
 def greedy(rows, k, cap):
     taken, per = [], Counter()
     for key, page, _ in sorted(rows, key=lambda r: (-r[2], r[0]))[: 2 * k]:
