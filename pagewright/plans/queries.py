@@ -176,8 +176,9 @@ def knn_label_agreement(spark, root):
     return vectors.label_agreement(_knn(spark, root), table(spark, root, "embeddings"))
 
 
-@query()
+@query(_KNN + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
 def knn_hashed(spark, root):
+    """Queries that their buckets don't settle, here nearly all, get the exact answer; the SQL gives the exact one for all."""
     found = table(spark, root, "embeddings")
     return vectors.knn_hashed(found, found.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "score", "rank")
 
@@ -375,6 +376,15 @@ def page_summaries(spark, root):
     return report.page_summaries(table(spark, root, "extracted_pages"), table(spark, root, "chunks")).na.fill(0, ["word_count"])
 
 
+@query(r"""WITH h AS (SELECT page_id, status, regexp_replace(html, '(?is)<body.*$', '') AS head FROM fetched_pages WHERE error IS NULL AND status BETWEEN 200 AND 299 AND length(html) > 0),
+t AS (SELECT page_id, status, regexp_extract(head, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(head, '(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1) AS meta FROM h)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(title, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\s+', ' ', 'g')) AS title,
+trim(replace(replace(replace(replace(meta, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"')) AS meta_description, status AS fetch_status FROM t""")
+def extracted_heads(spark, root):
+    """Title and description as extraction gives them."""
+    return extract.extract(table(spark, root, "fetched_pages")).select("page_id", "title", "meta_description", "fetch_status")
+
+
 @query()
 def extracted(spark, root):
     return extract.extract(table(spark, root, "fetched_pages"))
@@ -445,7 +455,14 @@ def crawl_bfs(spark, root):
     return crawl.crawl(starts, edges, max_pages=25, max_depth=deepest)[0]
 
 
-@query()
+_POLITE = _WALK.replace("AND NOT list_contains(w.way, e.link)", "AND NOT list_contains(w.way, e.link) AND NOT contains(w.url, '/support/')") + """,
+x AS (SELECT *, contains(url, '/support/') AS no, coalesce(sum((NOT contains(url, '/support/'))::INT) OVER (PARTITION BY run_id ORDER BY depth, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15 AS popped FROM f),
+late AS (SELECT DISTINCT x.run_id, x.url FROM x JOIN e ON e.link = x.url JOIN x y ON y.run_id = x.run_id AND y.url = e.url AND y.popped AND NOT y.no AND y.depth < (SELECT max(depth) FROM p) WHERE NOT x.popped)
+"""
+
+
+@query(_POLITE + """SELECT run_id, count(*) FILTER (popped AND NOT no) AS pages_fetched, count(*) FILTER (popped AND no) AS skipped_robots, coalesce(any_value(n), 0) AS skipped_budget
+FROM x LEFT JOIN (SELECT run_id, count(*) AS n FROM late GROUP BY run_id) USING (run_id) GROUP BY run_id""")
 def crawl_counts(spark, root):
     starts, edges, deepest = _graph(spark, root)
     blocked = table(spark, root, "fetched_pages").select("url").where(F.contains("url", F.lit("/support/")))
