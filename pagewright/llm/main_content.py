@@ -32,6 +32,7 @@ _INLINE = frozenset("a b i em strong span".split())
 _ITEMS = frozenset("li td th h1 h2 h3 h4 h5 h6".split())
 _END = re.compile(r"[.!?…:][\"'”’)]*$")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_ASCII_WORD = re.compile(r"[a-z]+|[0-9]+")  # what _WORD finds in lower-case ASCII
 _DIGITS = re.compile(r"\d+")
 
 class _Hashes(dict):
@@ -95,11 +96,14 @@ class _Known(dict):
         found = self.get(raw)
         if found is None:
             text = shown(raw)
-            tokens = _WORD.findall(text.lower())
-            words = np.fromiter(map(_words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            low = text.lower()
+            tokens = (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+            words = list(map(_words.__getitem__, tokens))
+            digits = sum(map(len, filter(str.isdecimal, tokens)))
             n = text.count(" ") + 1
             end = _ends(text)
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, sum(map(len, _DIGITS.findall(text))) / (len(text) or 1), text.isupper(), not tokens, text[:1].islower()), n if n >= 8 and end else 0, _form(text), _frame(text)
+            form = _DIGITS.sub("0", low) if digits else low
+            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, digits / (len(text) or 1), text.isupper(), not tokens, text[:1].islower()), n if n >= 8 and end else 0, form, _frame(text)
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -111,7 +115,7 @@ class _Known(dict):
 class _Path:
     """What a path of tags says of any run on it."""
 
-    tags: np.ndarray
+    tags: list[int]
     flags: tuple[bool, bool, bool]
     containers: tuple[int, ...]  # where they stand in the path, from the outermost
     inline: bool
@@ -125,7 +129,7 @@ class _Paths(dict):
         last = path[-1] if path else ""
         tags = [_tags[x] for x in path] + ([_tags["/".join(path[-2:])]] if path else [])
         flags = ("a" in path, last[:1] == "h" and last[1:2].isdigit(), "li" in path)
-        value = self[path] = _Path(np.array(tags, dtype=np.int64), flags, tuple(i for i, x in enumerate(path) if _name(x) in _CONTAINERS), _name(last) in _INLINE, _name(last) in _ITEMS)
+        value = self[path] = _Path(tags, flags, tuple(i for i, x in enumerate(path) if _name(x) in _CONTAINERS), _name(last) in _INLINE, _name(last) in _ITEMS)
         return value
 
 
@@ -210,29 +214,38 @@ def site_runs(runs: list[Run], host: str | None, shared: Shared) -> list[bool]:
 
 def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared]) -> tuple[Blocks, list[list[str]], list[list[tuple[int, bool]]]]:
     """Blocks of the pages, the runs as shown, and what each run shares with other pages."""
-    words, tags, numbers, lengths, all_texts, all_shared = [], [], [], [], [], []
+    words, word_counts, tags, tag_counts, own_numbers, flags, places, on_pages, on_hosts = ([] for _ in range(9))
+    of_page, lengths, all_texts, all_shared = [], [], [], []
     for runs, host, own_shared in zip(pages, hosts, shared):
         seen = [_known.look(r.text) for r in runs]
         counted = [s[3] for s in seen]
         mass, total, n = _masses(runs, counted), sum(counted), len(runs)
         lengths.append(n)
         all_texts.append([s[0] for s in seen])
-        brand = _brand(host)
-        with_others = shared_with_others(runs, [s[4:6] for s in seen], brand, own_shared)
+        with_others = shared_with_others(runs, [s[4:6] for s in seen], _brand(host), own_shared)
         all_shared.append(with_others)
-        page = (min(total, 400) / 400, min(n, 150) / 150)
-        for i, (run, (_, found, own, *_)) in enumerate(zip(runs, seen)):
-            words.append(found)
+        of_page.append((min(total, 400) / 400, min(n, 150) / 150))
+        on_pages += [x for x, _ in with_others]
+        on_hosts += [x for _, x in with_others]
+        for run, (_, found, own, *_) in zip(runs, seen):
+            words += found
+            word_counts.append(len(found))
             path = _paths[run.path]
-            tags.append(path.tags)
+            tags += path.tags
+            tag_counts.append(len(path.tags))
+            own_numbers += own
+            flags += path.flags
             at = path.containers
-            inner = mass.get(run.nodes[at[-1]], 0) / total if at and total else 0.5 * (not total)
-            outer = mass.get(run.nodes[at[-2]], 0) / total if len(at) > 1 and total else 0.5 * (not total)
-            numbers.append((*own, *path.flags, i / n, inner, outer, *page, min(with_others[i][0], SITE_PAGES) / SITE_PAGES, with_others[i][1]))
-    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    sizes = lambda parts: np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    blocks = Blocks(flat(words), sizes(words), flat(tags), sizes(tags), np.array(numbers, dtype=np.float32).reshape(-1, NUMBERS), np.array(lengths, dtype=np.int64))
-    return blocks, all_texts, all_shared
+            if total:
+                places += (mass.get(run.nodes[at[-1]], 0) / total if at else 0.0, mass.get(run.nodes[at[-2]], 0) / total if len(at) > 1 else 0.0)
+            else:
+                places += (0.5, 0.5)
+    ints = lambda values: np.array(values, dtype=np.int64)
+    rows = lambda values, n: np.array(values, dtype=np.float32).reshape(-1, n)
+    length = ints(lengths)
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    columns = (rows(own_numbers, 6), rows(flags, 3), rows(place / np.repeat(length, length), 1), rows(places, 2), np.repeat(rows(of_page, 2), length, axis=0), rows(np.minimum(ints(on_pages), SITE_PAGES) / SITE_PAGES, 1), rows(on_hosts, 1))
+    return Blocks(ints(words), ints(word_counts), ints(tags), ints(tag_counts), np.concatenate(columns, axis=1), length), all_texts, all_shared
 
 
 def _region(runs: list[Run], counts: list[int]) -> set[int] | None:
