@@ -31,7 +31,8 @@ def body_of(html: str) -> str:
 
 
 class _Tags(dict):
-    """tag as written -> (closes, name, name with its class, id or role, digits apart)."""
+    """tag as written -> (closes, name, name with its class, id or role, digits apart, whether it holds what follows,
+    whether it ends an open paragraph, the elements that it ends)."""
 
     def __missing__(self, tag: str):
         m = _TAG.match(tag)
@@ -41,7 +42,7 @@ class _Tags(dict):
             name = m[2].lower()
             mark = _MARK.search(tag)
             label = name + "." + re.sub(r"[\d_\-]+.?$|\d+", "", mark[1].lower()) if mark else name
-            value = (bool(m[1]), name, label)
+            value = (bool(m[1]), name, label, name not in _VOID and not tag.endswith("/>"), name in _BLOCKS, _ENDS.get(name))
         if len(self) > 100_000:
             self.clear()
         self[tag] = value
@@ -58,28 +59,30 @@ def runs_of(html: str) -> list[Run]:
     labels: list[str] = []
     nodes: list[int] = []
     count = 0
-    for i, piece in enumerate(_SPLIT.split(body_of(html))):
-        if not i & 1:
-            if piece and not piece.isspace():
-                out.append(Run(piece, tuple(labels), tuple(nodes)))
-            continue
-        tag = _tags[piece]
+    pieces = _SPLIT.split(body_of(html))
+    pieces.append("")  # no tag after the last one
+    for text, written in zip(pieces[::2], pieces[1::2]):
+        if text and not text.isspace():
+            out.append(Run(text, tuple(labels), tuple(nodes)))
+        tag = _tags[written]
         if tag is None:
             continue
-        closes, name, label = tag
+        closes, name, label, holds, block, ends = tag
+        last = names[-1] if names else ""
         if closes:
-            if name in names:
+            if name == last:
+                names.pop(), labels.pop(), nodes.pop()
+            elif name in names:
                 at = len(names) - 1 - names[::-1].index(name)
                 del names[at:], labels[at:], nodes[at:]
             continue
-        if names and name in _BLOCKS and names[-1] == "p":
-            del names[-1:], labels[-1:], nodes[-1:]
-        ends = _ENDS.get(name)
+        if block and last == "p":
+            names.pop(), labels.pop(), nodes.pop()
         if ends:
             while names and names[-1] in ends:
-                del names[-1:], labels[-1:], nodes[-1:]
+                names.pop(), labels.pop(), nodes.pop()
         count += 1
-        if name not in _VOID and not piece.endswith("/>"):
+        if holds:
             names.append(name)
             labels.append(label)
             nodes.append(count)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -34,19 +35,35 @@ _END = re.compile(r"[.!?…:][\"'”’)]*$")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _ASCII_WORD = re.compile(r"[a-z]+|[0-9]+")  # what _WORD finds in lower-case ASCII
 _DIGITS = re.compile(r"\d+")
+_CLOSING = frozenset("\"'”’)")
+_ALL = [chr(c) for c in range(128)] + [" "] * 128
+_TO_WORDS = "".join(c if c.islower() or c.isdigit() else " " for c in _ALL).encode()
+_TO_KINDS = "".join("a" if c.islower() else "0" if c.isdigit() else " " for c in _ALL).encode()
+_TO_ZEROS = "".join("0" if c.isdigit() else c for c in _ALL).encode()
+_OWN = struct.Struct("=6f")
 
 class _Hashes(dict):
     def __init__(self, buckets: int):
         self.buckets = buckets
 
-    def __missing__(self, key: str) -> int:
+    def hashed(self, key: str | bytes):
+        return xxhash.xxh32_intdigest(key) % self.buckets
+
+    def __missing__(self, key: str | bytes):
         if len(self) > 200_000:
             self.clear()
-        value = self[key] = xxhash.xxh32_intdigest(key) % self.buckets
+        value = self[key] = self.hashed(key)
         return value
 
 
-_words, _tags = _Hashes(WORD_BUCKETS), _Hashes(TAG_BUCKETS)
+class _Words(_Hashes):
+    """A word, or its bytes -> its number as 16 bits."""
+
+    def hashed(self, key: str | bytes) -> bytes:
+        return super().hashed(key).to_bytes(2, "little")
+
+
+_words, _tags = _Words(WORD_BUCKETS), _Hashes(TAG_BUCKETS)
 
 
 class _Names(dict):
@@ -64,7 +81,8 @@ _name = _Names().__getitem__
 
 def _ends(text: str) -> bool:
     """Whether a text ends in punctuation, closing quotes after it."""
-    return _END.search(text, max(0, len(text) - 6)) is not None
+    last = text[-1:]
+    return _END.search(text, max(0, len(text) - 6)) is not None if last in _CLOSING else last != "" and last in ".!?…:"
 
 
 def _masses(runs: list[Run], counted: list[int]) -> dict[int, int]:
@@ -72,8 +90,9 @@ def _masses(runs: list[Run], counted: list[int]) -> dict[int, int]:
     mass: dict[int, int] = defaultdict(int)
     for run, n in zip(runs, counted):
         if n:
+            nodes = run.nodes
             for i in _paths[run.path].containers:
-                mass[run.nodes[i]] += n
+                mass[nodes[i]] += n
     return mass
 
 
@@ -88,22 +107,63 @@ def _in_sentences(texts: list[str]) -> list[int]:
     return [n if n >= 8 and _ends(t) else 0 for t, n in zip(texts, counts)]
 
 
+@dataclass(slots=True, eq=False)
+class _Form:
+    """What a run is compared by: its form and its frame, and the keys of both on sites whose name isn't in them."""
+
+    form: str
+    frame: str
+    key: int
+    frame_key: int
+
+
+@dataclass(slots=True, eq=False)
+class _Seen:
+    """A run as shown, its hashed words (16 bits each), its own numbers (six floats), its words if they are in sentences."""
+
+    text: str
+    words: bytes
+    own: bytes
+    counted: int
+    form: _Form
+
+
+def _tokens(low: str) -> tuple[list, int]:
+    """Words and numbers of a text in lower case, and how many digits it has."""
+    if not low.isascii():
+        tokens = _WORD.findall(low)
+        return tokens, sum(map(len, filter(str.isdecimal, tokens)))
+    raw = low.encode()
+    kinds = raw.translate(_TO_KINDS)
+    apart = b"a0" not in kinds and b"0a" not in kinds  # else a letter stands next to a digit, which begins a new word
+    return raw.translate(_TO_WORDS).split() if apart else _ASCII_WORD.findall(low), kinds.count(b"0")
+
+
+def _zeros(low: str) -> str:
+    """A text with each run of digits as one 0."""
+    if not low.isascii():
+        return _DIGITS.sub("0", low)
+    raw = low.encode().translate(_TO_ZEROS)
+    while b"00" in raw:
+        raw = raw.replace(b"00", b"0")
+    return raw.decode()
+
+
 class _Known(dict):
-    """A run as written -> as shown, its hashed words, and its own numbers. Short runs, which are mostly menus and
-    notices, are kept; the kept ones are dropped together when there are too many."""
+    """A run as written -> what it says by itself. Short runs, which are mostly menus and notices, are kept; the kept ones
+    are dropped together when there are too many."""
 
-    def look(self, raw: str):
+    def look(self, raw: str) -> _Seen:
         found = self.get(raw)
         if found is None:
             text = shown(raw)
             low = text.lower()
-            tokens = (_ASCII_WORD if low.isascii() else _WORD).findall(low)
-            words = list(map(_words.__getitem__, tokens))
-            digits = sum(map(len, filter(str.isdecimal, tokens)))
+            tokens, digits = _tokens(low)
+            words = b"".join(map(_words.__getitem__, tokens))
             n = text.count(" ") + 1
             end = _ends(text)
-            form = _DIGITS.sub("0", low) if digits else low
-            found = text, words, (min(len(words), 200) ** 0.5 / 7, end, digits / (len(text) or 1), text.isupper(), not tokens, text[:1].islower()), n if n >= 8 and end else 0, form, _frame(text)
+            own = _OWN.pack(min(len(tokens), 200) ** 0.5 / 7, end, digits / (len(text) or 1), text.isupper(), not tokens, text[:1].islower())
+            found = _Seen(text, words, own, n if n >= 8 and end else 0, _compared(text, _zeros(low) if digits else low, n, end))
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -111,7 +171,7 @@ class _Known(dict):
         return found
 
 
-@dataclass(frozen=True, slots=True)
+@dataclass(frozen=True, slots=True, eq=False)
 class _Path:
     """What a path of tags says of any run on it."""
 
@@ -135,17 +195,17 @@ class _Paths(dict):
 
 def _form(text: str) -> str:
     """A run as shown, for comparison: lower case, digit runs as one 0."""
-    return _DIGITS.sub("0", text.lower())
+    return _zeros(text.lower())
 
 
 #: Words of the longest run that has a frame.
 FRAME_WORDS = 9
 
 
-def _frame(text: str) -> str:
+def _frame(text: str, blanks: int, end: bool) -> str:
     """What a short line without a full stop has besides its names: the form with each run of capitalised words after the
     first as one sign, so that bylines and lines of dates are alike on all pages; "" for other texts."""
-    if not 0 < text.count(" ") < FRAME_WORDS or text.isupper() or _ends(text):
+    if end or not 0 < blanks < FRAME_WORDS or text.isupper():
         return ""
     words = text.split(" ")
     out = words[:1]
@@ -156,14 +216,19 @@ def _frame(text: str) -> str:
     return "~" + _form(" ".join(out)) if "^" in out else ""
 
 
+def _compared(text: str, form: str, words: int, end: bool) -> _Form:
+    frame = _frame(text, words - 1, end)
+    return _Form(form, frame, _hashed(form), _hashed(frame) if frame else 0)
+
+
 class _Forms(dict):
-    """A run as written -> its compared form and its frame; short runs are kept as in _Known."""
+    """A run as written -> what it is compared by; short runs are kept as in _Known."""
 
-    def look(self, raw: str) -> tuple[str, str]:
+    def look(self, raw: str) -> _Form:
         found = self.get(raw)
         if found is None:
             text = shown(raw)
-            found = _form(text), _frame(text)
+            found = _compared(text, _form(text), text.count(" ") + 1, _ends(text))
             if len(raw) <= 100:
                 if len(self) >= 100_000:
                     self.clear()
@@ -181,28 +246,36 @@ def _brand(host: str | None) -> str:
     return _DIGITS.sub("0", name.lower()) if len(name) > 3 else ""
 
 
-def _key(form: str, brand: str) -> int:
-    """64 bits of a run's compared form, the site's name masked."""
-    h = xxhash.xxh64_intdigest(form.replace(brand, "@") if brand else form)
+def _hashed(form: str) -> int:
+    h = xxhash.xxh64_intdigest(form)
     return h - (1 << 64) if h >> 63 else h
 
 
+def _keys(form: _Form, brand: str) -> tuple[int, int]:
+    """64 bits of a run's compared form and of its frame, the site's name masked; the latter count only if there is a frame."""
+    if brand and brand in form.form:  # a frame has no name that the form doesn't have
+        return _hashed(form.form.replace(brand, "@")), _hashed(form.frame.replace(brand, "@"))
+    return form.key, form.frame_key
+
+
 #: Of each page: key of a run's form -> (pages of the host that have it, whether it is repeated on SITE_HOSTS hosts).
 Shared = dict[int, tuple[int, bool]]
 
 
-def shared_with_others(runs: list[Run], forms: list[tuple[str, str]], brand: str, shared: Shared) -> list[tuple[int, bool]]:
+def shared_with_others(runs: list[Run], forms: list[_Form], brand: str, shared: Shared) -> list[tuple[int, bool]]:
     """What each run shares with other pages: by its form, or by its frame where it is a line of its own."""
-    if not shared:
-        return [(1, False)] * len(runs)
     alone = (1, False)
-    out = [shared.get(_key(form, brand), alone) for form, _ in forms]
-    if not any(frame for _, frame in forms):
-        return out
-    for i, (run, (_, frame), whole) in enumerate(zip(runs, forms, _whole(runs))):
-        if frame and whole and not _paths[run.path].item:
-            a, b = shared.get(_key(frame, brand), (1, False)), out[i]
-            out[i] = max(a[0], b[0]), a[1] or b[1]
+    if not shared:
+        return [alone] * len(runs)
+    keys = [_keys(f, brand) for f in forms]
+    out = [shared.get(key, alone) for key, _ in keys]
+    framed = [i for i, f in enumerate(forms) if f.frame and keys[i][1] in shared]
+    if framed:
+        whole = _whole(runs)
+        for i in framed:
+            if whole[i] and not _paths[runs[i].path].item:
+                a, b = shared[keys[i][1]], out[i]
+                out[i] = max(a[0], b[0]), a[1] or b[1]
     return out
 
 
@@ -214,38 +287,38 @@ def site_runs(runs: list[Run], host: str | None, shared: Shared) -> list[bool]:
 
 def features(pages: list[list[Run]], hosts: list[str | None], shared: list[Shared]) -> tuple[Blocks, list[list[str]], list[list[tuple[int, bool]]]]:
     """Blocks of the pages, the runs as shown, and what each run shares with other pages."""
-    words, word_counts, tags, tag_counts, own_numbers, flags, places, on_pages, on_hosts = ([] for _ in range(9))
-    of_page, lengths, all_texts, all_shared = [], [], [], []
+    all_seen, all_ways, places, of_page, lengths, all_texts, all_shared = ([] for _ in range(7))
     for runs, host, own_shared in zip(pages, hosts, shared):
-        seen = [_known.look(r.text) for r in runs]
-        counted = [s[3] for s in seen]
-        mass, total, n = _masses(runs, counted), sum(counted), len(runs)
+        seen, ways = [_known.look(r.text) for r in runs], [_paths[r.path] for r in runs]
+        counted = [s.counted for s in seen]
+        total, n = sum(counted), len(runs)
+        all_seen += seen
+        all_ways += ways
         lengths.append(n)
-        all_texts.append([s[0] for s in seen])
-        with_others = shared_with_others(runs, [s[4:6] for s in seen], _brand(host), own_shared)
-        all_shared.append(with_others)
+        all_texts.append([s.text for s in seen])
+        all_shared.append(shared_with_others(runs, [s.form for s in seen], _brand(host), own_shared))
         of_page.append((min(total, 400) / 400, min(n, 150) / 150))
-        on_pages += [x for x, _ in with_others]
-        on_hosts += [x for _, x in with_others]
-        for run, (_, found, own, *_) in zip(runs, seen):
-            words += found
-            word_counts.append(len(found))
-            path = _paths[run.path]
-            tags += path.tags
-            tag_counts.append(len(path.tags))
-            own_numbers += own
-            flags += path.flags
-            at = path.containers
-            if total:
-                places += (mass.get(run.nodes[at[-1]], 0) / total if at else 0.0, mass.get(run.nodes[at[-2]], 0) / total if len(at) > 1 else 0.0)
-            else:
-                places += (0.5, 0.5)
+        if not total:
+            places += [0.5] * (2 * n)
+            continue
+        part = {node: m / total for node, m in _masses(runs, counted).items()}
+        for run, way in zip(runs, ways):
+            at, nodes = way.containers, run.nodes
+            places.append(part.get(nodes[at[-1]], 0.0) if at else 0.0)
+            places.append(part.get(nodes[at[-2]], 0.0) if len(at) > 1 else 0.0)
     ints = lambda values: np.array(values, dtype=np.int64)
     rows = lambda values, n: np.array(values, dtype=np.float32).reshape(-1, n)
+    number: dict[_Path, int] = {}
+    way_of = ints([number.setdefault(way, len(number)) for way in all_ways])
+    words = np.frombuffer(b"".join([s.words for s in all_seen]), dtype="<u2").astype(np.int64)
+    own_numbers = np.frombuffer(b"".join([s.own for s in all_seen]), dtype=np.float32).reshape(-1, 6)
+    flags = rows([way.flags for way in number], 3)[way_of]
+    others = ints([x for with_others in all_shared for x in with_others]).reshape(-1, 2)
     length = ints(lengths)
     place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    columns = (rows(own_numbers, 6), rows(flags, 3), rows(place / np.repeat(length, length), 1), rows(places, 2), np.repeat(rows(of_page, 2), length, axis=0), rows(np.minimum(ints(on_pages), SITE_PAGES) / SITE_PAGES, 1), rows(on_hosts, 1))
-    return Blocks(ints(words), ints(word_counts), ints(tags), ints(tag_counts), np.concatenate(columns, axis=1), length), all_texts, all_shared
+    columns = (own_numbers, flags, rows(place / np.repeat(length, length), 1), rows(places, 2), np.repeat(rows(of_page, 2), length, axis=0), rows(np.minimum(others[:, 0], SITE_PAGES) / SITE_PAGES, 1), rows(others[:, 1], 1))
+    blocks = Blocks(words, ints([len(s.words) // 2 for s in all_seen]), ints([t for way in number for t in way.tags]), ints([len(way.tags) for way in number]), np.concatenate(columns, axis=1), length, way_of)
+    return blocks, all_texts, all_shared
 
 
 def _region(runs: list[Run], counts: list[int]) -> set[int] | None:
@@ -324,7 +397,14 @@ def page_forms(pages: DataFrame) -> DataFrame:
             keys = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 brand = _brand(host)
-                keys.append(list({_key(form, brand) for t in texts_of(html) for form in _forms.look(t) if form}))
+                own = set()
+                for form in map(_forms.look, texts_of(html)):
+                    key, frame_key = _keys(form, brand)
+                    if form.form:
+                        own.add(key)
+                    if form.frame:
+                        own.add(frame_key)
+                keys.append(list(own))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(keys, pa.list_(pa.int64()))], ["page_id", "host", "forms"])
 
     rows = fetched(pages).where("host IS NOT NULL").mapInArrow(forms, "page_id long, host string, forms array<long>")
@@ -384,11 +464,8 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return Model({r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()})
 
 
-def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """(page_id, run_no, words, text, main) of every text run of the fetched pages.
-
-    pages: page_id, url, status, html. Other statuses, null and empty html and null ids have no runs; html without a body
-    tag is read from its start; unclosed and unknown tags do no harm. A repeated page_id is labelled for each row."""
+def _labelled(pages: DataFrame, model: Model | None, rows, schema: str) -> DataFrame:
+    """What rows makes of batches of the fetched pages, the texts of their runs, their counts and which are of the main body."""
     shared = shared_forms(pages)
     model = model or fit(pages, shared=shared)
 
@@ -397,36 +474,55 @@ def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 blocks, texts, _ = features(*inputs(b))
-                main = model.label(blocks) >= 0.5
-                ids = np.repeat(b.column("page_id").to_numpy(), blocks.lengths)
-                no = np.arange(len(ids)) - np.repeat(np.cumsum(blocks.lengths) - blocks.lengths, blocks.lengths)
-                flat = [t for own in texts for t in own]
-                count = [t.count(" ") + 1 if t else 0 for t in flat]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(count, pa.int32()), pa.array(flat, pa.string()), pa.array(main)], ["page_id", "run_no", "words", "text", "main"])
+                yield rows(b, texts, blocks.lengths, model.label(blocks) >= 0.5)
+
+    return with_shared(fetched(pages), shared).mapInArrow(label, schema)
+
+
+def _places(b, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The page of each run, and its number in it."""
+    ids = np.repeat(b.column("page_id").to_numpy(), lengths)
+    return ids, np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def labelled_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """(page_id, run_no, words, text, main) of every text run of the fetched pages.
+
+    pages: page_id, url, status, html. Other statuses, null and empty html and null ids have no runs; html without a body
+    tag is read from its start; unclosed and unknown tags do no harm. A repeated page_id is labelled for each row."""
 
-    return with_shared(fetched(pages), shared).mapInArrow(label, "page_id long, run_no int, words int, text string, main boolean")
+    def rows(b, texts, lengths, main):
+        ids, no = _places(b, lengths)
+        flat = [t for own in texts for t in own]
+        count = [t.count(" ") + 1 if t else 0 for t in flat]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(count, pa.int32()), pa.array(flat, pa.string()), pa.array(main)], ["page_id", "run_no", "words", "text", "main"])
+
+    return _labelled(pages, model, rows, "page_id long, run_no int, words int, text string, main boolean")
+
+
+def main_runs(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """(page_id, run_no) of the runs of labelled_runs that are of the main body; no texts leave the labeller."""
+
+    def rows(b, texts, lengths, main):
+        ids, no = _places(b, lengths)
+        return pa.RecordBatch.from_arrays([pa.array(ids[main], pa.int64()), pa.array(no[main], pa.int32())], ["page_id", "run_no"])
+
+    return _labelled(pages, model, rows, "page_id long, run_no int")
 
 
 def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, text, word_count, kept_ratio): the runs of the main body as lines, and their share of all shown words,
     rounded to 3 places; a page without runs has an empty text and ratio 0. One row a fetched row."""
-    shared = shared_forms(pages)
-    model = model or fit(pages, shared=shared)
 
-    def body(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                blocks, texts, _ = features(*inputs(b))
-                main = model.label(blocks) >= 0.5
-                out, start = [], 0
-                for own in texts:
-                    keep = [t for t, m in zip(own, main[start : start + len(own)]) if m]
-                    start += len(own)
-                    kept, whole = sum(len(t.split()) for t in keep), sum(len(t.split()) for t in own)
-                    out.append(("\n".join(keep), kept, round(kept / whole, 3) if whole else 0.0))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], ["page_id", "text", "word_count", "kept_ratio"]
-                )
-
-    return with_shared(fetched(pages), shared).mapInArrow(body, "page_id long, text string, word_count int, kept_ratio double")
+    def rows(b, texts, lengths, main):
+        out, start = [], 0
+        for own in texts:
+            keep = [t for t, m in zip(own, main[start : start + len(own)]) if m]
+            start += len(own)
+            kept, whole = sum(len(t.split()) for t in keep), sum(len(t.split()) for t in own)
+            out.append(("\n".join(keep), kept, round(kept / whole, 3) if whole else 0.0))
+        return pa.RecordBatch.from_arrays(
+            [b.column("page_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], ["page_id", "text", "word_count", "kept_ratio"]
+        )
+
+    return _labelled(pages, model, rows, "page_id long, text string, word_count int, kept_ratio double")

@@ -111,7 +111,7 @@ def p5_groups(spark, root):
 
 
 def p7_found(spark, root):
-    return main_content.labelled_runs(table(spark, root, "fetched_pages")).where("main").select("page_id", "run_no")
+    return main_content.main_runs(table(spark, root, "fetched_pages"))
 
 
 def p7_bodies(spark, root):

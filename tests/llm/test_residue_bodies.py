@@ -139,3 +139,49 @@ def test_site_lines_are_counted_over_all_pages_not_the_sample(spark):
     model = main_content.fit(df, sample_pages=24)
     got = main_content.labelled_runs(df, model).collect()
     assert sum(r["main"] == (r["run_no"] < 2) for r in got) >= 0.98 * 3 * (n + 1)
+
+
+def test_labels_need_no_padding_and_agree_with_single_steps():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 0, 3000, 1, *[2] * 124, 7, 0])
+    n = int(lengths.sum())
+    blocks = lstm.Blocks(rng.integers(0, 20, n), np.ones(n, int), rng.integers(0, 10, n), np.ones(n, int), rng.normal(size=(n, 3)).astype(np.float32), lengths)
+    model = lstm.Model.new(20, 10, 3, seed=1)
+    tracemalloc.start()
+    got = model.label(blocks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000  # side by side with the long document, the short ones would take ten times as much
+    x, mask, at = model.inputs(blocks), np.ones((3000, 1), np.float32), 0
+    for k in lengths:
+        own = x[at : at + k][:, None]
+        if k:
+            seen = np.concatenate([model._pass(own, mask[:k], "f"), model._pass(own, mask[:k], "b"), own], axis=2)[:, 0] @ model.p["out"] + model.p["bias"]
+            assert np.allclose(got[at : at + k], lstm._sigmoid(seen[:, 0]), atol=1e-5)
+        at += k
+    assert len(model.label(lstm.take(blocks, np.arange(0)))) == 0
+
+
+def test_inputs_hold_tags_once_a_path_and_training_still_gets_them_all():
+    pages = [runs_of("<body><main>" + "".join(f"<p>Pump no.{i} and B{i}c in 20{i}, Größe {i}m³</p>" for i in range(50)) + "</main>"), [], runs_of("<body><p>a")]
+    blocks, _, _ = main_content.features(pages, ["a.example", None, None], [{}, {}, {}])
+    assert len(blocks.tag_counts) == 2 and list(blocks.lengths) == [50, 0, 1]
+    whole = lstm.take(blocks, np.arange(51))
+    assert len(whole.tag_counts) == 51 and whole.tags[:4].tolist() == whole.tags[4:8].tolist()
+    words = main_content._words
+    for low in ("pump no.3 and b3c in 2003", "größe 20 m", "007 00x", "", "-- 5"):
+        tokens, digits = main_content._tokens(low)
+        assert [words[t] for t in tokens] == [words[t] for t in main_content._WORD.findall(low)] and digits == sum(c.isdecimal() for c in low), low
+        assert main_content._zeros(low) == main_content._DIGITS.sub("0", low)
+
+
+def test_main_runs_are_those_of_labelled_runs(spark):
+    df = spark.createDataFrame([*pages(spark, 12), (3, "u", 200, "<body><p>The pump is in the yard.</p>", "z"), (901, "u", 200, None, "z"), (903, None, 200, "<body></body>", "z")], "page_id long, url string, status int, html string, text string")
+    model = main_content.fit(df)
+    found = main_content.main_runs(df, model)
+    assert found.columns == ["page_id", "run_no"]
+    wanted = main_content.labelled_runs(df, model).where("main").select("page_id", "run_no")
+    assert wanted.count() > 20 and found.exceptAll(wanted).count() == 0 and wanted.exceptAll(found).count() == 0
+    assert main_content.main_runs(df.limit(0)).count() == 0
